@@ -251,3 +251,106 @@ def decided_cte() -> str:
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def refs_cte() -> str:
+    """One row per extracted reference, orders then tracking then transactions."""
+    def tag(kind, field):
+        return f"list_transform({field}, lambda z: {{'ref_type': {q(kind)}, 'raw': z}})"
+    arr = f"list_concat(list_concat({tag('order', 'order_ids')}, {tag('tracking', 'tracking_ids')}), " \
+          f"{tag('transaction', 'transaction_ids')})"
+    return f"""refs AS (
+  SELECT ticket_id, ref_seq, r.ref_type AS ref_type, upper(replace(coalesce(r.raw, ''), ' ', '')) AS ref_key
+  FROM (SELECT ticket_id, unnest(l) AS r, generate_subscripts(l, 1) - 1 AS ref_seq
+        FROM (SELECT ticket_id, {arr} AS l FROM scored) a) b
+),
+idx AS (
+  SELECT 'order' AS ref_type, upper(replace(reference, ' ', '')) AS ref_key, order_status AS record_status FROM records
+  UNION ALL
+  SELECT 'tracking', upper(replace(tracking_reference, ' ', '')), order_status FROM records WHERE tracking_reference IS NOT NULL
+  UNION ALL
+  SELECT 'transaction', upper(replace(transaction_reference, ' ', '')), transaction_status FROM records
+),
+checked AS (
+  SELECT r.*, i.record_status, i.ref_key IS NOT NULL AS found
+  FROM refs r LEFT JOIN idx i ON r.ref_type = i.ref_type AND r.ref_key = i.ref_key
+),
+rollup AS (
+  SELECT ticket_id, count(*) AS n_checked, count_if(NOT found) AS n_missing,
+         string_agg(ref_type || ':' || ref_key || ':' || CAST(found AS VARCHAR) || ':' || coalesce(record_status, '-'),
+                    '|' ORDER BY ref_seq) AS checked_references
+  FROM checked GROUP BY ticket_id
+)"""
+
+
+def verified_cte() -> str:
+    """decided + verification (D2) + post-rules R7, R8 -> final decision fields."""
+    st = lambda i: (f"(CASE WHEN coalesce(v.n_checked, 0) = 0 THEN {q(V.VERIFY_NONE[i]) if isinstance(V.VERIFY_NONE[i], str) else str(V.VERIFY_NONE[i]).lower()} "
+                    f"WHEN coalesce(v.n_missing, 0) > 0 THEN {q(V.VERIFY_MISSING[i]) if isinstance(V.VERIFY_MISSING[i], str) else str(V.VERIFY_MISSING[i]).lower()} "
+                    f"ELSE {q(V.VERIFY_FOUND[i]) if isinstance(V.VERIFY_FOUND[i], str) else str(V.VERIFY_FOUND[i]).lower()} END)")
+    lh, lt = V.REASON_LANGUAGE.split("{language}")
+    return f"""verified AS (
+  SELECT d.*, {st(0)} AS verification_status, {st(1)} AS verification_label, {st(2)} AS verification_summary,
+         {st(3)} AS requires_manual_verification,
+         CAST(coalesce(v.n_checked, 0) AS BIGINT) AS n_checked, CAST(coalesce(v.n_missing, 0) AS BIGINT) AS n_missing,
+         coalesce(v.checked_references, '') AS checked_references,
+         {language_name('d.language_code')} AS language_name
+  FROM decided d LEFT JOIN rollup v ON d.ticket_id = v.ticket_id
+),
+final AS (
+  SELECT * REPLACE (
+           (escalate_to_human OR verification_status = 'reference_not_found' OR language_code <> 'en') AS escalate_to_human,
+           CASE WHEN escalate_to_human OR verification_status = 'reference_not_found' OR language_code <> 'en'
+                THEN {q(V.HUMAN_QUEUE)} ELSE department END AS department,
+           concat_ws(' | ', nullif(escalation_reasons, ''),
+                     CASE WHEN verification_status = 'reference_not_found' THEN {q(V.REASON_NOT_FOUND)} END,
+                     CASE WHEN language_code <> 'en' THEN {q(lh)} || language_name || {q(lt)} END) AS escalation_reasons,
+           concat_ws(' | ', explanation,
+                     CASE WHEN verification_status = 'reference_not_found' THEN {q(V.EXPLAIN_NOT_FOUND)} END,
+                     CASE WHEN language_code <> 'en' THEN {q(V.EXPLAIN_LANGUAGE)} END) AS explanation)
+  FROM verified
+)"""
+
+
+def lifecycle_ctes() -> str:
+    msg = sql_map_case("status", V.STATUS_EVENT_MESSAGES, None)
+    return f"""last_update AS (
+  SELECT ticket_id, status AS u_status, outcome AS u_outcome, n_updates
+  FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY updated_at DESC, update_id DESC) AS rn,
+               count(*) OVER (PARTITION BY ticket_id) AS n_updates FROM updates) u
+  WHERE rn = 1
+),
+store AS (
+  SELECT f.* REPLACE (coalesce(l.u_status, f.status) AS status),
+         CASE WHEN l.ticket_id IS NOT NULL THEN l.u_outcome END AS agent_outcome,
+         CAST(coalesce(l.n_updates, 0) AS BIGINT) AS n_updates
+  FROM final f LEFT JOIN last_update l ON f.ticket_id = l.ticket_id
+),
+qualifying AS (
+  SELECT * FROM updates
+  WHERE coalesce(length(final_query_type) > 0, false) OR coalesce(length(final_intent) > 0, false)
+        OR coalesce(length(outcome) > 0, false)
+),
+reviews AS (
+  SELECT ticket_id, reviewer, final_query_type, final_intent, outcome AS notes, first_at AS reviewed_at
+  FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY updated_at DESC, update_id DESC) AS rn,
+               min(updated_at) OVER (PARTITION BY ticket_id) AS first_at FROM qualifying) q
+  WHERE rn = 1
+),
+events_log AS (
+  SELECT ticket_id * 4 AS event_id, ticket_id, {q(V.RECEIVED_STATUS)} AS status,
+         {q(V.STATUS_EVENT_MESSAGES[V.RECEIVED_STATUS])} AS message, created_at
+  FROM tickets
+  UNION ALL
+  SELECT update_id * 2 + 1, ticket_id, status, {msg}, updated_at FROM updates
+)"""
+
+
+def full_ctes() -> str:
+    return with_ctes(tickets_cte(), records_cte(), scored_cte(), decided_cte(), refs_cte(), verified_cte(),
+                     updates_cte(), lifecycle_ctes())
+
+
+def ts_text(x: str) -> str:
+    """Timestamp as 'yyyy-MM-dd HH:mm:ss.SSSSSS' text (same on both sides)."""
+    return f"strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"

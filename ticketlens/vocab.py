@@ -211,6 +211,17 @@ TEST_FRACTION = 0.2
 QUEUE_LIMIT_DEFAULT, QUEUE_LIMIT_MIN, QUEUE_LIMIT_MAX = 50, 1, 200
 ECE_BINS = 10
 
+# Customer-facing event message per status in the ticket event log.
+STATUS_EVENT_MESSAGES = {
+    "received": "Ticket received and routed to the appropriate support queue.",
+    "resolved": "Resolved by the support team.",
+    "in_progress": "Your ticket is now being reviewed by the support team.",
+    "open": "Your ticket remains open with the assigned support team.",
+}
+DRAFT_PREFIX = "Hello, thank you for contacting support. "
+FEEDBACK_EXPORT_FIELDS = ("ticket_id", "customer_message", "predicted_query_type", "predicted_intent", "final_query_type",
+                          "final_intent", "reviewer", "notes", "status", "reviewed_at")
+
 # Whitespace as Python's str.isspace() sees it (code-point ranges).
 WHITESPACE_RANGES = (
     (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
@@ -270,13 +281,6 @@ TICKET_TEMPLATES = (
 EVENT_STATUS = {"click": "in_progress", "purchase": "resolved"}
 ORDER_STATUS_NAMES = {"F": "delivered", "O": "in_transit", "P": "processing"}
 TRANSACTION_STATUS_NAMES = {"F": "settled", "O": "pending", "P": "authorised"}
-# Event message per status in the ticket event log.
-STATUS_EVENT_MESSAGES = {
-    "received": "Ticket received",
-    "open": "Ticket reopened",
-    "in_progress": "Agent started work",
-    "resolved": "Ticket resolved",
-}
 
 
 @lru_cache(maxsize=1)
