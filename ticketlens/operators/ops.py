@@ -83,9 +83,8 @@ def kpis(tickets: DataFrame, reviews: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_tickets"),
         F.count_if(F.col("status") == "resolved").alias("resolved_tickets"),
         F.count_if(F.col("escalate_to_human")).alias("escalated_tickets"))
-    r = reviews.agg(F.count(F.lit(1)).alias("reviewed_tickets"))
-    # Both sides are single-row aggregates; the join key is a constant.
-    j = t.withColumn("_k", F.lit(1)).join(r.withColumn("_k", F.lit(1)), on="_k").drop("_k")
+    # Review count as a scalar subquery (no join).
+    j = t.withColumn("reviewed_tickets", reviews.agg(F.count(F.lit(1))).scalar())
     return j.select(
         "total_tickets",
         (F.col("total_tickets") - F.col("resolved_tickets")).alias("open_tickets"),

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from . import text_queries  # noqa: F401
 from . import lookup_queries  # noqa: F401
+from . import prep_queries  # noqa: F401
 from .registry import SPARK, SQL
 
 __all__ = ["SPARK", "SQL"]

@@ -36,3 +36,80 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fx.tickets(spark, sf_dir)
     return ops.ticket_events(t, fx.updates(spark, sf_dir, t))
+
+
+# J2 ---------------------------------------------------------------------------
+def labelled_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three labelled sources derived from the rendered tickets: fine-labelled
+    base rows, legacy rows carrying only a broad label, and training-only
+    paraphrases (lower-cased messages)."""
+    from ..functions.text import query_type_for
+    t = fx.tickets(spark, sf_dir)
+    tid = F.col("ticket_id")
+    base = t.where(tid % 4 != 3).select(F.col("message").alias("text"), query_type_for(F.col("true_intent"))
+                                        .alias("query_type"), F.col("true_intent").alias("intent"),
+                                        F.lit(1).alias("source_rank"), tid.alias("row_id"))
+    legacy = t.where(tid % 4 == 3).select(F.col("message").alias("text"),
+                                          query_type_for(F.col("true_intent")).alias("intent"),
+                                          F.lit(2).alias("source_rank"), tid.alias("row_id"))
+    para = t.where(tid % 10 == 1).select(F.lower(F.col("message")).alias("text"),
+                                         query_type_for(F.col("true_intent")).alias("query_type"),
+                                         F.col("true_intent").alias("intent"),
+                                         F.lit(3).alias("source_rank"), tid.alias("row_id"))
+    return base, legacy, para
+
+
+def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 -> P1 -> P2 -> P5 -> D11 -> union; rows tagged train / test."""
+    from ..operators import prep
+    base, legacy, para = labelled_sources(spark, sf_dir)
+    merged = prep.dedupe(prep.harmonise(base).unionByName(prep.harmonise(legacy)), "text",
+                         ["source_rank", "row_id"], keep="first")
+    split = prep.stratified_split(merged)
+    test = split.where(F.col("split") == "test")
+    train = split.where(F.col("split") == "train").drop("split")
+    train = prep.dedupe(train.unionByName(prep.harmonise(para).select(*train.columns)), "text",
+                        ["source_rank", "row_id"], keep="first")
+    train = lookup.exclude_heldout(train, test).withColumn("split", F.lit("train"))
+    return train.unionByName(test)
+
+
+# J3 ---------------------------------------------------------------------------
+def feedback_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The S10 export with agent-entry noise injected by rule: upper-case types,
+    an unknown type, disagreeing labels and blank intents (P8 must catch them)."""
+    from ..sources import io
+    e = io.feedback_export_frame(reviews(spark, sf_dir), store(spark, sf_dir))
+    tid = F.col("ticket_id")
+    qt = (F.when(tid % 5 == 1, F.upper(F.col("final_query_type")))
+          .when(tid % 7 == 2, F.lit("billing"))
+          .when(tid % 11 == 3, F.when(F.col("final_query_type") == "delivery", F.lit("payment"))
+                .otherwise(F.lit("delivery")))
+          .otherwise(F.col("final_query_type")))
+    it = F.when(tid % 13 == 4, F.lit("")).when(tid % 17 == 5, F.initcap(F.replace(F.col("final_intent"), F.lit("_"), F.lit(" ")))) \
+        .otherwise(F.col("final_intent"))
+    return e.withColumn("final_query_type", qt).withColumn("final_intent", it)
+
+
+def retraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import prep
+    base = training_set(spark, sf_dir).where(F.col("split") == "train").select("text", "query_type", "intent")
+    fb = prep.validate_feedback(feedback_export(spark, sf_dir))
+    return prep.retraining_set(base, fb)
+
+
+# J4 ---------------------------------------------------------------------------
+def safety_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected decision (true intent, full confidence, same post-rules) next to
+    the decision the pipeline made."""
+    from ..functions.text import query_type_for
+    t = jobs_triaged = triaged(spark, sf_dir)
+    exp = R.decide(query_type_for(F.col("true_intent")), F.col("true_intent"), F.lit(1.0), F.col("sentiment"),
+                   F.col("message"), F.lit(1.0))
+    exp = R.escalate_unverified(exp, F.col("verification_status"))
+    exp = R.escalate_language(exp, F.col("language_code"), F.col("language_name"))
+    del jobs_triaged
+    return t.select("ticket_id", exp["priority"].alias("expected_priority"),
+                    exp["escalate_to_human"].alias("expected_escalation"),
+                    F.col("decision.priority").alias("priority"),
+                    F.col("decision.escalate_to_human").alias("escalate_to_human"))

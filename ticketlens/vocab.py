@@ -69,7 +69,7 @@ LEGACY_LABEL_TO_INTENT = {
     "delivery": "delivery_delay",
     "refund": "refund_request",
     "account_access": "account_access",
-    "technical_support": "technical_login_error",
+    "technical_support": "technical_website_error",
     "other": "general_complaint",
 }
 
@@ -222,6 +222,10 @@ DRAFT_PREFIX = "Hello, thank you for contacting support. "
 FEEDBACK_EXPORT_FIELDS = ("ticket_id", "customer_message", "predicted_query_type", "predicted_intent", "final_query_type",
                           "final_intent", "reviewer", "notes", "status", "reviewed_at")
 
+# Text tokens a pandas CSV reader treats as missing by default.
+PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
 # Whitespace as Python's str.isspace() sees it (code-point ranges).
 WHITESPACE_RANGES = (
     (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
