@@ -354,3 +354,23 @@ def full_ctes() -> str:
 def ts_text(x: str) -> str:
     """Timestamp as 'yyyy-MM-dd HH:mm:ss.SSSSSS' text (same on both sides)."""
     return f"strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+# ---------------------------------------------------------------------------
+# TF-IDF in SQL (brute-force oracle: plain inverted join, no prefix filter).
+# ---------------------------------------------------------------------------
+def terms_sql(text: str) -> str:
+    """List of 1- and 2-gram terms, same tokens and stop list as the Spark side."""
+    stop = sql_list(V.default_stop_words())
+    toks = (f"list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), "
+            f"lambda z: NOT list_contains({stop}, z))")
+    return (f"(SELECT list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1])) "
+            f"FROM (SELECT {toks} AS tk))")
+
+
+def term_counts_cte(name: str, src: str, id_col: str, text: str) -> str:
+    return f"""{name} AS (
+  SELECT {id_col}, term, count(*) AS tf FROM (
+    SELECT {id_col}, unnest(trm) AS term FROM (SELECT {id_col}, {terms_sql(text)} AS trm FROM {src}) a) b
+  GROUP BY {id_col}, term
+)"""
