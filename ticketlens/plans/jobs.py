@@ -113,3 +113,31 @@ def safety_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
                     exp["escalate_to_human"].alias("expected_escalation"),
                     F.col("decision.priority").alias("priority"),
                     F.col("decision.escalate_to_human").alias("escalate_to_human"))
+
+
+# J1 ---------------------------------------------------------------------------
+def triage_full(spark: SparkSession, sf_dir: str, policies: DataFrame | None = None, k: int = 3) -> DataFrame:
+    """Full triage of every ticket: decision, verification, post-rules,
+    clarification, top-k policies (V5), grounded suggestion (V8), draft reply
+    (V9) and agent handoff summary (V10).  Default knowledge base: ``benchmark``."""
+    from ..operators import similar as S
+    from ..session import read_table
+    t = triaged(spark, sf_dir)
+    if policies is None:
+        b = read_table(spark, sf_dir, "benchmark")
+        policies = b.select(F.col("item_id").alias("policy_idx"), F.format_string("B-%d", "item_id").alias("policy_id"),
+                            F.lit(None).cast("string").alias("title"), F.col("text").alias("content"))
+    hits = S.search_policies(t.select(F.col("ticket_id").alias("query_id"), F.col("message").alias("text")),
+                             policies, k=k)
+    per = hits.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "policy_id", "score", "content"))).alias("sources"))
+    j = t.join(per.withColumnRenamed("query_id", "ticket_id"), on="ticket_id", how="left")
+    d = F.col("decision")
+    top = F.element_at(F.col("sources"), 1)
+    sugg = S.suggest(d["escalate_to_human"], top["score"], top["content"], top["policy_id"])
+    pids = F.transform(F.coalesce(F.col("sources"), F.array()), lambda s: s["policy_id"])
+    handoff = S.handoff_summary(F.col("query_type"), F.col("pred_intent"), F.col("confidence"), d["priority"],
+                                F.col("sentiment"), d["department"], F.col("entities"), F.col("verification_label"),
+                                d["escalation_reasons"], pids)
+    return j.select("*", sugg.alias("suggestion"), pids.alias("policy_ids"), handoff.alias("handoff")) \
+        .withColumn("draft", S.draft_reply(F.col("suggestion"), F.col("policy_ids")))
