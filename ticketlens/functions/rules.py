@@ -41,16 +41,30 @@ def low_confidence(confidence, query_confidence) -> Column:
 
 
 # R2, R3, R5, R6 ---------------------------------------------------------------
-def decide(query_type, intent, confidence, sentiment, text, query_confidence) -> Column:
-    """Triage decision struct: priority, department, escalate_to_human,
-    escalation_reasons (rule order), explanation (rule order)."""
+FLAG_NAMES = ("crit", "high", "vague", "human", "low", "specialist", "negative")
+
+
+def rule_flags(query_type, intent, confidence, sentiment, text, query_confidence) -> dict[str, Column]:
+    """The seven boolean rule outcomes each decision field is built from."""
     t = rule_text(text)
-    qt, it, conf, sent = _c(query_type), F.coalesce(_c(intent).cast("string"), F.lit("")), _c(confidence), _c(sentiment)
-    crit, high = match_group(t, "critical"), match_group(t, "high")
-    vague, human = match_group(t, "vague"), match_group(t, "human")
-    specialist = F.coalesce(qt.isin(*V.SPECIALIST_QUERY_TYPES), F.lit(False)) & ~it.isin(*V.ROUTINE_INTENTS)
-    negative = F.coalesce(sent == F.lit("negative"), F.lit(False))
-    low = low_confidence(conf, query_confidence)
+    qt, it = _c(query_type), F.coalesce(_c(intent).cast("string"), F.lit(""))
+    return {
+        "crit": match_group(t, "critical"),
+        "high": match_group(t, "high"),
+        "vague": match_group(t, "vague"),
+        "human": match_group(t, "human"),
+        "low": low_confidence(confidence, query_confidence),
+        "specialist": F.coalesce(qt.isin(*V.SPECIALIST_QUERY_TYPES), F.lit(False)) & ~it.isin(*V.ROUTINE_INTENTS),
+        "negative": F.coalesce(_c(sentiment) == F.lit("negative"), F.lit(False)),
+    }
+
+
+def decide_from_flags(flags: dict[str, Column], query_type, intent, confidence) -> Column:
+    """Triage decision struct from rule flags: priority, department,
+    escalate_to_human, escalation_reasons (rule order), explanation (rule order)."""
+    crit, high, vague, human = flags["crit"], flags["high"], flags["vague"], flags["human"]
+    low, specialist, negative = flags["low"], flags["specialist"], flags["negative"]
+    qt, it, conf = _c(query_type), F.coalesce(_c(intent).cast("string"), F.lit("")), _c(confidence)
     priority = (F.when(crit, "critical").when(high, "high").when(specialist, "medium")
                 .when(negative, "medium").otherwise("low"))
     step = (F.when(crit, V.EXPLAIN_CRITICAL).when(high, V.EXPLAIN_HIGH).when(specialist, V.EXPLAIN_SPECIALIST)
@@ -58,7 +72,8 @@ def decide(query_type, intent, confidence, sentiment, text, query_confidence) ->
     head, tail = V.EXPLAIN_SELECTED.split("{intent}")
     mid, end = tail.split("{pct}")
     selected = F.concat(F.lit(head), it, F.lit(mid), pct(conf), F.lit(end))
-    low_reason = F.concat(F.lit(V.REASON_LOW_CONF.split("{pct}")[0]), pct(conf), F.lit(V.REASON_LOW_CONF.split("{pct}")[1]))
+    low_head, low_tail = V.REASON_LOW_CONF.split("{pct}")
+    low_reason = F.concat(F.lit(low_head), pct(conf), F.lit(low_tail))
     reasons = F.array_compact(F.array(
         F.when(crit, F.lit(V.REASON_CRITICAL)),
         F.when(low, low_reason),
@@ -82,6 +97,13 @@ def decide(query_type, intent, confidence, sentiment, text, query_confidence) ->
     )
 
 
+def decide(query_type, intent, confidence, sentiment, text, query_confidence) -> Column:
+    """Single-expression form of the decision (use ``decide_from_flags`` on
+    precomputed flag columns in table jobs)."""
+    flags = rule_flags(query_type, intent, confidence, sentiment, text, query_confidence)
+    return decide_from_flags(flags, query_type, intent, confidence)
+
+
 # R7, R8 -----------------------------------------------------------------------
 def escalate_if(decision, condition, reason: Column, explanation: str) -> Column:
     """Post-rule: when ``condition`` holds, escalate, reroute, append reason and explanation."""
@@ -116,7 +138,10 @@ def clarification(intent, entities, customer_text) -> Column:
     low = F.lower(F.coalesce(_c(customer_text), F.lit("")))
     no_delivery_ref = (F.size(e["order_ids"]) == 0) & (F.size(e["tracking_ids"]) == 0)
     no_payment_ref = (F.size(e["transaction_ids"]) == 0) & (F.size(e["card_references"]) == 0)
-    no_context = ~F.exists(F.array(*[F.lit(w) for w in V.TECHNICAL_CONTEXT_WORDS]), lambda w: low.contains(w))
+    any_context = F.lit(False)
+    for w in V.TECHNICAL_CONTEXT_WORDS:
+        any_context = any_context | low.contains(w)
+    no_context = ~any_context
     return (F.when(it.isin(*V.DELIVERY_INTENTS_NEEDING_REF) & no_delivery_ref, F.lit(V.ASK_DELIVERY_REF))
             .when(it.isin(*V.PAYMENT_INTENTS_NEEDING_REF) & no_payment_ref, F.lit(V.ASK_PAYMENT_REF))
             .when(it.startswith("technical_") & no_context, F.lit(V.ASK_TECHNICAL)))

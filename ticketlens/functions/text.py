@@ -59,9 +59,9 @@ def dates(c) -> Column:
     return F.regexp_extract_all(_c(c), _rx(V.DATE_PATTERN, "iU"), F.lit(0))
 
 
-def extract_entities(c) -> Column:
+def extract_entities(c, normalized: bool = False) -> Column:
     """Struct of the six entity arrays, extracted once from normalised text."""
-    t = normalize_text(c)
+    t = _c(c) if normalized else normalize_text(c)
     return F.struct(
         order_ids(t).alias("order_ids"),
         tracking_ids(t).alias("tracking_ids"),
@@ -165,13 +165,14 @@ def department_for(query_type) -> Column:
 
 
 # B19, B21 ---------------------------------------------------------------------
-def _tokens(c) -> Column:
-    t = F.lower(normalize_text(c))
-    return F.array_distinct(F.filter(F.split(t, " "), lambda x: x != ""))
+def _tokens(c, normalized: bool = False) -> Column:
+    t = F.lower(_c(c) if normalized else normalize_text(c))
+    return F.array_distinct(F.array_remove(F.split(t, " "), ""))
 
 
-def lexicon_score(c) -> Column:
-    toks = _tokens(c)
+def lexicon_score(c, normalized: bool = False) -> Column:
+    """Lexicon sentiment; no lambdas, so it stays cheap inside generated code."""
+    toks = _tokens(c, normalized)
     pos = F.size(F.array_intersect(toks, F.array(*[F.lit(w) for w in V.POSITIVE_WORDS])))
     neg = F.size(F.array_intersect(toks, F.array(*[F.lit(w) for w in V.NEGATIVE_WORDS])))
     raw = F.lit(V.SENTIMENT_STEP) * pos.cast("double") - F.lit(V.SENTIMENT_STEP) * neg.cast("double")

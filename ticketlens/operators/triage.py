@@ -16,21 +16,29 @@ from ..functions import text as X
 def score(tickets: DataFrame, text: str = "message", intent: str = "pred_intent") -> DataFrame:
     """Adds query_type (derived from the intent when no second model is given),
     lexicon sentiment, entities (extracted once, Q18) and script language."""
-    return tickets.select(
-        "*",
+    # Normalise once per row; entities and sentiment both read it.
+    t = tickets.withColumn("_norm", X.normalize_text(F.col(text)))
+    return t.select(
+        *tickets.columns,
         X.query_type_for(F.col(intent)).alias("query_type"),
-        X.lexicon_score(F.col(text)).alias("sentiment_score"),
-        X.extract_entities(F.col(text)).alias("entities"),
+        X.lexicon_score(F.col("_norm"), normalized=True).alias("sentiment_score"),
+        X.extract_entities(F.col("_norm"), normalized=True).alias("entities"),
         X.script_language(F.col(text)).alias("language_code"),
     ).withColumn("sentiment", X.polarity(F.col("sentiment_score")))
 
 
 def decide(scored: DataFrame, text: str = "message", intent: str = "pred_intent",
            confidence: str = "confidence", query_confidence: str = "query_confidence") -> DataFrame:
-    """Adds the ``decision`` struct."""
+    """Adds the ``decision`` struct (R2-R6).  Rule flags are computed once per row
+    as columns first, so every decision field reads them instead of re-running
+    the pattern groups."""
     qc = F.col(query_confidence) if query_confidence in scored.columns else F.lit(None).cast("double")
-    return scored.withColumn("decision", R.decide(F.col("query_type"), F.col(intent), F.col(confidence),
-                                                  F.col("sentiment"), F.col(text), qc))
+    flags = R.rule_flags(F.col("query_type"), F.col(intent), F.col(confidence), F.col("sentiment"),
+                         F.col(text), qc)
+    with_flags = scored.select("*", *[c.alias(f"_f_{k}") for k, c in flags.items()])
+    decision = R.decide_from_flags({k: F.col(f"_f_{k}") for k in flags}, F.col("query_type"), F.col(intent),
+                                   F.col(confidence))
+    return with_flags.withColumn("decision", decision).drop(*[f"_f_{k}" for k in flags])
 
 
 def apply_post_rules(df: DataFrame) -> DataFrame:
