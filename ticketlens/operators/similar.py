@@ -44,12 +44,25 @@ def with_terms(df: DataFrame, text: str, stop_words=None, out: str = "terms", ng
 
 
 def term_counts(df: DataFrame, id_col: str, text: str, stop_words=None) -> DataFrame:
-    """(id, term, tf) raw term frequencies."""
-    t = with_terms(df.select(id_col, text), text, stop_words)
+    """(id, term, tf) raw term frequencies.
+
+    Texts are hash-partitioned by id once; the (id, term) count and any later
+    per-id window then reuse that partitioning, so term rows -- about twice
+    the size of the text -- are never shuffled just to be counted."""
+    src = df.select(id_col, text).repartition(id_col)
+    t = with_terms(src, text, stop_words)
     return (t.select(id_col, F.explode("terms").alias("term"))
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of an intermediate read more than once (written to
+    the session's checkpoint directory, so it survives executor loss)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 # V2 ---------------------------------------------------------------------------
 def idf(n_docs: Column, df: Column) -> Column:
     """Smoothed idf: ln((1 + n) / (1 + df)) + 1."""
@@ -96,23 +109,38 @@ def duplicate_pairs(df: DataFrame, id_col: str, text: str, threshold: float = V.
                     stop_words=None) -> DataFrame:
     """Near-duplicate pairs of distinct texts (corpus-level fit over every row):
     (id_a, id_b, similarity, copies_a, copies_b), id = smallest id of the text,
-    id_a < id_b, cosine >= threshold."""
+    id_a < id_b, cosine >= threshold.
+
+    Candidate pruning is exact: a term held by a single distinct text cannot be
+    shared, so it never enters a prefix or the verification; a text's prefix
+    ends where the remaining shareable terms can no longer reach the threshold
+    by either bound -- their L2 norm, or the sum of weight x the largest weight
+    any text gives that term (the AllPairs max-weight bound)."""
     distinct = collapse_copies(df, id_col, text)
     n = df.agg(F.count(F.lit(1))).scalar()
     tc = term_counts(distinct, "rep_id", "text", stop_words)
     cnt = distinct.select("rep_id", "n_copies")
     tcc = tc.join(cnt, on="rep_id")
-    vocab = tcc.groupBy("term").agg(F.sum("n_copies").alias("df")).withColumn("idf", idf(n, F.col("df")))
+    vocab = (tcc.groupBy("term").agg(F.sum("n_copies").alias("df"), F.count(F.lit(1)).alias("df_texts"))
+             .withColumn("idf", idf(n, F.col("df"))))
     w = tc.join(vocab, on="term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("rep_id")))
-    vec = w.select("rep_id", "term", "df", (F.col("w") / norm).alias("weight"))
-    pre = prefix_terms(vec, "rep_id", "weight", "df", threshold).select("rep_id", "term")
+    vec = w.select("rep_id", "term", "df", "df_texts", (F.col("w") / norm).alias("weight"))
+    # Only shareable terms matter from here on; cosine uses the full norm above.
+    shared = materialise(vec.where(F.col("df_texts") >= 2).drop("df_texts"))
+    maxw = shared.groupBy("term").agg(F.max("weight").alias("maxw"))
+    sv = shared.join(maxw, on="term")
+    order = Window.partitionBy("rep_id").orderBy(F.col("df").desc(), F.col("term").desc()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bound = F.least(F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order)),
+                    F.sum(F.col("weight") * F.col("maxw")).over(order))
+    pre = sv.withColumn("_bound", bound).where(F.col("_bound") >= F.lit(threshold - EPS)).select("rep_id", "term")
     a, b = pre.alias("a"), pre.alias("b")
     cand = (a.join(b, on=F.col("a.term") == F.col("b.term"))
             .where(F.col("a.rep_id") < F.col("b.rep_id"))
             .select(F.col("a.rep_id").alias("id_a"), F.col("b.rep_id").alias("id_b")).distinct())
-    va = vec.select(F.col("rep_id").alias("id_a"), "term", F.col("weight").alias("wa"))
-    vb = vec.select(F.col("rep_id").alias("id_b"), "term", F.col("weight").alias("wb"))
+    va = shared.select(F.col("rep_id").alias("id_a"), "term", F.col("weight").alias("wa"))
+    vb = shared.select(F.col("rep_id").alias("id_b"), "term", F.col("weight").alias("wb"))
     sims = (cand.join(va, on="id_a").join(vb, on=["id_b", "term"])
             .groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")))
     out = sims.where(F.col("similarity") >= F.lit(threshold))
@@ -156,7 +184,7 @@ def duplicate_candidates(messages: DataFrame, tickets: DataFrame, msg_id: str =
     idf_q = F.log(a / (F.lit(2.0) + F.col("df"))) + F.lit(1.0)
     ov = otc.join(dfo, on="term").select("okey", "term", "tf", "df", idf_b.alias("idf_b"), idf_q.alias("idf_q"))
     onorm2 = F.sum(F.pow(F.col("tf") * F.col("idf_b"), 2)).over(Window.partitionBy("okey"))
-    ov = ov.withColumn("onorm2", onorm2).withColumn("wb", F.col("tf") * F.col("idf_b") / F.sqrt("onorm2"))
+    ov = materialise(ov.withColumn("onorm2", onorm2).withColumn("wb", F.col("tf") * F.col("idf_b") / F.sqrt("onorm2")))
 
     # Distinct message texts; df of a term the open tickets lack is 0.
     mtexts = messages.select("text").distinct().withColumn("mkey", F.md5("text"))
@@ -164,7 +192,7 @@ def duplicate_candidates(messages: DataFrame, tickets: DataFrame, msg_id: str =
         .withColumn("df", F.coalesce(F.col("df"), F.lit(0)))
     mv = mtc.withColumn("wq", F.col("tf") * (F.log(a / (F.lit(2.0) + F.col("df"))) + F.lit(1.0)))
     mv = mv.withColumn("mnorm", F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(Window.partitionBy("mkey"))))
-    mv = mv.withColumn("wm", F.col("wq") / F.col("mnorm"))
+    mv = materialise(mv.withColumn("wm", F.col("wq") / F.col("mnorm")))
 
     # Prefix filter: message side exact; ticket side loosened by r_min, the
     # smallest idf_q / idf_b ratio (df = 1), so the refit can only shrink it.

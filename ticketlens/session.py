@@ -44,5 +44,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+SMALL_INPUT_BYTES = 512 << 20
+
+
+def fan_out(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+    """Spread a *small* input over every core before CPU-heavy row work.
+
+    A small table often arrives as one file with one row group, i.e. one scan
+    task, so regex-heavy projections would run on a single core.  When the
+    optimiser's size estimate is under ``max_bytes`` the rows are round-robin
+    repartitioned to the default parallelism (a cheap shuffle at that size);
+    large inputs are already split by the file scan and pass through untouched.
+    """
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics unavailable: leave the plan alone
+        return df
+    return df.repartition(par) if size <= max_bytes and par > 1 else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return fan_out(df) if spread else df
