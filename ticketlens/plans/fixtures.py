@@ -55,10 +55,17 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered tickets: ticket_id, created_at, customer_id, template_id, order_key,
     message, true_intent, pred_intent, confidence, query_confidence, status."""
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    n_orders = read_table(spark, sf_dir, "orders").agg(F.count(F.lit(1))).scalar()
+    n_orders = read_table(spark, sf_dir, "orders", spread=False).agg(F.count(F.lit(1))).scalar()
+    return render_tickets(events, n_orders)
+
+
+def render_tickets(events: DataFrame, n_orders) -> DataFrame:
+    """Row-wise rendering of ``events`` (batch or streaming); ``n_orders`` is a
+    Column (scalar subquery) or a plain number for a stream."""
+    n = n_orders if isinstance(n_orders, Column) else F.lit(int(n_orders))
     eid = F.col("event_id")
     tid = eid % F.lit(T)
-    order_key = (eid * F.lit(31)) % F.floor(n_orders * F.lit(11) / F.lit(10))
+    order_key = (eid * F.lit(31)) % F.floor(n * F.lit(11) / F.lit(10))
     intents = [i for i, _ in V.TICKET_TEMPLATES]
     texts = [t for _, t in V.TICKET_TEMPLATES]
     next_intents = intents[1:] + intents[:1]
@@ -88,7 +95,11 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operational records derived from ``orders``: one row per order with its
     order, tracking (null where o_orderkey % 3 = 2) and transaction reference."""
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return records_from_orders(read_table(spark, sf_dir, "orders"))
+
+
+def records_from_orders(orders: DataFrame) -> DataFrame:
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     k = F.col("o_orderkey")
 
     def status(d):
