@@ -304,3 +304,31 @@ def model_comparison(spark, sf_dir):
         ev.select(F.lit("majority").alias("model"), "truth", majority.alias("pred")))
     c = M.compare_models(preds)
     return c.select("model", *[F.round(x, 6).alias(x) for x in ("accuracy", "macro_f1", "weighted_f1")], "chosen")
+
+
+# S14 on whole documents as intake messages --------------------------------------
+@register("intake_validation", f"""
+SELECT coalesce(CASE WHEN text IS NULL OR length(text) < 3 THEN 'message_too_short'
+                     WHEN length(text) > 5000 THEN 'message_too_long' END, 'valid') AS outcome,
+       CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM documents GROUP BY outcome""")
+def intake_validation(spark, sf_dir):
+    from ..session import read_table
+    from ..sources import io
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("message"))
+    ok, bad = io.split_valid(d)
+    both = ok.withColumn("outcome", F.lit("valid")).unionByName(bad.withColumnRenamed("reject_reason", "outcome"))
+    return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"),
+                                       F.sum(F.length("message")).cast("bigint").alias("n_chars"))
+
+
+# S6 on the embeddings labels -----------------------------------------------------
+@register("decoded_labels", """
+SELECT CASE WHEN label BETWEEN 0 AND 9 THEN 'class_' || CAST(label AS VARCHAR) END AS label_name,
+       CAST(count(*) AS BIGINT) AS n_rows FROM embeddings GROUP BY label_name""")
+def decoded_labels(spark, sf_dir):
+    from ..session import read_table
+    from ..sources import io
+    e = read_table(spark, sf_dir, "embeddings").select("label")
+    d = io.decode_labels(e, [f"class_{i}" for i in range(10)])
+    return d.groupBy("label_name").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -32,4 +32,168 @@ def write_feedback_csv(export: DataFrame, path: str) -> None:
      .write.mode("overwrite").option("header", True).csv(path))
 
 
-assert len(V.FEEDBACK_EXPORT_FIELDS) == 10
+
+
+
+# S1 ---------------------------------------------------------------------------
+def read_labelled(spark, path: str, text: str = "text", label: str = "intent") -> DataFrame:
+    """Labelled CSV: rows with null text or label dropped, text normalised,
+    label stripped; at least two labels required (one aggregate checks it)."""
+    from ..functions.text import normalize_text
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    missing = {text, label} - set(df.columns)
+    if missing:
+        raise ValueError(f"CSV must contain {sorted({text, label})} columns")
+    out = df.dropna(subset=[text, label]).withColumn(text, normalize_text(F.col(text))) \
+        .withColumn(label, F.trim(F.col(label)))
+    if out.agg(F.countDistinct(label)).first()[0] < 2:
+        raise ValueError("Training data must contain at least two intent labels.")
+    return out
+
+
+# S2 ---------------------------------------------------------------------------
+def read_sources(spark, required: list[str], optional: list[str] = ()) -> DataFrame:
+    """Union of several labelled CSVs by column name (missing columns null);
+    a missing optional source is skipped with a warning, a source rank column
+    records the input order for later keep-first de-duplication."""
+    import warnings
+    from pathlib import Path
+    parts = []
+    for rank, path in enumerate(list(required) + list(optional)):
+        if path in optional and not Path(path).exists():
+            warnings.warn(f"optional source not found: {path}")
+            continue
+        d = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        parts.append(d.withColumn("source_rank", F.lit(rank)).withColumn("row_id", F.monotonically_increasing_id()))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+# S3 ---------------------------------------------------------------------------
+def read_policies(spark, path: str) -> DataFrame:
+    """Policy documents (JSON array of {id, title, content}); search text is
+    title + ' ' + content; policy_idx keeps file order for tie-breaking."""
+    p = spark.read.json(path, multiLine=True)
+    w = F.monotonically_increasing_id()
+    return p.select(F.col("id").alias("policy_id"), "title", "content").withColumn("policy_idx", w) \
+        .withColumn("search_text", F.concat_ws(" ", "title", "content"))
+
+
+# S4 ---------------------------------------------------------------------------
+def read_records(spark, path: str) -> DataFrame:
+    """Nested operational records JSON -> one records table in the fixture
+    shape (order, tracking and transaction references with statuses)."""
+    raw = spark.read.json(path, multiLine=True)
+    orders = raw.select(F.explode("orders").alias("o")).select("o.*")
+    txns = raw.select(F.explode("transactions").alias("t")).select("t.*")
+    o = orders.select(F.col("reference"), F.col("tracking_reference"), F.col("status").alias("order_status"))
+    t = txns.select(F.col("reference").alias("transaction_reference"), F.col("status").alias("transaction_status"))
+    # Orders and transactions are separate lookups: union them into the record
+    # shape with the missing side null.
+    return (o.withColumn("transaction_reference", F.lit(None).cast("string"))
+            .withColumn("transaction_status", F.lit(None).cast("string"))
+            .unionByName(t.withColumn("reference", F.lit(None).cast("string"))
+                         .withColumn("tracking_reference", F.lit(None).cast("string"))
+                         .withColumn("order_status", F.lit(None).cast("string"))))
+
+
+# S5 ---------------------------------------------------------------------------
+def ingest_public(df: DataFrame, label_map: DataFrame, text: str = "instruction", label: str = "intent") -> DataFrame:
+    """Public corpus: lower-case column names, required columns, map the source
+    label to (query_type, intent) by an inner join (unmapped rows drop), dedupe."""
+    d = df.toDF(*[c.lower() for c in df.columns])
+    if not {text, label}.issubset(d.columns):
+        raise ValueError(f"corpus must contain {text} and {label}")
+    m = label_map.select(F.col("source_label").alias(label), "query_type", F.col("intent").alias("_intent"))
+    j = d.select(text, label).join(F.broadcast(m), on=label, how="inner") \
+        if label_map.count() <= 100_000 else d.select(text, label).join(m, on=label, how="inner")
+    return j.select(F.col(text).alias("text"), "query_type", F.col("_intent").alias("intent")).dropDuplicates()
+
+
+# S6 ---------------------------------------------------------------------------
+def decode_labels(df: DataFrame, names: list[str], label: str = "label") -> DataFrame:
+    """Integer class ids -> names (ids outside the list stay null)."""
+    arr = F.array(*[F.lit(n) for n in names])
+    return df.withColumn(f"{label}_name", F.try_element_at(arr, (F.col(label) + 1).cast("int")))
+
+
+# S7 ---------------------------------------------------------------------------
+def read_truth(spark, path: str, bool_cols: tuple[str, ...] = ("expected_escalation",)) -> DataFrame:
+    """Evaluation truth CSV; boolean columns parsed as lower-cased text == 'true'."""
+    d = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    for c in bool_cols:
+        if c in d.columns:
+            d = d.withColumn(c, F.lower(F.trim(F.col(c))) == F.lit("true"))
+    return d
+
+
+# S8 ---------------------------------------------------------------------------
+def ingest_attachments(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Text attachments: allow-listed extension, at most 2 MiB, UTF-8 decoded
+    with replacement, whitespace collapsed, cut to 5000 characters, at least 3
+    characters.  Returns (accepted, rejected with HTTP-style reason code).
+    PDF and DOCX need per-row codecs and are rejected as unreadable (422)."""
+    from ..functions.text import normalize_text
+    files = spark.read.format("binaryFile").load(path)
+    ext = F.lower(F.regexp_extract(F.col("path"), r"\.([^./]+)$", 1))
+    text = F.substring(normalize_text(F.decode(F.col("content"), "UTF-8")), 1, V.MAX_MESSAGE_CHARS)
+    reason = (F.when(~ext.isin(*V.ATTACHMENT_EXTENSIONS), F.lit(415))
+              .when(F.col("length") > V.MAX_ATTACHMENT_BYTES, F.lit(413))
+              .when(ext != "txt", F.lit(422))
+              .when(F.length(text) < 3, F.lit(422)))
+    d = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), ext.alias("extension"),
+                     F.when(ext == "txt", text).alias("text"), reason.alias("reject_code"))
+    return d.where(F.col("reject_code").isNull()).drop("reject_code"), d.where(F.col("reject_code").isNotNull())
+
+
+# S9 ---------------------------------------------------------------------------
+def append_tickets(store_rows: DataFrame, events: DataFrame, out_dir: str) -> None:
+    """Append masked tickets and their 'received' events (batch writes)."""
+    store_rows.write.mode("append").parquet(f"{out_dir}/tickets")
+    events.write.mode("append").parquet(f"{out_dir}/events")
+
+
+# S11 ----------------------------------------------------------------------------
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """Metrics long table (component, metric, value) as JSON lines."""
+    metrics.select("component", "metric", F.col("value").cast("double")).write.mode("overwrite").json(path)
+
+
+def read_metrics(spark, path: str, components: list[str]) -> DataFrame:
+    """Wide view: one row per component (missing components give nulls)."""
+    from pathlib import Path
+    comps = spark.createDataFrame([(c,) for c in components], "component string")
+    if not Path(path).exists():
+        return comps
+    m = spark.read.schema("component string, metric string, value double").json(path)
+    wide = m.groupBy("component").pivot("metric").agg(F.first("value"))
+    return comps.join(wide, on="component", how="left")
+
+
+# S12 ----------------------------------------------------------------------------
+def write_predictions(truth: DataFrame, predictions: DataFrame, key: str, path: str) -> None:
+    truth.join(predictions, on=key, how="left").write.mode("overwrite").parquet(path)
+
+
+# S13 ----------------------------------------------------------------------------
+def evolve_schema(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> DataFrame:
+    """Add store columns that an older table lacks: {name: (type, default)}."""
+    for name, (dtype, default) in defaults.items():
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(default).cast(dtype))
+    return df
+
+
+# S14 ----------------------------------------------------------------------------
+def split_valid(df: DataFrame, message: str = "message", status: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Intake validation: message 3..5000 characters, status in the enum.
+    Returns (valid, rejected with reason)."""
+    n = F.length(F.col(message))
+    reason = (F.when(F.col(message).isNull() | (n < V.MIN_MESSAGE_CHARS), F.lit("message_too_short"))
+              .when(n > V.MAX_MESSAGE_CHARS, F.lit("message_too_long")))
+    if status:
+        reason = reason.when(~F.col(status).isin(*V.TICKET_STATUSES), F.lit("invalid_status"))
+    d = df.withColumn("reject_reason", reason)
+    return d.where(F.col("reject_reason").isNull()).drop("reject_reason"), d.where(F.col("reject_reason").isNotNull())
