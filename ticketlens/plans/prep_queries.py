@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..operators import metrics as M
 from ..operators import prep
+from ..session import ensure_checkpoint_dir
 from . import fixtures as fx
 from . import jobs
 from . import oracle as O
@@ -332,3 +333,26 @@ def decoded_labels(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings").select("label")
     d = io.decode_labels(e, [f"class_{i}" for i in range(10)])
     return d.groupBy("label_name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# Train on the train split, evaluate on the held-out split -------
+@register("intent_model_eval")
+def intent_model_eval(spark, sf_dir):
+    """Rows-only check (model training is iterative): accuracy, macro F1 and
+    mean confidence of the intent and query-type models on the test split."""
+    from ..operators import model as ML
+    # The split is read by several fits (IDF, label index, class weights, LR):
+    # materialise it once in the shared checkpoint folder instead of replaying it.
+    ensure_checkpoint_dir(spark)
+    ts = jobs.training_set(spark, sf_dir).select("text", "intent", "query_type", "split").checkpoint(eager=True)
+    train, test = ts.where(F.col("split") == "train"), ts.where(F.col("split") == "test")
+    rows = []
+    for label in ("intent", "query_type"):
+        m = ML.fit(train, label)
+        s = ML.score(m, test.select("text", label)).select(F.col(label).alias("truth"),
+                                                            F.col("predicted").alias("pred"), "confidence")
+        rep = M.f1_summary(M.class_report(s))
+        acc = M.accuracy(s)
+        rows.append(acc.select(F.lit(label).alias("model"), F.round("accuracy", 6).alias("accuracy"), "n")
+                    .withColumn("macro_f1", F.round(rep.select("macro_f1").scalar(), 6)))
+    return rows[0].unionByName(rows[1])
