@@ -17,8 +17,12 @@ def test_registered_queries_plans(spark):
             assert bad not in text, f"{name}: {bad} in plan"
 
 
+# Iterative model training has no SQL equivalent: rows-only check plus test_model.py.
+ROWS_ONLY = {"intent_model_eval"}
+
+
 def test_every_query_has_oracle_or_is_listed():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(E.queries()) - set(E.oracle_sql()) - ROWS_ONLY
     assert not missing, missing
 
 
