@@ -139,16 +139,28 @@ def duplicate_pairs(df: DataFrame, id_col: str, text: str, threshold: float = V.
     cand = (a.join(b, on=F.col("a.term") == F.col("b.term"))
             .where(F.col("a.rep_id") < F.col("b.rep_id"))
             .select(F.col("a.rep_id").alias("id_a"), F.col("b.rep_id").alias("id_b")).distinct())
-    va = shared.select(F.col("rep_id").alias("id_a"), "term", F.col("weight").alias("wa"))
-    vb = shared.select(F.col("rep_id").alias("id_b"), "term", F.col("weight").alias("wb"))
-    sims = (cand.join(va, on="id_a").join(vb, on=["id_b", "term"])
-            .groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")))
+    sims = verify_pairs(cand, shared, "rep_id")
     out = sims.where(F.col("similarity") >= F.lit(threshold))
     ca = cnt.select(F.col("rep_id").alias("id_a"), F.col("n_copies").alias("copies_a"))
     cb = cnt.select(F.col("rep_id").alias("id_b"), F.col("n_copies").alias("copies_b"))
     return out.join(ca, on="id_a").join(cb, on="id_b")
 
 
+def verify_pairs(cand: DataFrame, vectors: DataFrame, id_col: str) -> DataFrame:
+    """Exact cosine of candidate pairs (id_a, id_b) from sparse (id, term, weight) rows.
+
+    Each text's vector is gathered once into a term -> weight map (one row per
+    text), each candidate pair fetches the two maps by id, and the dot product
+    is a hash merge of the two maps (``map_zip_with``) summed in the task: the
+    shuffle carries one row per pair instead of one row per (pair, term)."""
+    maps = vectors.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v"))
+    ma = maps.select(F.col(id_col).alias("id_a"), F.col("v").alias("va"))
+    mb = maps.select(F.col(id_col).alias("id_b"), F.col("v").alias("vb"))
+    prods = F.map_values(F.map_zip_with("va", "vb", lambda _, x, y: F.coalesce(x * y, F.lit(0.0))))
+    dot = F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
+    return cand.join(ma, on="id_a").join(mb, on="id_b").select("id_a", "id_b", dot.alias("similarity"))
+
+
 def exact_copies(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Copy groups (more than one row with the same text): rep_id, n_copies."""
     return collapse_copies(df, id_col, text).where(F.col("n_copies") > 1).select("rep_id", "n_copies")
