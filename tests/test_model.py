@@ -49,3 +49,18 @@ def test_char_grams_pad_words(spark):
     assert got[3:8] == [" th", "the", "her", "ere", "re "]
     assert "ere " in got and " ther" in got and " there " not in got
     assert len(got) == 3 + 5 + 4 + 3
+
+
+def test_query_type_model_or_fallback(spark):
+    rows = []
+    for i in range(10):
+        rows += [(f"where is my parcel {i}", "delivery"), (f"refund my card payment {i}", "payment")]
+    m = ML.fit(spark.createDataFrame(rows, "text string, query_type string"), "query_type", max_iter=20,
+               num_features=1 << 10)
+    probe = spark.createDataFrame([(1, "my parcel is late", "track_order")], "id int, text string, pred_intent string")
+    r = ML.score_query_type(probe, m).first()
+    assert (r.query_type, r.query_type_source) == ("delivery", "model") and 0.5 < r.query_type_confidence <= 1
+    d = ML.score_query_type(probe).first()
+    assert d.query_type_confidence is None and d.query_type_source == "intent"
+    from ticketlens.functions.text import query_type_for
+    assert d.query_type == probe.select(query_type_for("pred_intent")).first()[0]

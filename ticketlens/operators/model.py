@@ -1,4 +1,4 @@
-"""Intent and query-type classifiers with Spark ML (M1-M3, M5-M7).
+"""Intent and query-type classifiers with Spark ML (M1-M3, M5-M7; M6 with the intent fallback).
 
 Features are hashed (no vocabulary collected on the driver): word 1- and
 2-grams and character 3-5-grams inside space-padded words (a padded word
@@ -89,6 +89,21 @@ def score(model: PipelineModel, df: DataFrame, top_k: int = 3) -> DataFrame:
                     .alias("top_intents"))
 
 
+def score_query_type(df: DataFrame, model: PipelineModel | None = None, intent: str = "pred_intent") -> DataFrame:
+    """M6: query type from the six-class model when one is given (its label and
+    confidence, source "model"); otherwise derived from the intent, with a null
+    confidence and source "intent"."""
+    from ..functions.text import query_type_for
+    if model is None:
+        return df.withColumn("query_type", query_type_for(F.col(intent))) \
+            .withColumn("query_type_confidence", F.lit(None).cast("double")) \
+            .withColumn("query_type_source", F.lit("intent"))
+    scored = score(model, df, top_k=1)
+    return scored.drop("top_intents").withColumnRenamed("predicted", "query_type") \
+        .withColumnRenamed("confidence", "query_type_confidence") \
+        .withColumn("query_type_source", F.lit("model"))
+
+
 def save(model: PipelineModel, path: str) -> None:
     """M7."""
     model.write().overwrite().save(path)
