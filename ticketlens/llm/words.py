@@ -71,9 +71,14 @@ class WordTable:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cls, self.low, self.safe = _classes(not self.spaced)
         self.to_model = _byte_letters()
+        self.given = None
         self.clear()
 
     def clear(self) -> None:
+        """Drop all words but the given ones."""
+        if self.given is not None:
+            self.__dict__.update(self.given)
+            return
         self.keys = np.zeros(0, np.uint64)      # sorted word hashes
         self.rows = np.zeros(0, np.int64)       # their rows below
         self.c_start, self.c_len = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -94,12 +99,16 @@ class WordTable:
 
     def load(self, words: list[str], ids: list[list[int]]) -> None:
         """Take over words whose ids are known already (those of a word table made by Spark)."""
+        self.given = None
+        self.clear()
         if words:
             chars = [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words]
             flat, lens = np.concatenate(chars), np.array([len(c) for c in chars], np.int64)
             keys = _hashes(flat, np.cumsum(lens) - lens, np.cumsum(lens))
             _, first = np.unique(keys, return_index=True)
             self._grow(keys[first], [chars[k] for k in first], [ids[k] for k in first])
+        fields = ("keys", "rows", "c_start", "c_len", "i_start", "i_len", "chars", "ids")
+        self.given = {f: getattr(self, f) for f in fields}
 
     def word_ids(self, words: list[np.ndarray]) -> list[list[int]]:
         """Ids of each word (its characters), as the tokenizer's model gives them."""
@@ -125,6 +134,30 @@ class WordTable:
             np.add.at(counts, lens[0], lens[1])
         return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), counts
 
+    def count_words(self, texts: list[str], longest: int) -> dict[str, int]:
+        """How often each distinct word of at most ``longest`` characters occurs (texts that go
+        through the tokenizer whole are left out)."""
+        texts = [t for t in texts if not any(s in t for s in self.special)]
+        lens = np.array([len(t) for t in texts], np.int64)
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(chars):
+            return {}
+        unsafe = (chars >= _TOP) | ~self.safe[np.minimum(chars, _TOP - 1)]
+        if unsafe.any():
+            odd = np.zeros(len(texts), bool)
+            odd[np.searchsorted(np.cumsum(lens), np.flatnonzero(unsafe), side="right")] = True
+            return self.count_words([t for t, o in zip(texts, odd) if not o], longest)
+        if not self.spaced:
+            chars = self.low[chars]
+        start, end = split(chars, lens, self.cls, self.spaced)
+        short = end - start <= longest
+        start, end = start[short], end[short]
+        if not len(start):
+            return {}
+        _, first, n = np.unique(_hashes(chars, start, end), return_index=True, return_counts=True)
+        text = chars.tobytes().decode("utf-32-le")
+        return dict(zip((text[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())), n.tolist()))
+
     def _parts(self, texts: list[str]):
         """(ids, (row, number of ids)) of blocks of whole texts or of pieces of long ones."""
         sizes = np.array([len(t) for t in texts], np.int64)
