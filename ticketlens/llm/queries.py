@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_table, exact_dedup, packing, sharding, topk, wavelet
+from . import bpe_table, exact_dedup, packing, quality_lm, sharding, topk, toxicity, wavelet
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +81,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = wavelet.token_file_folder(spark)
     wavelet.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=1)
     return wavelet.read_token_files(spark, path)
+
+
+@query("op3_kneser_ney_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_subword_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

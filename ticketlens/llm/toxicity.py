@@ -19,20 +19,22 @@ one vote each, 1 if most say so.
 """
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BLOCK, documents, runs, seeds
+from .common import documents, materialise, runs, seeds
 
 #: The bound of the training sample, for each class.
-TRAIN_DOCS, TRAIN_CHARS = 1500, 2_500_000
-BUCKET_BITS, DIM, NGRAMS, REACH = 18, 8, (3, 4, 5), 1
-EPOCHS, RATE, DECAY = 60, 1.0, 1e-3
+TRAIN_DOCS, TRAIN_CHARS = 1500, 2_000_000
+BUCKET_BITS, DIM, NGRAMS = 18, 8, (3, 4, 5)
+#: Training steps with bags of a word and so many neighbours on each side; scores use the last reach.
+SCHEDULE = ((2, 50), (1, 40), (0, 40))
+RATE, DECAY = 1.0, 1e-3
 THRESHOLD = 0.7
 _P, _K = int(seeds(1, 21)[0]), seeds(2, 22)
 
@@ -93,21 +95,21 @@ def bags(texts: list[str]) -> Bags:
     return Bags(np.concatenate(buckets), np.concatenate(words), text)
 
 
-def _neighbours(values: np.ndarray, text: np.ndarray) -> np.ndarray:
+def _neighbours(values: np.ndarray, text: np.ndarray, reach: int) -> np.ndarray:
     """Sum of each word's value and those of its neighbours in the same text."""
     out = values.copy()
-    for d in range(1, REACH + 1):
+    for d in range(1, reach + 1):
         same = text[d:] == text[:-d]
         out[d:] += np.where(same, values[:-d], 0)
         out[:-d] += np.where(same, values[d:], 0)
     return out
 
 
-def bag_logits(b: Bags, s: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+def bag_logits(b: Bags, s: np.ndarray, bias: float, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Logit and n-gram count of the bag around every word."""
     n = len(b.text)
-    count = _neighbours(np.bincount(b.word, minlength=n).astype(np.float64), b.text)
-    total = _neighbours(np.bincount(b.word, weights=s[b.buckets], minlength=n), b.text)
+    count = _neighbours(np.bincount(b.word, minlength=n).astype(np.float64), b.text, reach)
+    total = _neighbours(np.bincount(b.word, weights=s[b.buckets], minlength=n), b.text, reach)
     return total / np.maximum(count, 1) + bias, count
 
 
@@ -129,7 +131,7 @@ def score_texts(texts: list[str], s: np.ndarray, bias: float) -> np.ndarray:
     out = np.full(len(texts), -30.0)
     b = bags(texts)
     if len(b.text):
-        z, _ = bag_logits(b, s, bias)
+        z, _ = bag_logits(b, s, bias, SCHEDULE[-1][0])
         np.maximum.at(out, b.text, z)
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
@@ -145,10 +147,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     vectors = rng.normal(0, 0.05, (1 << BUCKET_BITS, DIM))
     softmax = rng.normal(0, 0.5, (DIM, 2))
     bias = np.zeros(2)
-    for epoch in range(EPOCHS):
+    for epoch, reach in enumerate(r for r, n in SCHEDULE for _ in range(n)):
         u = softmax[:, 1] - softmax[:, 0]
-        z, count = bag_logits(b, vectors @ u, bias[1] - bias[0])
-        sharp = 4.0 * epoch / EPOCHS
+        z, count = bag_logits(b, vectors @ u, bias[1] - bias[0], reach)
+        sharp = min(4.0, 4.0 * epoch / SCHEDULE[0][1])
         w = z * sharp
         w = np.exp(w - np.repeat(np.maximum.reduceat(w, first), np.diff(np.append(first, len(w)))))
         w /= np.repeat(np.add.reduceat(w, first), np.diff(np.append(first, len(w))))
@@ -156,7 +158,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         doc[has] = np.add.reduceat(w * z, first)
         g = (1 / (1 + np.exp(-np.clip(doc, -30, 30))) - y) * cost
         per_bag = g[b.text] * w
-        per_word = _neighbours(per_bag / np.maximum(count, 1), b.text)
+        per_word = _neighbours(per_bag / np.maximum(count, 1), b.text, reach)
         grad = np.bincount(b.buckets, weights=per_word[b.word], minlength=1 << BUCKET_BITS)
         g_bias = g.sum()
         g_u = vectors.T @ grad
@@ -170,5 +172,56 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     return Model(vectors, softmax, bias)
 
 
-def held_out(doc_id) -> "F.Column":
-    return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(3)) == 1
+def held_out(doc_id) -> Column:
+    """Rows that training never sees: remainder 1 of the id's CRC-32 modulo 3."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most TRAIN_DOCS rows and TRAIN_CHARS characters of each class."""
+    votes = (labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+             .agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")))
+    votes = votes.where(~held_out(F.col("doc_id"))).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    votes = materialise(votes.withColumn("draw", F.xxhash64("doc_id")))
+    chosen = [votes.where(F.col("toxic") == k).orderBy("draw", "doc_id").limit(TRAIN_DOCS) for k in (0, 1)]
+    rows = documents(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").dropDuplicates(["doc_id"])  # at most 2 * TRAIN_DOCS rows
+    upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy("draw", "doc_id"))
+    got = rows.withColumn("upto", upto).where(F.col("upto") <= TRAIN_CHARS).select("text", "toxic").orderBy("draw", "doc_id").collect()
+    return [r["text"] for r in got], np.array([r["toxic"] for r in got], np.int64)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model, or None where one class has no labelled row."""
+    texts, y = training_sample(docs, labels)
+    return train(texts, y) if len(set(y.tolist())) == 2 else None
+
+
+def with_scores(docs: DataFrame, model: Model | None, column: str) -> DataFrame:
+    """All columns of ``docs`` and the score of the text."""
+    if model is None:
+        return docs.withColumn(column, F.lit(0.0))
+    shared = docs.sparkSession.sparkContext.broadcast(model.folded())  # 2 ** BUCKET_BITS numbers
+    names, at = docs.columns, docs.columns.index("text")
+
+    def work(batches):
+        s, bias = shared.value
+        for batch in batches:
+            texts = batch.column(at).fill_null("").to_pylist()
+            out = np.zeros(len(texts))
+            for a, b in runs(np.array([len(t) for t in texts], np.int64)):
+                out[a:b] = score_texts(texts[a:b], s, bias)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, column])
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
+    return docs.mapInArrow(work, schema)
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    scored = with_scores(documents(docs), fit(docs, labels), "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents below the threshold; all columns stay."""
+    named = docs.withColumn("text", F.col("text").cast("string"))
+    return with_scores(named, fit(docs, labels), "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
