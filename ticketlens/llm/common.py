@@ -20,10 +20,25 @@ def documents(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder: lost executors do not lose it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage in the shared checkpoint folder: lost executors do not lose it.
+
+    The shuffle files behind it are of no more use and are removed at once.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_table, exact_dedup, packing, quality_lm, sharding, topk, toxicity, wavelet
+from . import bpe_table, exact_dedup, packing, quality_lm, sharding, suffix_dedup, topk, toxicity, wavelet
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_subword_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 49)) AS s, unnest(list_transform(range(0, n - 49), i -> substr(h, 2 * i + 1, 100))) AS g FROM d WHERE n >= 50),
+m AS (SELECT g, min(doc_id) AS lo FROM w GROUP BY g),
+r AS (SELECT w.doc_id, w.s FROM w JOIN m ON w.g = m.g WHERE w.doc_id > m.lo),
+e AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM r),
+k AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM e),
+u AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM k GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM u),
+q AS (SELECT d.doc_id, d.n, sum(p.b - p.a) AS n_removed, count(*) AS n_spans,
+             string_agg(substr(d.h, 2 * p.before + 1, 2 * (p.a - p.before)), '' ORDER BY p.a) || substr(any_value(d.h), 2 * max(p.b) + 1) AS kept
+      FROM d JOIN p ON d.doc_id = p.doc_id GROUP BY d.doc_id, d.n)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(q.n_removed, 0) AS BIGINT) AS n_removed, coalesce(q.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(q.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN q ON d.doc_id = q.doc_id""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), threshold=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
