@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_table, exact_dedup, packing, quality_lm, sharding, suffix_dedup, topk, toxicity, wavelet
+from . import bpe_table, exact_dedup, jaccard_join, packing, quality_lm, sharding, suffix_dedup, topk, toxicity, wavelet
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,3 +111,20 @@ FROM d LEFT JOIN q ON d.doc_id = q.doc_id""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), threshold=50)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op2_prefix_tree_jaccard", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(a) >= 3 THEN list_distinct(list_transform(range(1, len(a) - 1), i -> a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]))
+                      WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE [] END AS g FROM w),
+t AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+o AS (SELECT p.doc_id AS a, q.doc_id AS b, p.n AS na, q.n AS nb, count(*) AS o FROM t p JOIN t q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE 100 * o >= 90 * (na + nb - o) UNION ALL SELECT b, a FROM o WHERE 100 * o >= 90 * (na + nb - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM s JOIN r ON s.doc_id = r.a GROUP BY s.doc_id, len(s.g)""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
