@@ -62,7 +62,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH sound AS (
   SELECT vec_id, embedding FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 flat AS (
   SELECT vec_id, unnest(range(len(embedding))) AS d, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM sound),
 scores AS (
@@ -95,7 +95,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_suffix_dedup", """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-w AS (SELECT doc_id, unnest(range(0, n - 49)) AS s, unnest(list_transform(range(0, n - 49), i -> substr(h, 2 * i + 1, 100))) AS g FROM d WHERE n >= 50),
+w AS (SELECT doc_id, unnest(range(0, n - 49)) AS s, unnest([substr(h, 2 * i + 1, 100) for i in range(0, n - 49)]) AS g FROM d WHERE n >= 50),
 m AS (SELECT g, min(doc_id) AS lo FROM w GROUP BY g),
 r AS (SELECT w.doc_id, w.s FROM w JOIN m ON w.g = m.g WHERE w.doc_id > m.lo),
 e AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM r),
@@ -118,7 +118,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x20\x09-\x0D]+') AS a FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN len(a) >= 3 THEN list_distinct(list_transform(range(1, len(a) - 1), i -> a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]))
+  SELECT doc_id, CASE WHEN len(a) >= 3 THEN list_distinct([a[i] || ' ' || a[i + 1] || ' ' || a[i + 2] for i in range(1, len(a) - 1)])
                       WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE [] END AS g FROM w),
 t AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
 o AS (SELECT p.doc_id AS a, q.doc_id AS b, p.n AS na, q.n AS nb, count(*) AS o FROM t p JOIN t q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY ALL),
@@ -128,3 +128,10 @@ SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.b) AS component_i
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
