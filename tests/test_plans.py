@@ -1,6 +1,7 @@
 """Plan shape of every registered query: no Python UDF, no cartesian product or
 nested-loop join, and the flagship scan prunes columns."""
 import __spark_entry__ as E
+from ticketlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 BANNED = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")
@@ -11,7 +12,7 @@ def plan_text(df):
 
 
 def test_registered_queries_plans(spark):
-    for name, fn in E.queries().items():
+    for name, fn in catalog.SPARK.items():
         text = plan_text(fn(spark, SF))
         for bad in BANNED:
             assert bad not in text, f"{name}: {bad} in plan"
@@ -22,7 +23,7 @@ ROWS_ONLY = {"intent_model_eval"}
 
 
 def test_every_query_has_oracle_or_is_listed():
-    missing = set(E.queries()) - set(E.oracle_sql()) - ROWS_ONLY
+    missing = set(catalog.SPARK) - set(catalog.SQL) - ROWS_ONLY
     assert not missing, missing
 
 

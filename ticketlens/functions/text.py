@@ -34,6 +34,11 @@ def normalize_text(c) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(_c(c).cast("string"), F.lit("")), WS_CLASS + "+", " "))
 
 
+def strip(c) -> Column:
+    """Without white space of any kind at either end (nulls stay null)."""
+    return F.regexp_replace(_c(c).cast("string"), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+
+
 # B2-B8 ------------------------------------------------------------------------
 def order_ids(c) -> Column:
     return F.regexp_extract_all(_c(c), _rx(V.ORDER_ID_PATTERN, "iU"), F.lit(1))
@@ -152,7 +157,7 @@ def _map(d: dict) -> Column:
 
 
 def query_type_for(intent) -> Column:
-    key = F.lower(F.trim(F.coalesce(_c(intent).cast("string"), F.lit("None"))))
+    key = F.lower(strip(F.coalesce(_c(intent).cast("string"), F.lit("None"))))
     return F.coalesce(F.try_element_at(_map(V.INTENT_TO_QUERY_TYPE), key), F.lit("other"))
 
 

@@ -23,14 +23,16 @@ def _status_message(status) -> F.Column:
 # L1 ---------------------------------------------------------------------------
 def apply_updates(tickets: DataFrame, updates: DataFrame) -> DataFrame:
     """Last update per ticket sets status, outcome and reply; omitted fields
-    become null (no transition check)."""
+    become null (no transition check).  Updates without a reply column have no reply."""
+    reply = F.col("reply") if "reply" in updates.columns else F.lit(None).cast("string")
     last = updates.groupBy("ticket_id").agg(F.max_by(
-        F.struct(F.col("status").alias("u_status"), F.col("outcome").alias("u_outcome")),
+        F.struct(F.col("status").alias("u_status"), F.col("outcome").alias("u_outcome"), reply.alias("u_reply")),
         F.struct("updated_at", "update_id")).alias("u"), F.count(F.lit(1)).alias("n_updates"))
     j = tickets.join(last, on="ticket_id", how="left")
     has = F.col("u").isNotNull()
     return (j.withColumn("status", F.when(has, F.col("u.u_status")).otherwise(F.col("status")))
             .withColumn("agent_outcome", F.when(has, F.col("u.u_outcome")))
+            .withColumn("agent_reply", F.when(has, F.col("u.u_reply")))
             .withColumn("n_updates", F.coalesce(F.col("n_updates"), F.lit(0)))
             .drop("u"))
 
@@ -73,7 +75,7 @@ def status_durations(events: DataFrame) -> DataFrame:
     """Seconds spent in each status until the next event (last one open-ended)."""
     w = Window.partitionBy("ticket_id").orderBy("created_at", "event_id")
     nxt = F.lead("created_at").over(w)
-    secs = F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
+    secs = F.timestamp_diff("MICROSECOND", F.col("created_at"), nxt)  # wall-clock times: no session zone involved
     return events.select("ticket_id", "event_id", "status", "created_at", (secs / F.lit(1e6)).alias("seconds_in_status"))
 
 
@@ -97,13 +99,11 @@ def kpis(tickets: DataFrame, reviews: DataFrame) -> DataFrame:
 def breakdown(tickets: DataFrame) -> DataFrame:
     """Counts by query type, priority and status in one GROUPING SETS pass, with
     each bucket's share of its dimension's largest bucket (bar width, A3)."""
-    tickets.createOrReplaceTempView("_tl_breakdown")
-    g = tickets.sparkSession.sql("""
-        SELECT CASE grouping_id(query_type, priority, status) WHEN 3 THEN 'query_type'
-                    WHEN 5 THEN 'priority' ELSE 'status' END AS dimension,
-               coalesce(query_type, priority, status) AS bucket, count(*) AS n
-        FROM _tl_breakdown
-        GROUP BY GROUPING SETS ((query_type), (priority), (status))""")
+    qt, pr, st = F.col("query_type"), F.col("priority"), F.col("status")
+    g = tickets.groupingSets([[qt], [pr], [st]], qt, pr, st).agg(F.grouping_id(qt, pr, st).alias("_g"), F.count(F.lit(1)).alias("n"))
+    is_qt, is_pr = F.col("_g") == 3, F.col("_g") == 5   # a null bucket keeps its row
+    g = g.select(F.when(is_qt, F.lit("query_type")).when(is_pr, F.lit("priority")).otherwise(F.lit("status")).alias("dimension"),
+                 F.when(is_qt, qt).when(is_pr, pr).otherwise(st).alias("bucket"), "n")
     w = Window.partitionBy("dimension")
     return g.withColumn("bar_share", F.round(F.col("n") / F.greatest(F.lit(1), F.max("n").over(w)), 6))
 

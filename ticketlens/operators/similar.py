@@ -14,8 +14,6 @@ for top-k output only the first k members of a copy group can ever be chosen.
 """
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,38 +125,58 @@ def duplicate_pairs(df: DataFrame, id_col: str, text: str, threshold: float = V.
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("rep_id")))
     vec = w.select("rep_id", "term", "df", "df_texts", (F.col("w") / norm).alias("weight"))
     # Only shareable terms matter from here on; cosine uses the full norm above.
-    shared = materialise(vec.where(F.col("df_texts") >= 2).drop("df_texts"))
+    shared = vec.where(F.col("df_texts") >= 2).drop("df_texts")
     maxw = shared.groupBy("term").agg(F.max("weight").alias("maxw"))
-    sv = shared.join(maxw, on="term")
-    order = Window.partitionBy("rep_id").orderBy(F.col("df").desc(), F.col("term").desc()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bound = F.least(F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order)),
-                    F.sum(F.col("weight") * F.col("maxw")).over(order))
-    pre = sv.withColumn("_bound", bound).where(F.col("_bound") >= F.lit(threshold - EPS)).select("rep_id", "term")
-    a, b = pre.alias("a"), pre.alias("b")
-    cand = (a.join(b, on=F.col("a.term") == F.col("b.term"))
-            .where(F.col("a.rep_id") < F.col("b.rep_id"))
-            .select(F.col("a.rep_id").alias("id_a"), F.col("b.rep_id").alias("id_b")).distinct())
-    sims = verify_pairs(cand, shared, "rep_id")
+    by_rank = Window.partitionBy("rep_id").orderBy(F.col("df").desc(), F.col("term").desc())
+    upto = by_rank.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # norm / reach: what this and the later (more common) terms can add at most; norm_after / reach_after: the later ones alone
+    w2, wm = F.col("weight") * F.col("weight"), F.col("weight") * F.col("maxw")
+    sv = (shared.join(maxw, on="term")
+          .withColumn("norm", F.sqrt(F.sum(w2).over(upto))).withColumn("reach", F.sum(wm).over(upto))
+          .withColumn("norm_after", F.sqrt(F.greatest(F.col("norm") * F.col("norm") - w2, F.lit(0.0))))
+          .withColumn("reach_after", F.col("reach") - wm)
+          .withColumn("indexed", F.least("norm", "reach") >= F.lit(threshold - EPS)))
+    sv = materialise(sv.drop("maxw", "reach"))
+    pre = sv.where("indexed")
+    # where each text's index ends, and what its remaining terms can add
+    ends = pre.groupBy("rep_id").agg(F.max(F.struct("df", "term", "norm_after", "reach_after")).alias("end"))
+    cand = candidate_pairs(pre.join(ends, on="rep_id"), threshold)
+    # Exact cosine: the indexed part is summed already; the text whose index ends first sends its remaining terms.
+    rest = sv.where(~F.col("indexed")).select("rep_id", "term", "weight")
+    left = cand.where("remaining").select("id_a", "id_b", F.when(F.col("a_first"), F.col("id_a")).otherwise(F.col("id_b")).alias("sends"),
+                                          F.when(F.col("a_first"), F.col("id_b")).otherwise(F.col("id_a")).alias("other"))
+    sent = left.join(rest.withColumnRenamed("rep_id", "sends").withColumnRenamed("weight", "w1"), on="sends")
+    met = sent.join(sv.select(F.col("rep_id").alias("other"), "term", F.col("weight").alias("w2")), on=["other", "term"])
+    sims = cand.select("id_a", "id_b", F.col("partial").alias("s")).unionByName(
+        met.select("id_a", "id_b", (F.col("w1") * F.col("w2")).alias("s"))).groupBy("id_a", "id_b").agg(F.sum("s").alias("similarity"))
     out = sims.where(F.col("similarity") >= F.lit(threshold))
     ca = cnt.select(F.col("rep_id").alias("id_a"), F.col("n_copies").alias("copies_a"))
     cb = cnt.select(F.col("rep_id").alias("id_b"), F.col("n_copies").alias("copies_b"))
     return out.join(ca, on="id_a").join(cb, on="id_b")
 
 
-def verify_pairs(cand: DataFrame, vectors: DataFrame, id_col: str) -> DataFrame:
-    """Exact cosine of candidate pairs (id_a, id_b) from sparse (id, term, weight) rows.
-
-    Each text's vector is gathered once into a term -> weight map (one row per
-    text), each candidate pair fetches the two maps by id, and the dot product
-    is a hash merge of the two maps (``map_zip_with``) summed in the task: the
-    shuffle carries one row per pair instead of one row per (pair, term)."""
-    maps = vectors.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v"))
-    ma = maps.select(F.col(id_col).alias("id_a"), F.col("v").alias("va"))
-    mb = maps.select(F.col(id_col).alias("id_b"), F.col("v").alias("vb"))
-    prods = F.map_values(F.map_zip_with("va", "vb", lambda _, x, y: F.coalesce(x * y, F.lit(0.0))))
-    dot = F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
-    return cand.join(ma, on="id_a").join(mb, on="id_b").select("id_a", "id_b", dot.alias("similarity"))
+def candidate_pairs(pre: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (id_a < id_b) whose indexed terms' product plus the most that the
+    remaining terms can add reaches the threshold.
+
+    A shared term that only one of the two texts indexes ranks behind the end of
+    the other's index, so past the first end only that text's remaining terms
+    count: by their norm times the other text's norm behind the last common
+    indexed term, or by the largest weights any text gives them."""
+    cols = ["rep_id", "term", "df", "weight", "norm_after", "end"]
+    a = pre.select(*[F.col(c).alias(f"a_{c}" if c != "term" else c) for c in cols])
+    b = pre.select(*[F.col(c).alias(f"b_{c}" if c != "term" else c) for c in cols])
+    met = a.join(b, on="term").where(F.col("a_rep_id") < F.col("b_rep_id"))
+    pair = met.groupBy(F.col("a_rep_id").alias("id_a"), F.col("b_rep_id").alias("id_b")).agg(
+        F.sum(F.col("a_weight") * F.col("b_weight")).alias("partial"),
+        F.max(F.struct("a_df", "term", F.col("a_norm_after").alias("na"), F.col("b_norm_after").alias("nb"))).alias("last"),
+        F.first("a_end").alias("ea"), F.first("b_end").alias("eb"))
+    a_first = F.struct("ea.df", "ea.term") <= F.struct("eb.df", "eb.term")
+    mine = F.when(a_first, F.col("ea")).otherwise(F.col("eb"))
+    other_norm = F.when(a_first, F.col("last.nb")).otherwise(F.col("last.na"))
+    more = F.least(mine["norm_after"] * other_norm, mine["reach_after"])
+    return pair.where(F.col("partial") + more >= F.lit(threshold - EPS)).select(
+        "id_a", "id_b", "partial", a_first.alias("a_first"), (mine["norm_after"] > 0).alias("remaining"))
 
 
 def exact_copies(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -241,36 +259,34 @@ def duplicate_candidates(messages: DataFrame, tickets: DataFrame, msg_id: str =
 
 # V5, V7 -----------------------------------------------------------------------
 def search_policies(queries: DataFrame, policies: DataFrame, k: int = V.RETRIEVAL_K, query_id: str = "query_id",
-                    stop_words=None, broadcast_limit: int = 100_000) -> DataFrame:
+                    stop_words=None) -> DataFrame:
     """Lexical retrieval: for every query exactly ``k`` policies (zero scores
     kept), cosine over a vectoriser fitted on the policies (title + content),
     score rounded to 4 dp, equal scores -> later policy first.
 
-    ``policies``: (policy_idx long, policy_id, title, content).  The policy
-    vectors are broadcast only when the knowledge base has at most
-    ``broadcast_limit`` policies (checked); above that the term join shuffles.
+    ``policies``: (policy_idx long, policy_id, title, content).  Equal query texts
+    are scored once.  Spark chooses each join by the size of its sides.
     """
     p = policies.select("policy_idx", "policy_id", F.concat_ws(" ", "title", "content").alias("ptext"))
     pvec, vocab = tfidf_fit(p, "policy_idx", "ptext", stop_words)
-    qvec = transform(queries, query_id, "text", vocab, stop_words)
-    n_pol = policies.count()  # one number; decides the join strategy
+    keyed = queries.select(query_id, F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("_q", F.md5("text"))
+    texts = keyed.groupBy("_q").agg(F.first("text").alias("text"))   # one text per key
+    qvec = transform(texts, "_q", "text", vocab, stop_words)
     pv = pvec.select("policy_idx", "term", F.col("weight").alias("pw"))
-    pv = F.broadcast(pv) if n_pol <= broadcast_limit else pv
-    scored = qvec.join(pv, on="term").groupBy(query_id, "policy_idx").agg(
+    scored = qvec.join(pv, on="term").groupBy("_q", "policy_idx").agg(
         F.sum(F.col("weight") * F.col("pw")).alias("score"))
     # Zero-score fill: the k policies that win ties at 0 (largest index first).
     fill = policies.orderBy(F.col("policy_idx").desc()).limit(k).agg(
         F.collect_list("policy_idx").alias("_fill"))  # k values at most
-    zeros = queries.select(query_id).withColumn(
+    zeros = texts.select("_q").withColumn(
         "policy_idx", F.explode(fill.select("_fill").scalar())).withColumn("score", F.lit(0.0))
-    allc = scored.unionByName(zeros).groupBy(query_id, "policy_idx").agg(F.max("score").alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col("policy_idx").desc())
+    allc = scored.unionByName(zeros).groupBy("_q", "policy_idx").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("_q").orderBy(F.col("score").desc(), F.col("policy_idx").desc())
     top = allc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     meta = policies.select("policy_idx", "policy_id", "title", "content")
-    meta = F.broadcast(meta) if n_pol <= broadcast_limit else meta
-    return top.join(meta, on="policy_idx").select(
-        query_id, "rank", "policy_idx", "policy_id", "title", "content", F.round("score", 4).alias("score"),
-        F.lit(V.RETRIEVAL_BACKEND).alias("backend"))
+    hits = top.join(meta, on="policy_idx").groupBy("_q").agg(F.collect_list(F.struct(
+        "rank", "policy_idx", "policy_id", "title", "content", F.round("score", 4).alias("score"))).alias("_hits"))  # k of them
+    return keyed.select(query_id, "_q").join(hits, on="_q").select(query_id, F.inline("_hits")).withColumn("backend", F.lit(V.RETRIEVAL_BACKEND))
 
 
 # V6 ---------------------------------------------------------------------------
@@ -285,30 +301,54 @@ def unit(v: Column) -> Column:
 
 
 def search_vectors(queries: DataFrame, index: DataFrame, k: int = V.RETRIEVAL_K, query_id: str = "query_id",
-                   vector: str = "vector", broadcast_limit: int = 10_000) -> DataFrame:
+                   vector: str = "vector", block_rows: int = 8192, exclude_self: bool = False) -> DataFrame:
     """Exact inner-product top-k of unit vectors against an index table
-    (index_id, index_vector).  The index travels with every query row as one
-    array value (a scalar subquery), after a checked size bound; above the
-    bound the method refuses rather than plan an all-pairs product."""
-    n_idx = index.count()
-    if n_idx > broadcast_limit:
-        raise ValueError(f"vector index has {n_idx} rows (> {broadcast_limit}); use an ANN candidate stage")
-    idx = index.agg(F.collect_list(F.struct("index_id", "index_vector")).alias("_idx")).scalar()
-    queries = queries.withColumn("_idx", idx)
-    scores = F.transform(F.col("_idx"), lambda e: F.struct(dot(F.col(vector), e["index_vector"]).alias("score"),
-                                                 (-e["index_id"]).alias("neg_id"), e["index_id"].alias("index_id")))
-    best = F.slice(F.reverse(F.array_sort(scores)), 1, k)
-    out = queries.select(query_id, F.posexplode(best).alias("pos", "hit"))
-    return out.select(query_id, (F.col("pos") + 1).alias("rank"), F.col("hit.index_id").alias("index_id"),
-                      F.col("hit.score").alias("score"))
-
-
-def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
-    """Unit-normalised mean vector per label (one row per label)."""
-    e = vectors.select(label, F.posexplode(vec).alias("pos", "x"))
-    m = e.groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    arr = m.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_s"))
-    return arr.select(F.col(label).alias("index_id"), unit(F.transform("_s", lambda s: s["x"])).alias("index_vector"))
+    (index_id, index_vector) of any size.
+
+    The index is dealt into blocks of bounded size and every query meets every
+    block (a stated query set in blocks); a block's scores are one matrix product
+    in its task and only its k best leave it, to be merged by rank.  Equal scores:
+    the smaller index_id first."""
+    import numpy as np
+    import pyarrow as pa
+
+    blocks = max(1, -(-index.count() // block_rows))
+    rows = index.select(F.pmod(F.xxhash64("index_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"),
+                        F.col("index_id").cast("long").alias("id"), F.transform("index_vector", lambda x: x.cast("double")).alias("v"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"),
+                           F.col(query_id).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    met = rows.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks", "id")
+
+    def best(ids, v, qids, q):
+        score = q @ v.T
+        if exclude_self:
+            score[qids[:, None] == ids[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+        top = np.take_along_axis(score, order, axis=1)
+        row, col = np.nonzero(top > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[order[row, col]]), pa.array(top[row, col])],
+                                          names=[query_id, "index_id", "score"])
+
+    def work(batches):
+        block, ids, vecs = None, [], []
+        for batch in batches:
+            blk, asks, vid = (c.to_numpy() for c in batch.columns[:3])
+            edges = [0, *(np.flatnonzero((np.diff(blk) != 0) | (np.diff(asks) != 0)) + 1).tolist(), len(blk)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if blk[a] != block:
+                    block, ids, vecs = blk[a], [], []
+                part = np.stack(batch.column(3).slice(a, b - a).to_numpy(zero_copy_only=False))
+                if not asks[a]:
+                    ids.append(vid[a:b])
+                    vecs.append(part)
+                elif ids:
+                    for at in range(0, b - a, 256):
+                        yield best(np.concatenate(ids), np.concatenate(vecs), vid[a + at:min(b, a + at + 256)], part[at:at + 256])
+    partial = met.mapInArrow(work, f"{query_id} long, index_id long, score double")
+    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), "index_id")
+    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", "index_id", "score")
 
 
 # V8 ---------------------------------------------------------------------------
@@ -354,8 +394,3 @@ def handoff_summary(query_type: Column, intent: Column, confidence: Column, prio
     ]
     return F.concat(F.concat_ws(". ", *parts), F.lit("."))
 
-
-def r_min_value(n_open: int) -> float:
-    """Python form of the ticket-side prefix loosening factor (for tests)."""
-    a = n_open + 2.0
-    return (math.log(a / 3.0) + 1.0) / (math.log(a / 2.0) + 1.0)

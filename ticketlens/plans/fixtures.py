@@ -55,7 +55,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered tickets: ticket_id, created_at, customer_id, template_id, order_key,
     message, true_intent, pred_intent, confidence, query_confidence, status."""
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    n_orders = read_table(spark, sf_dir, "orders", spread=False).agg(F.count(F.lit(1))).scalar()
+    n_orders = read_table(spark, sf_dir, "orders").agg(F.count(F.lit(1))).scalar()
     return render_tickets(events, n_orders)
 
 
@@ -121,25 +121,28 @@ def records_from_orders(orders: DataFrame) -> DataFrame:
 
 def updates(spark: SparkSession, sf_dir: str, tix: DataFrame | None = None) -> DataFrame:
     """Agent updates: tickets with id % 3 = 0 get one, id % 6 = 0 a second one
-    (reopening or resolving); some carry null outcome or null labels."""
+    (reopening or resolving); some carry null outcome or null labels.  Both come
+    from one pass over the tickets."""
     t = tix if tix is not None else tickets(spark, sf_dir)
     tid = F.col("ticket_id")
-    first = t.where(tid % 3 == 0).select(
+    first = F.struct(
         (tid * 2).alias("update_id"), tid.alias("ticket_id"),
         F.timestamp_add("MINUTE", (tid % 47) + 1, F.col("created_at")).alias("updated_at"),
         _pick(["in_progress", "resolved", "open"], (tid / 3).cast("long") % 3).alias("status"),
         F.when(tid % 4 != 0, F.col("true_intent")).alias("final_intent"),
         F.when(tid % 9 != 0, F.format_string("Outcome noted for ticket %d", tid)).alias("outcome"),
         F.format_string("agent%d", tid % 5).alias("reviewer"),
+        F.when(tid % 2 != 0, F.format_string("We looked into ticket %d.", tid)).alias("reply"),
     )
-    second = t.where(tid % 6 == 0).select(
+    second = F.when(tid % 6 == 0, F.struct(
         (tid * 2 + 1).alias("update_id"), tid.alias("ticket_id"),
         F.timestamp_add("MINUTE", F.lit(180), F.col("created_at")).alias("updated_at"),
         F.when((tid / 6).cast("long") % 2 == 0, F.lit("open")).otherwise(F.lit("resolved")).alias("status"),
         F.when(tid % 12 != 0, F.col("pred_intent")).alias("final_intent"),
         F.when(tid % 4 != 0, F.format_string("Follow-up for ticket %d", tid)).alias("outcome"),
         F.format_string("agent%d", (tid + 1) % 5).alias("reviewer"),
-    )
-    u = first.unionByName(second)
+        F.when(tid % 18 != 0, F.format_string("Your case %d was reviewed again.", tid)).alias("reply"),
+    ))
+    u = t.where(tid % 3 == 0).select(F.inline(F.array_compact(F.array(first, second))))
     return u.withColumn("final_query_type", F.when(F.col("final_intent").isNotNull(),
                                                    query_type_for(F.col("final_intent"))))

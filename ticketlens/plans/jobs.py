@@ -23,14 +23,20 @@ def triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
                           R.clarification(F.col("pred_intent"), F.col("entities"), F.col("message")))
 
 
-def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+def updates_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The updates, written once, for queries that read them more than once."""
+    from ..operators.similar import materialise
+    return materialise(fx.updates(spark, sf_dir))
+
+
+def store(spark: SparkSession, sf_dir: str, upd: DataFrame | None = None) -> DataFrame:
     """The ticket store after agent updates (L1), decision flattened."""
     t = triage.flatten_decision(triaged(spark, sf_dir))
-    return ops.apply_updates(t, fx.updates(spark, sf_dir))
+    return ops.apply_updates(t, fx.updates(spark, sf_dir) if upd is None else upd)
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.upsert_reviews(fx.updates(spark, sf_dir))
+def reviews(spark: SparkSession, sf_dir: str, upd: DataFrame | None = None) -> DataFrame:
+    return ops.upsert_reviews(fx.updates(spark, sf_dir) if upd is None else upd)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +50,9 @@ def labelled_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     base rows, legacy rows carrying only a broad label, and training-only
     paraphrases (lower-cased messages)."""
     from ..functions.text import query_type_for
-    t = fx.tickets(spark, sf_dir)
+    from ..operators.similar import materialise
+    # Three sources read the rendered tickets: render them once.
+    t = materialise(fx.tickets(spark, sf_dir).select("ticket_id", "message", "true_intent"))
     tid = F.col("ticket_id")
     base = t.where(tid % 4 != 3).select(F.col("message").alias("text"), query_type_for(F.col("true_intent"))
                                         .alias("query_type"), F.col("true_intent").alias("intent"),
@@ -60,18 +68,20 @@ def labelled_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S2 -> P1 -> P2 -> P5 -> D11 -> union; rows tagged train / test."""
+    """S2 -> P1 -> P2 -> P4 -> P5 -> D11 -> union -> P7; rows tagged train / test."""
     from ..operators import prep
+    from ..operators.similar import materialise
     base, legacy, para = labelled_sources(spark, sf_dir)
-    merged = prep.dedupe(prep.harmonise(base).unionByName(prep.harmonise(legacy)), "text",
-                         ["source_rank", "row_id"], keep="first")
+    merged = materialise(prep.dedupe(prep.harmonise(base).unionByName(prep.harmonise(legacy)), "text",
+                                     ["source_rank", "row_id"], keep="first"))
+    prep.check_coverage(merged)
     split = prep.stratified_split(merged)
     test = split.where(F.col("split") == "test")
     train = split.where(F.col("split") == "train").drop("split")
     train = prep.dedupe(train.unionByName(prep.harmonise(para).select(*train.columns)), "text",
                         ["source_rank", "row_id"], keep="first")
     train = lookup.exclude_heldout(train, test).withColumn("split", F.lit("train"))
-    return train.unionByName(test)
+    return prep.seeded_shuffle(train.unionByName(test))
 
 
 # J3 ---------------------------------------------------------------------------
@@ -79,7 +89,8 @@ def feedback_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The S10 export with agent-entry noise injected by rule: upper-case types,
     an unknown type, disagreeing labels and blank intents (P8 must catch them)."""
     from ..sources import io
-    e = io.feedback_export_frame(reviews(spark, sf_dir), store(spark, sf_dir))
+    upd = updates_once(spark, sf_dir)
+    e = io.feedback_export_frame(reviews(spark, sf_dir, upd), store(spark, sf_dir, upd))
     tid = F.col("ticket_id")
     qt = (F.when(tid % 5 == 1, F.upper(F.col("final_query_type")))
           .when(tid % 7 == 2, F.lit("billing"))
@@ -103,12 +114,11 @@ def safety_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected decision (true intent, full confidence, same post-rules) next to
     the decision the pipeline made."""
     from ..functions.text import query_type_for
-    t = jobs_triaged = triaged(spark, sf_dir)
+    t = triaged(spark, sf_dir)
     exp = R.decide(query_type_for(F.col("true_intent")), F.col("true_intent"), F.lit(1.0), F.col("sentiment"),
                    F.col("message"), F.lit(1.0))
     exp = R.escalate_unverified(exp, F.col("verification_status"))
     exp = R.escalate_language(exp, F.col("language_code"), F.col("language_name"))
-    del jobs_triaged
     return t.select("ticket_id", exp["priority"].alias("expected_priority"),
                     exp["escalate_to_human"].alias("expected_escalation"),
                     F.col("decision.priority").alias("priority"),

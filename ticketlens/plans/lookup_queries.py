@@ -96,9 +96,9 @@ def clarification_gate(spark, sf_dir):
 
 # L1 ---------------------------------------------------------------------------
 @register("ticket_store", FULL + """
-SELECT ticket_id, status, agent_outcome, n_updates, priority, department, escalate_to_human FROM store""")
+SELECT ticket_id, status, agent_outcome, agent_reply, n_updates, priority, department, escalate_to_human FROM store""")
 def ticket_store(spark, sf_dir):
-    return jobs.store(spark, sf_dir).select("ticket_id", "status", "agent_outcome",
+    return jobs.store(spark, sf_dir).select("ticket_id", "status", "agent_outcome", "agent_reply",
                                             F.col("n_updates").cast("bigint").alias("n_updates"),
                                             "priority", "department", "escalate_to_human")
 
@@ -154,8 +154,9 @@ def status_durations(spark, sf_dir):
 SELECT s.ticket_id, s.status, r.ticket_id IS NOT NULL AS has_review, r.reviewer, r.final_intent
 FROM store s LEFT JOIN reviews r ON s.ticket_id = r.ticket_id""")
 def tickets_with_review(spark, sf_dir):
-    j = lookup.tickets_with_review(jobs.store(spark, sf_dir).select("ticket_id", "status"),
-                                   jobs.reviews(spark, sf_dir))
+    upd = jobs.updates_once(spark, sf_dir)
+    j = lookup.tickets_with_review(jobs.store(spark, sf_dir, upd).select("ticket_id", "status"),
+                                   jobs.reviews(spark, sf_dir, upd))
     return j.select("ticket_id", "status", F.col("review").isNotNull().alias("has_review"),
                     F.col("review.reviewer").alias("reviewer"), F.col("review.final_intent").alias("final_intent"))
 
@@ -169,7 +170,8 @@ SELECT s.ticket_id, s.message AS customer_message, s.query_type AS predicted_que
 FROM reviews r JOIN store s ON r.ticket_id = s.ticket_id""")
 def feedback_export(spark, sf_dir):
     from ..sources import io
-    return io.feedback_export_frame(jobs.reviews(spark, sf_dir), jobs.store(spark, sf_dir))
+    upd = jobs.updates_once(spark, sf_dir)
+    return io.feedback_export_frame(jobs.reviews(spark, sf_dir, upd), jobs.store(spark, sf_dir, upd))
 
 
 # A1 ---------------------------------------------------------------------------
@@ -182,7 +184,8 @@ SELECT CAST(count(*) AS BIGINT) AS total_tickets,
        CASE WHEN count(*) > 0 THEN round((SELECT count(*) FROM reviews) / count(*), 4) ELSE 0.0 END AS feedback_coverage
 FROM store""")
 def kpis(spark, sf_dir):
-    return ops.kpis(jobs.store(spark, sf_dir), jobs.reviews(spark, sf_dir))
+    upd = jobs.updates_once(spark, sf_dir)
+    return ops.kpis(jobs.store(spark, sf_dir, upd), jobs.reviews(spark, sf_dir, upd))
 
 
 # A2, A3 -----------------------------------------------------------------------

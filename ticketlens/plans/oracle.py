@@ -173,7 +173,8 @@ def updates_cte() -> str:
          list_extract(['in_progress', 'resolved', 'open'], CAST(((ticket_id // 3) % 3) + 1 AS INTEGER)) AS status,
          CASE WHEN ticket_id % 4 <> 0 THEN true_intent END AS final_intent,
          CASE WHEN ticket_id % 9 <> 0 THEN printf('Outcome noted for ticket %d', ticket_id) END AS outcome,
-         printf('agent%d', ticket_id % 5) AS reviewer
+         printf('agent%d', ticket_id % 5) AS reviewer,
+         CASE WHEN ticket_id % 2 <> 0 THEN printf('We looked into ticket %d.', ticket_id) END AS reply
   FROM tickets WHERE ticket_id % 3 = 0
   UNION ALL
   SELECT ticket_id * 2 + 1, ticket_id,
@@ -181,7 +182,8 @@ def updates_cte() -> str:
          CASE WHEN (ticket_id // 6) % 2 = 0 THEN 'open' ELSE 'resolved' END,
          CASE WHEN ticket_id % 12 <> 0 THEN pred_intent END,
          CASE WHEN ticket_id % 4 <> 0 THEN printf('Follow-up for ticket %d', ticket_id) END,
-         printf('agent%d', (ticket_id + 1) % 5)
+         printf('agent%d', (ticket_id + 1) % 5),
+         CASE WHEN ticket_id % 18 <> 0 THEN printf('Your case %d was reviewed again.', ticket_id) END
   FROM tickets WHERE ticket_id % 6 = 0
 ),
 updates AS (
@@ -315,7 +317,7 @@ final AS (
 def lifecycle_ctes() -> str:
     msg = sql_map_case("status", V.STATUS_EVENT_MESSAGES, None)
     return f"""last_update AS (
-  SELECT ticket_id, status AS u_status, outcome AS u_outcome, n_updates
+  SELECT ticket_id, status AS u_status, outcome AS u_outcome, reply AS u_reply, n_updates
   FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY updated_at DESC, update_id DESC) AS rn,
                count(*) OVER (PARTITION BY ticket_id) AS n_updates FROM updates) u
   WHERE rn = 1
@@ -323,6 +325,7 @@ def lifecycle_ctes() -> str:
 store AS (
   SELECT f.* REPLACE (coalesce(l.u_status, f.status) AS status),
          CASE WHEN l.ticket_id IS NOT NULL THEN l.u_outcome END AS agent_outcome,
+         l.u_reply AS agent_reply,
          CAST(coalesce(l.n_updates, 0) AS BIGINT) AS n_updates
   FROM final f LEFT JOIN last_update l ON f.ticket_id = l.ticket_id
 ),

@@ -60,8 +60,7 @@ def training_set(spark, sf_dir):
 @register("split_counts", J2_CTES + """
 SELECT intent, split, CAST(count(*) AS BIGINT) AS n_rows FROM training_set GROUP BY intent, split""")
 def split_counts(spark, sf_dir):
-    return prep.label_counts(jobs.training_set(spark, sf_dir).select("intent", "split"), "intent") \
-        if False else jobs.training_set(spark, sf_dir).groupBy("intent", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+    return jobs.training_set(spark, sf_dir).groupBy("intent", "split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("type_coverage", J2_CTES + f"""

@@ -1,7 +1,10 @@
 """Session and table helpers."""
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.session.timeZone", "UTC")
+               .config("spark.sql.files.maxPartitionBytes", os.environ.get("SPARK_SPLIT_BYTES", "16m"))
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
@@ -31,40 +35,32 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when unset (tests,
-    local runs) create a scratch folder of our own."""
+    """The cluster's shared ``spark.checkpoint.dir``.
+
+    Only in local mode, where driver and executors are one process, a folder of
+    our own stands in when it is unset; it goes when the process ends.  On a
+    cluster an unset folder is an error: executors share no local disk.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ticketlens-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
-    return configured
-
+    return sc.getCheckpointDir()
 
-SMALL_INPUT_BYTES = 512 << 20
 
-
-def fan_out(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Spread a *small* input over every core before CPU-heavy row work.
-
-    A small table often arrives as one file with one row group, i.e. one scan
-    task, so regex-heavy projections would run on a single core.  When the
-    optimiser's size estimate is under ``max_bytes`` the rows are round-robin
-    repartitioned to the default parallelism (a cheap shuffle at that size);
-    large inputs are already split by the file scan and pass through untouched.
-    """
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - statistics unavailable: leave the plan alone
-        return df
-    return df.repartition(par) if size <= max_bytes and par > 1 else df
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob names anything, asked of the file system that holds it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return fan_out(df) if spread else df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

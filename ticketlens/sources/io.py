@@ -5,6 +5,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
+from ..functions.text import normalize_text, strip
+from ..operators.prep import _missing
+from ..session import path_exists
 
 
 # S10 --------------------------------------------------------------------------
@@ -32,39 +35,38 @@ def write_feedback_csv(export: DataFrame, path: str) -> None:
      .write.mode("overwrite").option("header", True).csv(path))
 
 
-
-
-
 # S1 ---------------------------------------------------------------------------
 def read_labelled(spark, path: str, text: str = "text", label: str = "intent") -> DataFrame:
-    """Labelled CSV: rows with null text or label dropped, text normalised,
-    label stripped; at least two labels required (one aggregate checks it)."""
-    from ..functions.text import normalize_text
+    """Labelled CSV: rows with a missing text or label dropped (empty cells and the
+    usual not-available tokens), text normalised, label stripped of white space of
+    any kind; at least two labels required (one aggregate checks it)."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
     missing = {text, label} - set(df.columns)
     if missing:
-        raise ValueError(f"CSV must contain {sorted({text, label})} columns")
-    out = df.dropna(subset=[text, label]).withColumn(text, normalize_text(F.col(text))) \
-        .withColumn(label, F.trim(F.col(label)))
-    if out.agg(F.countDistinct(label)).first()[0] < 2:
-        raise ValueError("Training data must contain at least two intent labels.")
+        raise ValueError(f"{path}: columns {sorted(missing)} not found")
+    there = ~_missing(F.col(text)) & ~_missing(F.col(label))
+    out = df.where(there).withColumn(text, normalize_text(F.col(text))).withColumn(label, strip(F.col(label)))
+    if out.select(label).distinct().limit(2).count() < 2:
+        raise ValueError(f"{path}: a classifier needs two labels or more")
     return out
 
 
 # S2 ---------------------------------------------------------------------------
 def read_sources(spark, required: list[str], optional: list[str] = ()) -> DataFrame:
-    """Union of several labelled CSVs by column name (missing columns null);
-    a missing optional source is skipped with a warning, a source rank column
-    records the input order for later keep-first de-duplication."""
+    """Union of several labelled CSVs by column name (missing columns null); an
+    optional source whose path names nothing is skipped with a warning (asked of
+    the path's own file system).  (source_rank, source_file, row_id) is the input
+    order for later keep-first de-duplication: a multi-line CSV is never split, so
+    row_id, taken in the task that reads the file, follows the rows of a file."""
     import warnings
-    from pathlib import Path
     parts = []
     for rank, path in enumerate(list(required) + list(optional)):
-        if path in optional and not Path(path).exists():
+        if path in optional and not path_exists(spark, path):
             warnings.warn(f"optional source not found: {path}")
             continue
         d = spark.read.csv(path, header=True, multiLine=True, escape='"')
-        parts.append(d.withColumn("source_rank", F.lit(rank)).withColumn("row_id", F.monotonically_increasing_id()))
+        parts.append(d.withColumn("source_rank", F.lit(rank)).withColumn("source_file", F.input_file_name())
+                     .withColumn("row_id", F.monotonically_increasing_id()))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -74,11 +76,10 @@ def read_sources(spark, required: list[str], optional: list[str] = ()) -> DataFr
 # S3 ---------------------------------------------------------------------------
 def read_policies(spark, path: str) -> DataFrame:
     """Policy documents (JSON array of {id, title, content}); search text is
-    title + ' ' + content; policy_idx keeps file order for tie-breaking."""
-    p = spark.read.json(path, multiLine=True)
-    w = F.monotonically_increasing_id()
-    return p.select(F.col("id").alias("policy_id"), "title", "content").withColumn("policy_idx", w) \
-        .withColumn("search_text", F.concat_ws(" ", "title", "content"))
+    title + ' ' + content; policy_idx keeps file order for tie-breaking (one
+    array is one record of one task, numbered there before anything moves)."""
+    p = spark.read.json(path, multiLine=True).withColumn("policy_idx", F.monotonically_increasing_id())
+    return p.select(F.col("id").alias("policy_id"), "title", "content", "policy_idx", F.concat_ws(" ", "title", "content").alias("search_text"))
 
 
 # S4 ---------------------------------------------------------------------------
@@ -100,23 +101,27 @@ def read_records(spark, path: str) -> DataFrame:
 
 
 # S5 ---------------------------------------------------------------------------
-def ingest_public(df: DataFrame, label_map: DataFrame, text: str = "instruction", label: str = "intent") -> DataFrame:
+def ingest_public(df: DataFrame, label_map: DataFrame, text: str = "instruction", label: str = "intent",
+                  rank: list[str] | None = None) -> DataFrame:
     """Public corpus: lower-case column names, required columns, map the source
-    label to (query_type, intent) by an inner join (unmapped rows drop), dedupe."""
+    label to (query_type, intent) by an inner join (unmapped rows drop), then one
+    row per text: the first by ``rank`` (columns of the input), by label without."""
+    from ..operators.prep import dedupe
     d = df.toDF(*[c.lower() for c in df.columns])
     if not {text, label}.issubset(d.columns):
-        raise ValueError(f"corpus must contain {text} and {label}")
-    m = label_map.select(F.col("source_label").alias(label), "query_type", F.col("intent").alias("_intent"))
-    j = d.select(text, label).join(F.broadcast(m), on=label, how="inner") \
-        if label_map.count() <= 100_000 else d.select(text, label).join(m, on=label, how="inner")
-    return j.select(F.col(text).alias("text"), "query_type", F.col("_intent").alias("intent")).dropDuplicates()
+        raise ValueError(f"columns {text} and {label} are needed, found {d.columns}")
+    order = [F.col(c.lower()).alias(f"_rank{i}") for i, c in enumerate(rank or [label])]
+    m = label_map.select(F.col("source_label").alias("_source"), "query_type", F.col("intent").alias("_intent"))
+    j = d.select(F.col(text).alias("_text"), F.col(label).alias("_label"), *order).join(m, F.col("_label") == F.col("_source"))
+    rows = j.select(F.col("_text").alias("text"), "query_type", F.col("_intent").alias("intent"), *[f"_rank{i}" for i in range(len(order))])
+    return dedupe(rows, "text", [f"_rank{i}" for i in range(len(order))] + ["query_type", "intent"]).select("text", "query_type", "intent")
 
 
 # S6 ---------------------------------------------------------------------------
 def decode_labels(df: DataFrame, names: list[str], label: str = "label") -> DataFrame:
     """Integer class ids -> names (ids outside the list stay null)."""
     arr = F.array(*[F.lit(n) for n in names])
-    return df.withColumn(f"{label}_name", F.try_element_at(arr, (F.col(label) + 1).cast("int")))
+    return df.withColumn(f"{label}_name", F.get(arr, F.col(label).cast("int")))
 
 
 # S7 ---------------------------------------------------------------------------
@@ -125,7 +130,7 @@ def read_truth(spark, path: str, bool_cols: tuple[str, ...] = ("expected_escalat
     d = spark.read.csv(path, header=True, multiLine=True, escape='"')
     for c in bool_cols:
         if c in d.columns:
-            d = d.withColumn(c, F.lower(F.trim(F.col(c))) == F.lit("true"))
+            d = d.withColumn(c, F.lower(strip(F.col(c))) == F.lit("true"))
     return d
 
 
@@ -135,17 +140,18 @@ def ingest_attachments(spark, path: str) -> tuple[DataFrame, DataFrame]:
     with replacement, whitespace collapsed, cut to 5000 characters, at least 3
     characters.  Returns (accepted, rejected with HTTP-style reason code).
     PDF and DOCX need per-row codecs and are rejected as unreadable (422)."""
-    from ..functions.text import normalize_text
     files = spark.read.format("binaryFile").load(path)
     ext = F.lower(F.regexp_extract(F.col("path"), r"\.([^./]+)$", 1))
-    text = F.substring(normalize_text(F.decode(F.col("content"), "UTF-8")), 1, V.MAX_MESSAGE_CHARS)
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("filename")
+    readable = (ext == "txt") & (F.col("length") <= V.MAX_ATTACHMENT_BYTES)   # others are never opened
     reason = (F.when(~ext.isin(*V.ATTACHMENT_EXTENSIONS), F.lit(415))
-              .when(F.col("length") > V.MAX_ATTACHMENT_BYTES, F.lit(413))
-              .when(ext != "txt", F.lit(422))
-              .when(F.length(text) < 3, F.lit(422)))
-    d = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), ext.alias("extension"),
-                     F.when(ext == "txt", text).alias("text"), reason.alias("reject_code"))
-    return d.where(F.col("reject_code").isNull()).drop("reject_code"), d.where(F.col("reject_code").isNotNull())
+              .when(F.col("length") > V.MAX_ATTACHMENT_BYTES, F.lit(413)).otherwise(F.lit(422)))
+    closed = files.where(~readable).select(name, ext.alias("extension"), F.lit(None).cast("string").alias("text"), reason.alias("reject_code"))
+    text = F.substring(normalize_text(F.make_valid_utf8(F.col("content").cast("string"))), 1, V.MAX_MESSAGE_CHARS)
+    opened = files.where(readable).select(name, ext.alias("extension"), text.alias("text"))
+    opened = opened.withColumn("reject_code", F.when(F.length("text") < 3, F.lit(422)))
+    return (opened.where(F.col("reject_code").isNull()).drop("reject_code"),
+            opened.where(F.col("reject_code").isNotNull()).unionByName(closed))
 
 
 # S9 ---------------------------------------------------------------------------
@@ -161,14 +167,14 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.select("component", "metric", F.col("value").cast("double")).write.mode("overwrite").json(path)
 
 
-def read_metrics(spark, path: str, components: list[str]) -> DataFrame:
-    """Wide view: one row per component (missing components give nulls)."""
-    from pathlib import Path
+def read_metrics(spark, path: str, components: list[str], metrics: list[str]) -> DataFrame:
+    """Wide view: one row per component, one column per metric asked for (null
+    where there is none, also where the path does not exist yet)."""
     comps = spark.createDataFrame([(c,) for c in components], "component string")
-    if not Path(path).exists():
-        return comps
+    if not path_exists(spark, path):
+        return comps.select("component", *[F.lit(None).cast("double").alias(m) for m in metrics])
     m = spark.read.schema("component string, metric string, value double").json(path)
-    wide = m.groupBy("component").pivot("metric").agg(F.first("value"))
+    wide = m.groupBy("component").pivot("metric", metrics).agg(F.first("value"))
     return comps.join(wide, on="component", how="left")
 
 
@@ -187,13 +193,18 @@ def evolve_schema(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> Dat
 
 
 # S14 ----------------------------------------------------------------------------
-def split_valid(df: DataFrame, message: str = "message", status: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Intake validation: message 3..5000 characters, status in the enum.
-    Returns (valid, rejected with reason)."""
+def split_valid(df: DataFrame, message: str = "message", status: str | None = None,
+                lengths: dict[str, tuple[int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Intake validation: message 3..5000 characters, status in the enum, and the
+    bounds of optional fields (``V.FIELD_LENGTHS`` for an agent's update; a null
+    field passes).  Returns (valid, rejected with reason)."""
     n = F.length(F.col(message))
     reason = (F.when(F.col(message).isNull() | (n < V.MIN_MESSAGE_CHARS), F.lit("message_too_short"))
               .when(n > V.MAX_MESSAGE_CHARS, F.lit("message_too_long")))
     if status:
-        reason = reason.when(~F.col(status).isin(*V.TICKET_STATUSES), F.lit("invalid_status"))
+        reason = reason.when(F.col(status).isNull() | ~F.col(status).isin(*V.TICKET_STATUSES), F.lit("invalid_status"))
+    for field, (least, most) in (lengths or {}).items():
+        reason = reason.when(F.length(F.col(field)) < least, F.lit(f"{field}_too_short")) \
+            .when(F.length(F.col(field)) > most, F.lit(f"{field}_too_long"))
     d = df.withColumn("reject_reason", reason)
     return d.where(F.col("reject_reason").isNull()).drop("reject_reason"), d.where(F.col("reject_reason").isNotNull())

@@ -1,14 +1,15 @@
 """Streaming intake (L6-L8) with Structured Streaming.
 
-Events arrive as files; every micro-batch is rendered into tickets, de-duplicated
-on the source message id within a watermark (re-delivery is idempotent), and
-handed to ``foreachBatch``, where the *same batch triage job* runs on the
-micro-batch: score, decide, verify against the static record index
-(stream-static join), post-rules and clarification, then the masked store rows
-and their 'received' events are appended.  Writes are keyed by batch id, so a
-replayed batch after a failure overwrites its own output instead of appending
-twice.  Duplicate candidates (L7) are found per batch against a snapshot of the
-unresolved tickets already stored.
+Events arrive as files and every micro-batch is handed to ``foreachBatch``.
+There re-delivered messages are dropped -- one row per id of the batch, and
+none whose id an earlier batch has stored -- so re-delivery is idempotent
+however late a message is: nothing is lost to a watermark.  The *same batch
+triage job* then runs on the micro-batch: score, decide, verify against the
+static record index (stream-static join), post-rules and clarification.
+Duplicate candidates (L7) of the new messages are searched among the unresolved
+tickets that earlier batches stored.  Masked store rows, their 'received'
+events and the candidates are written by batch id, so a replayed batch after a
+failure overwrites its own output instead of appending twice.
 """
 from __future__ import annotations
 
@@ -21,9 +22,12 @@ from .. import vocab as V
 from ..functions.text import mask_entities, mask_sensitive
 from ..functions import rules as R
 from ..operators import lookup, triage
+from ..operators.similar import duplicate_candidates, materialise
 from ..plans import fixtures as fx
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, path_exists
 
+#: What later batches read of the store.
+STORED = "ticket_id long, created_at timestamp_ntz, customer_message string, department string, status string, batch_id long"
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -35,10 +39,14 @@ def event_stream(spark: SparkSession, source_dir: str, glob: str = "events*.parq
     return r.parquet(source_dir)
 
 
-def dedupe_redelivery(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Drop re-delivered copies of the same message id within the watermark."""
-    return events.withColumn("ts_wm", F.col("ts").cast("timestamp")).withWatermark("ts_wm", watermark) \
-        .dropDuplicatesWithinWatermark(["event_id"]).drop("ts_wm")
+def new_messages(events: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """One row per message id of a batch (its first time), none already stored."""
+    cols = [c for c in events.columns if c != "event_id"]
+    first = events.groupBy("event_id").agg(F.min_by(F.struct(*cols), F.struct("ts", "user_id", "event_type")).alias("r")) \
+        .select("event_id", *[F.col("r")[c].alias(c) for c in cols])
+    if stored is None:
+        return first
+    return first.join(stored.select(F.col("ticket_id").alias("event_id")), "event_id", "left_anti")
 
 
 def triage_batch(batch_tickets: DataFrame, records: DataFrame) -> DataFrame:
@@ -62,41 +70,53 @@ def store_rows(triaged: DataFrame) -> DataFrame:
 
 
 def start_intake(spark: SparkSession, source_dir: str, orders_dir: str, out_dir: str,
-                 checkpoint: str | None = None, available_now: bool = True):
-    """Start L6 (+L8): returns the StreamingQuery.  ``out_dir`` receives
-    ``store/`` (tickets, decision flattened) and ``events/`` (received events)."""
+                 checkpoint: str | None = None, available_now: bool = True,
+                 max_files_per_trigger: int | None = None):
+    """Start L6-L8: returns the StreamingQuery.  ``out_dir`` receives ``store/``
+    (tickets, decision flattened), ``events/`` (received events) and
+    ``duplicates/`` (candidates), each by batch id."""
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark)}/intake-{uuid.uuid4().hex}"
     orders = spark.read.parquet(f"{orders_dir.rstrip('/')}/orders.parquet")
     n_orders = orders.count()  # one number for the stream's order-key rule
     records = fx.records_from_orders(orders)
-    tickets = fx.render_tickets(dedupe_redelivery(event_stream(spark, source_dir)), n_orders)
+    stream = event_stream(spark, source_dir, max_files_per_trigger=max_files_per_trigger)
+
+    def earlier(session: SparkSession, batch_id: int) -> DataFrame | None:
+        """Store rows of other batches; a replayed batch does not see its own."""
+        if not path_exists(session, f"{out_dir}/store/batch_id=*"):
+            return None
+        return session.read.option("basePath", f"{out_dir}/store").schema(STORED) \
+            .parquet(f"{out_dir}/store").where(F.col("batch_id") != batch_id)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        t = triage_batch(batch, records)
-        st = store_rows(t)
-        st.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .parquet(f"{out_dir}/store/batch_id={batch_id}")
-        ev = t.select((F.col("ticket_id") * 4).alias("event_id"), "ticket_id",
-                      F.lit(V.RECEIVED_STATUS).alias("status"),
-                      F.lit(V.STATUS_EVENT_MESSAGES[V.RECEIVED_STATUS]).alias("message"), "created_at")
-        ev.write.mode("overwrite").parquet(f"{out_dir}/events/batch_id={batch_id}")
-
-    w = tickets.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
+        session = batch.sparkSession
+        before = earlier(session, batch_id)
+        tickets = fx.render_tickets(new_messages(batch, before), n_orders)
+        rows = materialise(store_rows(triage_batch(tickets, records)))
+        if before is not None:
+            open_tickets = before.where(F.col("status") != "resolved").select(
+                "ticket_id", "created_at", F.col("customer_message").alias("text"), "status", "department")
+            duplicate_sink(rows, open_tickets).write.mode("overwrite").parquet(f"{out_dir}/duplicates/batch_id={batch_id}")
+        rows.select((F.col("ticket_id") * 4).alias("event_id"), "ticket_id", F.lit(V.RECEIVED_STATUS).alias("status"),
+                    F.lit(V.STATUS_EVENT_MESSAGES[V.RECEIVED_STATUS]).alias("message"), "created_at") \
+            .write.mode("overwrite").parquet(f"{out_dir}/events/batch_id={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{out_dir}/store/batch_id={batch_id}")  # last: the batch now counts as stored
+
+    w = stream.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def run_intake(spark: SparkSession, source_dir: str, orders_dir: str, out_dir: str) -> DataFrame:
+def run_intake(spark: SparkSession, source_dir: str, orders_dir: str, out_dir: str, **options) -> DataFrame:
     """Run the intake to completion (availableNow) and return the stored tickets."""
-    q = start_intake(spark, source_dir, orders_dir, out_dir)
+    q = start_intake(spark, source_dir, orders_dir, out_dir, **options)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(f"{out_dir}/store")
 
 
-def duplicate_sink(batch: DataFrame, open_snapshot: DataFrame) -> DataFrame:
-    """Duplicate candidates of a micro-batch against the unresolved tickets
-    stored so far (inputs: message_id/text and the open-ticket table)."""
-    from ..operators.similar import duplicate_candidates
-    return duplicate_candidates(batch, open_snapshot)
+def duplicate_sink(rows: DataFrame, open_tickets: DataFrame) -> DataFrame:
+    """Duplicate candidates of a micro-batch's store rows among the unresolved
+    tickets stored so far."""
+    return duplicate_candidates(rows.select(F.col("ticket_id").alias("message_id"), F.col("customer_message").alias("text")), open_tickets)

@@ -196,6 +196,8 @@ RETRIEVAL_K = 3
 
 MIN_MESSAGE_CHARS = 3
 MAX_MESSAGE_CHARS = 5000
+# Least and most characters of the optional fields of an agent's update.
+FIELD_LENGTHS = {"outcome": (0, 3000), "reviewer": (2, 80), "final_query_type": (0, 64), "final_intent": (0, 96), "reply": (0, 2000)}
 MAX_ATTACHMENT_BYTES = 2 * 1024 * 1024
 ATTACHMENT_EXTENSIONS = ("txt", "pdf", "docx")
 TICKET_STATUSES = ("open", "in_progress", "resolved")
