@@ -139,3 +139,14 @@ def queue_heads(tickets: DataFrame, n: int = 5) -> DataFrame:
     q = tickets.withColumn("queue", queue_label(F.col("status"), F.col("escalate_to_human")))
     w = Window.partitionBy("queue").orderBy(F.col("created_at").desc(), F.col("ticket_id"))
     return q.where(F.col("queue") != "resolved").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+# R11 --------------------------------------------------------------------------
+def public_view(analysed: DataFrame, column: str = "duplicate_candidates", ticket: str = "ticket") -> DataFrame:
+    """What a customer may see: internal duplicate matches are emptied, in the
+    result and in the ticket nested in it (where there is one)."""
+    out = analysed.withColumn(column, F.array().cast(analysed.schema[column].dataType))
+    if ticket in analysed.columns and column in analysed.schema[ticket].dataType.fieldNames():
+        empty = F.array().cast(analysed.schema[ticket].dataType[column].dataType)
+        out = out.withColumn(ticket, F.when(F.col(ticket).isNotNull(), F.col(ticket).withField(column, empty)))
+    return out
