@@ -64,3 +64,31 @@ def test_query_type_model_or_fallback(spark):
     assert d.query_type_confidence is None and d.query_type_source == "intent"
     from ticketlens.functions.text import query_type_for
     assert d.query_type == probe.select(query_type_for("pred_intent")).first()[0]
+
+
+def test_sigmoids_equal_a_plain_newton_fit(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    f = rng.normal(size=300)
+    hit = rng.random(300) < 1 / (1 + np.exp(-2 * f + 0.5))
+    got = ML.fit_sigmoids(spark.createDataFrame([("x", float(a), bool(h)) for a, h in zip(f, hit)] + [("y", float(a), not bool(h)) for a, h in zip(f, hit)],
+                                                "name string, value double, hit boolean"))
+    pos, neg = hit.sum(), (~hit).sum()
+    t = np.where(hit, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    a, b = 0.0, np.log((neg + 1) / (pos + 1))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(a * f + b))
+        g = np.array([((t - p) * f).sum(), (t - p).sum()])
+        w = p * (1 - p)
+        h = np.array([[(w * f * f).sum(), (w * f).sum()], [(w * f).sum(), w.sum()]])
+        a, b = np.array([a, b]) - np.linalg.solve(h, g)
+    assert abs(got["x"][0] - a) < 1e-6 and abs(got["x"][1] - b) < 1e-6 and got["y"][0] > 0 > got["x"][0]
+
+
+def test_calibrated_folds(spark):
+    m = ML.fit_calibrated(small_train(spark), "intent", max_iter=20, num_features=1 << 10)
+    assert len(m.folds) == 3
+    probe = spark.createDataFrame([(1, "my refund payment please"), (2, "cancel my order now")], "id int, text string")
+    s = ML.score_calibrated(m, probe).orderBy("id").collect()
+    assert [r.predicted for r in s] == ["get_refund", "cancel_order"]
+    assert all(abs(sum(t.confidence for t in r.top_intents) - 1) < 1e-3 and r.top_intents[0].intent == r.predicted for r in s)

@@ -88,3 +88,28 @@ def public_view(spark, sf_dir):
     v = ops.public_view(t)
     return v.select("ticket_id", F.size("duplicate_candidates").cast("bigint").alias("shown"),
                     F.size("ticket.duplicate_candidates").cast("bigint").alias("shown_in_ticket"))
+
+
+# M3, M2: the parts of the classifier that SQL can express ------------------------
+@register("class_weights", O.with_ctes(O.tickets_cte()) + """
+SELECT true_intent AS intent, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight, CAST(count(*) AS BIGINT) AS n_rows
+FROM tickets GROUP BY true_intent""")
+def class_weights(spark, sf_dir):
+    from ..operators import model as ML
+    t = fx.tickets(spark, sf_dir).select(F.col("true_intent").alias("intent"))
+    w, _ = ML.with_class_weights(t, "intent")
+    return w.groupBy("intent").agg(F.round(F.first("weight"), 6).alias("weight"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("char_gram_counts", O.with_ctes(O.tickets_cte()) + """,
+w AS (SELECT ' ' || unnest(string_split_regex(lower(message), '\\s+')) || ' ' AS w FROM tickets),
+g AS (SELECT unnest([substr(w, i, 3) for i in range(1, length(w) - 1)] || [substr(w, i, 4) for i in range(1, length(w) - 2)]
+             || [substr(w, i, 5) for i in range(1, length(w) - 3)]) AS gram FROM w WHERE length(w) > 2)
+SELECT gram, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY gram""")
+def char_gram_counts(spark, sf_dir):
+    from pyspark.ml.feature import SQLTransformer
+
+    from ..operators import model as ML
+    t = fx.tickets(spark, sf_dir).select(F.col("message").alias("text"))
+    grams = SQLTransformer(statement=ML.CHAR_GRAMS_SQL).transform(t)
+    return grams.select(F.explode("char_grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))

@@ -355,3 +355,20 @@ def intent_model_eval(spark, sf_dir):
         rows.append(acc.select(F.lit(label).alias("model"), F.round("accuracy", 6).alias("accuracy"), "n")
                     .withColumn("macro_f1", F.round(rep.select("macro_f1").scalar(), 6)))
     return rows[0].unionByName(rows[1])
+
+
+# M4: the calibrated query-type model on the held-out split ------------------------
+@register("calibrated_model_eval")
+def calibrated_model_eval(spark, sf_dir):
+    """Rows-only check: accuracy and calibration error of the three-fold calibrated
+    query-type model on the test split."""
+    from ..operators import model as ML
+    from ..operators.similar import materialise
+    ts = materialise(jobs.training_set(spark, sf_dir).select("text", "query_type", "split"))
+    m = ML.fit_calibrated(ts.where(F.col("split") == "train"), "query_type")
+    s = ML.score_calibrated(m, ts.where(F.col("split") == "test").select("text", "query_type"))
+    s = materialise(s.select("confidence", (F.col("query_type") == F.col("predicted")).alias("correct")))
+    acc = s.agg(F.avg(F.col("correct").cast("double"))).scalar()
+    c = M.calibration(s)
+    return c.select(F.round(acc, 6).alias("accuracy"), F.round("expected_calibration_error", 6).alias("expected_calibration_error"),
+                    F.round("mean_top_label_confidence", 6).alias("mean_top_label_confidence"), F.col("n").cast("bigint").alias("n"))
