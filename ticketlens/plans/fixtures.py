@@ -25,7 +25,7 @@ def _lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _pick(values, idx: Column) -> Column:
+def pick(values, idx: Column) -> Column:
     """values[idx] for a 0-based index column."""
     return F.element_at(_lit_array(values), (idx + F.lit(1)).cast("int"))
 
@@ -78,12 +78,12 @@ def render_tickets(events: DataFrame, n_orders) -> DataFrame:
         F.col("event_type"),
     )
     tcol, ok = F.col("template_id"), F.col("order_key")
-    true_intent = _pick(intents, tcol)
+    true_intent = pick(intents, tcol)
     return base.select(
         "ticket_id", "created_at", "customer_id", "template_id", "order_key",
-        render(_pick(texts, tcol), slot_values(F.col("ticket_id"), F.col("customer_id"), ok)).alias("message"),
+        render(pick(texts, tcol), slot_values(F.col("ticket_id"), F.col("customer_id"), ok)).alias("message"),
         true_intent.alias("true_intent"),
-        F.when(F.col("ticket_id") % 7 == 0, _pick(next_intents, tcol)).otherwise(true_intent).alias("pred_intent"),
+        F.when(F.col("ticket_id") % 7 == 0, pick(next_intents, tcol)).otherwise(true_intent).alias("pred_intent"),
         (((F.col("ticket_id") * 37) % 101) / F.lit(100.0)).alias("confidence"),
         F.when(F.col("ticket_id") % 5 == 0, F.lit(None).cast("double"))
         .otherwise(((F.col("ticket_id") * 53) % 101) / F.lit(100.0)).alias("query_confidence"),
@@ -128,7 +128,7 @@ def updates(spark: SparkSession, sf_dir: str, tix: DataFrame | None = None) -> D
     first = F.struct(
         (tid * 2).alias("update_id"), tid.alias("ticket_id"),
         F.timestamp_add("MINUTE", (tid % 47) + 1, F.col("created_at")).alias("updated_at"),
-        _pick(["in_progress", "resolved", "open"], (tid / 3).cast("long") % 3).alias("status"),
+        pick(["in_progress", "resolved", "open"], (tid / 3).cast("long") % 3).alias("status"),
         F.when(tid % 4 != 0, F.col("true_intent")).alias("final_intent"),
         F.when(tid % 9 != 0, F.format_string("Outcome noted for ticket %d", tid)).alias("outcome"),
         F.format_string("agent%d", tid % 5).alias("reviewer"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import vocab as V
 from ..functions import rules as R
 from ..operators import lookup, ops, triage
 from . import fixtures as fx
@@ -111,16 +112,13 @@ def retraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # J4 ---------------------------------------------------------------------------
 def safety_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected decision (true intent, full confidence, same post-rules) next to
-    the decision the pipeline made."""
-    from ..functions.text import query_type_for
+    """What a reader expects of each ticket's message (by template, written by
+    hand) and of a reference that no record has, next to the decision made."""
     t = triaged(spark, sf_dir)
-    exp = R.decide(query_type_for(F.col("true_intent")), F.col("true_intent"), F.lit(1.0), F.col("sentiment"),
-                   F.col("message"), F.lit(1.0))
-    exp = R.escalate_unverified(exp, F.col("verification_status"))
-    exp = R.escalate_language(exp, F.col("language_code"), F.col("language_name"))
-    return t.select("ticket_id", exp["priority"].alias("expected_priority"),
-                    exp["escalate_to_human"].alias("expected_escalation"),
+    priority, person = zip(*V.EXPECTED_TRIAGE)
+    unknown = F.col("verification_status") == F.lit(V.VERIFY_MISSING[0])
+    return t.select("ticket_id", fx.pick(priority, F.col("template_id")).alias("expected_priority"),
+                    (fx.pick(person, F.col("template_id")) | unknown).alias("expected_escalation"),
                     F.col("decision.priority").alias("priority"),
                     F.col("decision.escalate_to_human").alias("escalate_to_human"))
 

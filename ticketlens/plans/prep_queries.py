@@ -239,10 +239,11 @@ def calibration(spark, sf_dir):
                     F.col("n").cast("bigint").alias("n"))
 
 
+_PRIORITY, _PERSON = zip(*V.EXPECTED_TRIAGE)
 SAFETY = O.full_ctes() + f""", safety AS (
-  SELECT f.ticket_id, {O.decide_sql(QT('true_intent'), 'true_intent', '1.0::DOUBLE', 'sentiment', 'message', '1.0::DOUBLE')['priority']} AS expected_priority,
-         ({O.decide_sql(QT('true_intent'), 'true_intent', '1.0::DOUBLE', 'sentiment', 'message', '1.0::DOUBLE')['escalate']}
-          OR verification_status = 'reference_not_found' OR language_code <> 'en') AS expected_escalation,
+  SELECT f.ticket_id, list_extract({O.sql_list(_PRIORITY)}, CAST(f.template_id + 1 AS INTEGER)) AS expected_priority,
+         (list_extract([{', '.join(str(x).lower() for x in _PERSON)}], CAST(f.template_id + 1 AS INTEGER))
+          OR verification_status = 'reference_not_found') AS expected_escalation,
          priority, escalate_to_human
   FROM final f
 )
@@ -273,8 +274,8 @@ def priority_report(spark, sf_dir):
     from pyspark.sql import Window
     s = jobs.safety_eval(spark, sf_dir).select(F.col("expected_priority").alias("truth"),
                                                F.col("priority").alias("pred"))
-    r = _round_report(M.class_report(s))
-    return r.withColumn("macro_f1", F.round(F.avg("f1").over(Window.partitionBy()), 6))
+    r = M.class_report(s).withColumn("macro_f1", F.round(F.avg("f1").over(Window.partitionBy()), 6))
+    return _round_report(r).join(r.select("label", "macro_f1"), on="label")  # a row for each of four priorities
 
 
 @register("model_comparison", EVAL_BASE + """, maj AS (

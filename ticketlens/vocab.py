@@ -279,6 +279,17 @@ TICKET_TEMPLATES = (
     ("refund_request", "good great bad wrong late refund for order {order} please"),
 )
 
+# What a reader expects of each template's message, written by hand and not by the
+# rules: priority, and whether the message itself needs a person.
+EXPECTED_TRIAGE = (
+    ("medium", False), ("high", False), ("high", False), ("low", False), ("low", False), ("high", False), ("low", False),
+    ("low", False), ("high", False), ("low", False), ("medium", False), ("medium", False), ("high", False), ("low", False),
+    ("low", False), ("medium", False), ("medium", False), ("high", False), ("medium", False), ("medium", False),
+    ("medium", False), ("low", True), ("medium", False), ("low", False), ("low", False), ("low", False), ("low", False),
+    ("low", False), ("low", False), ("critical", True), ("critical", True), ("critical", True), ("medium", True),
+    ("high", True), ("high", True), ("low", False), ("high", False), ("high", False), ("low", False), ("medium", False),
+)
+
 # Status from the event type; everything else is open.
 EVENT_STATUS = {"click": "in_progress", "purchase": "resolved"}
 ORDER_STATUS_NAMES = {"F": "delivered", "O": "in_transit", "P": "processing"}
