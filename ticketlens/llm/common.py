@@ -33,7 +33,7 @@ def materialise(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a plan made under the setting
     finally:
         if before is None:
             spark.conf.unset(_CLEAN)
