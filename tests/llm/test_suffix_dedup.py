@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from ticketlens.llm import common, suffix_dedup as X
+from ticketlens.llm import suffix_dedup as X
 
 
 def brute(data, threshold):
@@ -25,9 +25,9 @@ def brute(data, threshold):
     return sorted(out)
 
 
-def run(spark, data, threshold):
+def run(spark, data, threshold, **more):
     df = spark.createDataFrame([(i, t, "s") for i, t in data], "doc_id long, text string, rank string").repartition(4)
-    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in X.remove_repeats(df, threshold).collect())
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in X.remove_repeats(df, threshold, **more).collect())
 
 
 def data(seed, letters, n, longest):
@@ -48,20 +48,22 @@ def test_equals_brute_force(spark, seed, letters, threshold):
     assert run(spark, rows, threshold) == brute(rows, threshold)
 
 
+@pytest.mark.parametrize("hot_runs", [0, 12])
+def test_hot_ranks_have_the_same_result(spark, hot_runs):
+    rows = data(2, "abcdefgh é", 60, 80)
+    assert run(spark, rows, 50, hot_runs=hot_runs) == brute(rows, 50)
+
+
 def test_pieces_of_huge_texts():
     import ticketlens.llm.suffix_dedup as module
     blocks = module._blocks
 
     def small(col, threshold):  # what workers do with texts above the block size, at a size a test can hold
-        module.BLOCK, common.BLOCK = 97, 97
+        module.PIECE = 97
         try:
-            data, off = module.utf8(col)
-            for a in range(len(off) - 1):
-                for at in range(off[a], off[a + 1], 97):
-                    stop = min(at + 97 + threshold - 1, off[a + 1])
-                    yield a, data[at:stop], np.array([0, stop - at]), at - off[a]
+            yield from blocks(col, threshold)
         finally:
-            module.BLOCK, common.BLOCK = 1 << 20, 1 << 20
+            module.PIECE = 1 << 18
     import pyarrow as pa
     rows = [t for _, t in data(7, "abcd", 20, 200) if t]
     col = pa.array(rows, pa.string())
