@@ -336,6 +336,10 @@ def decoded_labels(spark, sf_dir):
 
 
 # Train on the train split, evaluate on the held-out split -------
+#: Smaller than the operator's defaults, so that the repeated check of a trained model stays short.
+CHECK_MODEL = {"num_features": 1 << 14, "max_iter": 50}
+
+
 @register("intent_model_eval")
 def intent_model_eval(spark, sf_dir):
     """Rows-only check (model training is iterative): accuracy, macro F1 and
@@ -348,7 +352,7 @@ def intent_model_eval(spark, sf_dir):
     train, test = ts.where(F.col("split") == "train"), ts.where(F.col("split") == "test")
     rows = []
     for label in ("intent", "query_type"):
-        m = ML.fit(train, label)
+        m = ML.fit(train, label, **CHECK_MODEL)
         s = ML.score(m, test.select("text", label)).select(F.col(label).alias("truth"),
                                                             F.col("predicted").alias("pred"), "confidence")
         rep = M.f1_summary(M.class_report(s))
@@ -366,7 +370,7 @@ def calibrated_model_eval(spark, sf_dir):
     from ..operators import model as ML
     from ..operators.similar import materialise
     ts = materialise(jobs.training_set(spark, sf_dir).select("text", "query_type", "split"))
-    m = ML.fit_calibrated(ts.where(F.col("split") == "train"), "query_type")
+    m = ML.fit_calibrated(ts.where(F.col("split") == "train"), "query_type", **CHECK_MODEL)
     s = ML.score_calibrated(m, ts.where(F.col("split") == "test").select("text", "query_type"))
     s = materialise(s.select("confidence", (F.col("query_type") == F.col("predicted")).alias("correct")))
     acc = s.agg(F.avg(F.col("correct").cast("double"))).scalar()
