@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import BLOCK, documents, runs, segments
+from .common import BLOCK, documents, runs, segments, text_runs
 
 HEAD_WORDS, WORD_CHARS, HELD_WORDS = 200_000, 64, 400_000
 
@@ -41,9 +41,8 @@ def distinct_words(docs: DataFrame, tokenizer: str) -> DataFrame:
     def work(batches):
         table, seen = W.table_for(tokenizer), Counter()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in runs(np.array([len(t) for t in texts], np.int64)):
-                seen.update(table.count_words(texts[a:b], WORD_CHARS))
+            for _, _, texts in text_runs(batch.column(0), BLOCK):
+                seen.update(table.count_words(texts, WORD_CHARS))
                 if len(seen) > HELD_WORDS:
                     yield batch_of(seen)
                     seen = Counter()
@@ -78,9 +77,9 @@ def encode(docs: DataFrame, tokenizer: str, head: int = HEAD_WORDS) -> DataFrame
             table.load(*shared.value)
             _loaded[tokenizer] = mark
         for batch in batches:
-            ids_of, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in runs(np.array([len(t) for t in texts], np.int64), 4 * BLOCK):
-                ids, counts = table.encode(texts[a:b])
+            ids_of = batch.column(0)
+            for a, b, texts in text_runs(batch.column(1), BLOCK):
+                ids, counts = table.encode(texts)
                 stops = np.concatenate([[0], np.cumsum(counts)]) * 4
                 if stops[-1] < 2 ** 31:
                     body = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])

@@ -52,6 +52,12 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
+def text_runs(col: pa.Array, most: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Consecutive rows of a string column of about ``most`` bytes: only these become Python strings."""
+    for a, b in runs(np.diff(utf8(col)[1]), most):
+        yield a, b, col.slice(a, b - a).fill_null("").to_pylist()
+
+
 def runs(sizes: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Consecutive rows whose sizes add up to ``most`` or that are one larger row."""
     start, total = 0, 0

@@ -179,7 +179,7 @@ def set_names(docs: DataFrame, n: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             data, off = utf8(batch.column(2))
-            for a, b in runs(np.diff(off)):
+            for a, b in runs(np.diff(off), 1 << 18):
                 text, gram = ngram_sets(data[off[a]:off[b]], off[a:b + 1] - off[a], n)
                 f0, f1, size = _fingerprints(text, gram, b - a)
                 part = batch.slice(a, b - a)
@@ -193,7 +193,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             data, off = utf8(batch.column(0))
-            for a, b in runs(np.diff(off)):
+            for a, b in runs(np.diff(off), 1 << 18):
                 text, gram = ngram_sets(data[off[a]:off[b]], off[a:b + 1] - off[a], n)
                 f0, _, _ = _fingerprints(text, gram, b - a)
                 row, key = signature_keys(text, gram, num, den)
@@ -309,7 +309,7 @@ def _sets_of(texts: DataFrame, n: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             data, off = utf8(batch.column(len(keep)))
-            for a, b in runs(np.diff(off)):
+            for a, b in runs(np.diff(off), 1 << 18):
                 text, gram = ngram_sets(data[off[a]:off[b]], off[a:b + 1] - off[a], n)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=b - a))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(gram.view(np.int64)))

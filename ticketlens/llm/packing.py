@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, documents, materialise, runs
+from .common import BLOCK, documents, materialise, text_runs
 from .words import table_for
 
 MEMBER = np.dtype([("doc_id", "<i8"), ("known", "i1"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
@@ -36,10 +36,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         table = table_for(tokenizer)
         end = np.uint32(end_id).tobytes()
         for batch in batches:
-            ids_of, texts = batch.column(0), batch.column(1).to_pylist()
-            sizes = np.array([len(t) for t in texts], np.int64)
-            for a, b in runs(sizes, 4 * BLOCK):
-                ids, counts = table.encode(texts[a:b])
+            ids_of = batch.column(0)
+            for a, b, texts in text_runs(batch.column(1), BLOCK):
+                ids, counts = table.encode(texts)
                 stops = np.cumsum(counts)
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, (stop, n) in enumerate(zip(stops.tolist(), (counts + 1).tolist())):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialise, runs, seeds
+from .common import documents, materialise, runs, seeds, text_runs
 
 #: The bound of the training sample, for each class.
 TRAIN_DOCS, TRAIN_CHARS = 1500, 2_000_000
@@ -95,6 +95,24 @@ def bags(texts: list[str]) -> Bags:
     return Bags(np.concatenate(buckets), np.concatenate(words), text)
 
 
+def _bags_in_blocks(texts: list[str]) -> Bags:
+    """``bags`` of many texts, cut a block at a time."""
+    parts, n_words = [], 0
+    for a, b in runs(np.array([len(t) for t in texts], np.int64), 1 << 18):
+        p = bags(texts[a:b])
+        parts.append((p.buckets, (p.word + n_words).astype(np.int32), p.text + a))
+        n_words += len(p.text)
+    return Bags(*(np.concatenate(c) for c in zip(*parts)))
+
+
+def _total(index: np.ndarray, of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values[of] by index, a slice at a time."""
+    out = np.zeros(n)
+    for a in range(0, len(index), 1 << 20):
+        out += np.bincount(index[a:a + (1 << 20)], weights=values[of[a:a + (1 << 20)]], minlength=n)
+    return out
+
+
 def _neighbours(values: np.ndarray, text: np.ndarray, reach: int) -> np.ndarray:
     """Sum of each word's value and those of its neighbours in the same text."""
     out = values.copy()
@@ -109,7 +127,7 @@ def bag_logits(b: Bags, s: np.ndarray, bias: float, reach: int) -> tuple[np.ndar
     """Logit and n-gram count of the bag around every word."""
     n = len(b.text)
     count = _neighbours(np.bincount(b.word, minlength=n).astype(np.float64), b.text, reach)
-    total = _neighbours(np.bincount(b.word, weights=s[b.buckets], minlength=n), b.text, reach)
+    total = _neighbours(_total(b.word, b.buckets, s, n), b.text, reach)
     return total / np.maximum(count, 1) + bias, count
 
 
@@ -139,7 +157,7 @@ def score_texts(texts: list[str], s: np.ndarray, bias: float) -> np.ndarray:
 def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     """Vectors and softmax, jointly, by normalised gradient steps over the whole sample."""
     rng = np.random.default_rng(seed)
-    b = bags(texts)
+    b = _bags_in_blocks(texts)
     n_docs, y = len(texts), labels.astype(np.float64)
     cost = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     has = np.unique(b.text)
@@ -159,7 +177,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         g = (1 / (1 + np.exp(-np.clip(doc, -30, 30))) - y) * cost
         per_bag = g[b.text] * w
         per_word = _neighbours(per_bag / np.maximum(count, 1), b.text, reach)
-        grad = np.bincount(b.buckets, weights=per_word[b.word], minlength=1 << BUCKET_BITS)
+        grad = _total(b.buckets, b.word, per_word, 1 << BUCKET_BITS)
         g_bias = g.sum()
         g_u = vectors.T @ grad
         step = RATE / max(np.abs(grad).max(), 1e-12)
@@ -206,10 +224,9 @@ def with_scores(docs: DataFrame, model: Model | None, column: str) -> DataFrame:
     def work(batches):
         s, bias = shared.value
         for batch in batches:
-            texts = batch.column(at).fill_null("").to_pylist()
-            out = np.zeros(len(texts))
-            for a, b in runs(np.array([len(t) for t in texts], np.int64)):
-                out[a:b] = score_texts(texts[a:b], s, bias)
+            out = np.zeros(batch.num_rows)
+            for a, b, texts in text_runs(batch.column(at), 1 << 18):
+                out[a:b] = score_texts(texts, s, bias)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, column])
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
     return docs.mapInArrow(work, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import BLOCK, documents, runs
+from .common import BLOCK, documents, text_runs
 from .words import table_for
 
 SHARD_TOKENS = 1 << 22
@@ -173,9 +173,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                  pa.array([len(flat)], pa.int64()), pa.array([body], pa.binary())],
                 names=["first_doc", "part", "nth", "n_docs", "n_tokens", "content"])
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in runs(np.array([len(t) for t in texts], np.int64), min(BLOCK, 2 * shard_tokens)):
-                got, counts = table.encode(texts[a:b])
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, texts in text_runs(batch.column(1), min(BLOCK, 2 * shard_tokens)):
+                got, counts = table.encode(texts)
                 ends = np.cumsum(counts)
                 held += doc_ids[a:b]
                 ids.append(np.insert(got, ends, end_id))

@@ -24,7 +24,7 @@ _CUT = re.compile("[!-~¡-ɏ][ \n]")
 _P = int(seeds(1, 11)[0])
 _MIX = seeds(3, 12)
 #: Distinct words a task's table may hold before it starts anew.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 400_000
 
 _tables: dict[tuple, "WordTable"] = {}
 
@@ -80,22 +80,22 @@ class WordTable:
             self.__dict__.update(self.given)
             return
         self.keys = np.zeros(0, np.uint64)      # sorted word hashes
-        self.rows = np.zeros(0, np.int64)       # their rows below
-        self.c_start, self.c_len = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.i_start, self.i_len = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.chars, self.ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.rows = np.zeros(0, np.int32)       # their rows below
+        self.c_start, self.c_len = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.i_start, self.i_len = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.chars, self.ids = np.zeros(0, np.uint16), np.zeros(0, np.uint32)
 
     def _grow(self, keys: np.ndarray, words: list[np.ndarray], ids: list[list[int]]) -> None:
         n = len(self.c_start)
-        c_len, i_len = np.array([len(w) for w in words], np.int64), np.array([len(i) for i in ids], np.int64)
-        self.c_start = np.concatenate([self.c_start, len(self.chars) + np.cumsum(c_len) - c_len])
-        self.i_start = np.concatenate([self.i_start, len(self.ids) + np.cumsum(i_len) - i_len])
+        c_len, i_len = np.array([len(w) for w in words], np.int32), np.array([len(i) for i in ids], np.int32)
+        self.c_start = np.concatenate([self.c_start, (len(self.chars) + np.cumsum(c_len) - c_len).astype(np.int32)])
+        self.i_start = np.concatenate([self.i_start, (len(self.ids) + np.cumsum(i_len) - i_len).astype(np.int32)])
         self.c_len, self.i_len = np.concatenate([self.c_len, c_len]), np.concatenate([self.i_len, i_len])
-        self.chars = np.concatenate([self.chars, *words])
+        self.chars = np.concatenate([self.chars, np.concatenate(words).astype(np.uint16)])  # words of safe characters
         self.ids = np.concatenate([self.ids, np.fromiter((x for i in ids for x in i), np.uint32, int(i_len.sum()))])
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rows = keys[order], np.concatenate([self.rows, np.arange(n, n + len(words))])[order]
+        self.keys, self.rows = keys[order], np.concatenate([self.rows, np.arange(n, n + len(words), dtype=np.int32)])[order]
 
     def load(self, words: list[str], ids: list[list[int]]) -> None:
         """Take over words whose ids are known already (those of a word table made by Spark)."""
