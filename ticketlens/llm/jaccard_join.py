@@ -359,6 +359,7 @@ def similar_sets(docs: DataFrame, named: DataFrame, n: int, num: int, den: int,
     """node, root over set names (f0): sets that links connect.  docs: see ``_keyed``; named: ``set_names`` of it."""
     keys = signatures(docs, n, num, den)
     shared = keys.groupBy("key").agg(F.min("f0").alias("low"), F.max("f0").alias("high")).where("low < high").select("key", "low")
+    shared = materialise(shared)               # frees the counting shuffle before the keys move again
     near = keys.join(shared, "key").where("f0 <> low").select(F.col("f0").alias("a"), F.col("low").alias("b"))
     candidates = materialise(components(near).withColumnRenamed("node", "f0"))
 
