@@ -65,6 +65,29 @@ def test_score_ignores_labels_of_held_out_rows(spark, fast):
     assert X.training_sample(docs, labels)[0] == X.training_sample(docs, frames(spark, flipped)[1])[0]
 
 
+def test_a_long_text_does_not_end_the_sample(spark):
+    data = corpus(400, 6)
+    order = spark.createDataFrame([(i,) for i, _, _ in data], "doc_id long").where(~X.held_out(X.F.col("doc_id"))).orderBy(X.F.xxhash64("doc_id"))
+    order = [r.doc_id for r in order.collect()]
+    label = {i: y for i, _, y in data}
+    first = {k: next(i for i in order if label[i] == k) for k in (0, 1)}
+    long = [(i, "ri tano " * 375_000 if i in first.values() else t, y) for i, t, y in data]
+    docs, labels = frames(spark, long)
+    texts, y = X.training_sample(docs, labels)
+    rest = [i for i in order if i not in first.values()]
+    assert texts == [data[i][1] for i in rest] and y.tolist() == [label[i] for i in rest]
+    # a class with nothing that fits still has its shortest text
+    only = [r for r in long if r[2] == 0 or r[0] == first[1]]
+    assert X.training_sample(*frames(spark, only))[1].sum() == 1
+
+
+def test_drawing_goes_on_in_what_is_left(spark):
+    sizes = spark.createDataFrame([(k, k, n) for k, n in enumerate([4, 9, 3, 0, 8, 2, 0, 1, 1])], "doc_id long, draw long, n int")
+    assert X.drawn(sizes, 3, 10) == [0, 2, 5]
+    assert X.drawn(sizes.where("doc_id <> 3"), 4, 10) == [0, 2, 5, 7]
+    assert X.drawn(sizes.where("n > 0"), 5, 10) == [0, 2, 5, 7]
+
+
 def test_without_labels_and_empty(spark):
     docs, labels = frames(spark, corpus(10, 4))
     assert {r.score for r in X.classify(docs, labels.where("toxic = 0")).collect()} == {0.0}

@@ -7,7 +7,8 @@ by the n-grams it shares with words seen.  A document scores as its worst bag:
 the whole text counts, and length does not wash a passage out.
 
 Vectors and softmax are trained jointly in numpy on a bounded sample of labelled
-rows (``TRAIN_DOCS`` documents and ``TRAIN_CHARS`` characters of each class).
+rows (``TRAIN_DOCS`` documents and ``TRAIN_CHARS`` characters of each class); a
+text too long for what is left is passed over, and the drawing goes on.
 Training weighs the bags of a document by a softmax of their own logits that
 sharpens, from all bags alike to the worst one.  For scoring, the vectors fold
 into one number per n-gram, so a score needs a lookup per n-gram and no more.
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,16 +196,39 @@ def held_out(doc_id) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
+def drawn(sizes: DataFrame, docs: int, chars: int) -> list[int]:
+    """doc_ids of one class in draw order: a text that does not fit what is left of ``chars`` is passed over and drawing goes on.
+
+    ``sizes`` has doc_id, draw and n (characters).  Where no text fits, the shortest is drawn all the same.
+    """
+    ids, left, after = [], chars, None
+    while len(ids) < docs:
+        rows = sizes.where(F.col("n") <= left)
+        if after is not None:  # only texts with a character use up what others left
+            rows = rows.where((F.col("n") > 0) & ((F.col("draw") > after[0]) | ((F.col("draw") == after[0]) & (F.col("doc_id") > after[1]))))
+        some = rows.orderBy("draw", "doc_id").limit(docs).collect()
+        for r in some:
+            if r["n"] <= left and len(ids) < docs:
+                ids.append(r["doc_id"])
+                left -= r["n"]
+        if len(some) < docs:
+            break
+        after = some[-1]["draw"], some[-1]["doc_id"]
+    return ids or [r["doc_id"] for r in sizes.orderBy("n", "draw", "doc_id").limit(1).collect()]
+
+
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most TRAIN_DOCS rows and TRAIN_CHARS characters of each class."""
+    """Texts and labels of at most TRAIN_DOCS rows and TRAIN_CHARS characters of each class (one text at least)."""
     votes = (labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")))
-    votes = votes.where(~held_out(F.col("doc_id"))).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
-    votes = materialise(votes.withColumn("draw", F.xxhash64("doc_id")))
-    chosen = [votes.where(F.col("toxic") == k).orderBy("draw", "doc_id").limit(TRAIN_DOCS) for k in (0, 1)]
-    rows = documents(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").dropDuplicates(["doc_id"])  # at most 2 * TRAIN_DOCS rows
-    upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy("draw", "doc_id"))
-    got = rows.withColumn("upto", upto).where(F.col("upto") <= TRAIN_CHARS).select("text", "toxic").orderBy("draw", "doc_id").collect()
+    length = documents(docs).select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.min("n").alias("n"))
+    votes = materialise(votes.where(~held_out(F.col("doc_id"))).join(length, "doc_id").withColumn("draw", F.xxhash64("doc_id")))
+    chosen = [i for k in (0, 1) for i in drawn(votes.where(F.col("toxic") == k), TRAIN_DOCS, TRAIN_CHARS)]
+    if not chosen:
+        return [], np.zeros(0, np.int64)
+    picked = votes.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")), "doc_id")  # at most 2 * TRAIN_DOCS rows
+    rows = documents(docs).withColumn("n", F.length("text")).join(F.broadcast(picked), ["doc_id", "n"]).dropDuplicates(["doc_id"])
+    got = rows.select("text", "toxic").orderBy("draw", "doc_id").collect()
     return [r["text"] for r in got], np.array([r["toxic"] for r in got], np.int64)
 
 
