@@ -92,3 +92,25 @@ def test_calibrated_folds(spark):
     s = ML.score_calibrated(m, probe).orderBy("id").collect()
     assert [r.predicted for r in s] == ["get_refund", "cancel_order"]
     assert all(abs(sum(t.confidence for t in r.top_intents) - 1) < 1e-3 and r.top_intents[0].intent == r.predicted for r in s)
+
+
+def test_registered_evaluations_train_the_operators_own_model(spark, monkeypatch):
+    import pytest
+
+    from ticketlens.plans import jobs
+    from ticketlens.plans import prep_queries as Q
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def built(label="intent", num_features=1 << 16, max_iter=2000, **kw):
+        seen.append((num_features, max_iter))
+        raise Stop
+    train = small_train(spark).select("text", "intent", F.col("intent").alias("query_type"), F.lit("train").alias("split"))
+    monkeypatch.setattr(jobs, "training_set", lambda spark, sf_dir: train)
+    monkeypatch.setattr(ML, "build_pipeline", built)
+    for query in (Q.intent_model_eval, Q.calibrated_model_eval):
+        with pytest.raises(Stop):
+            query(spark, "")
+    assert seen == [(1 << 16, 2000)] * 2
