@@ -122,3 +122,11 @@ def test_wavelet_matrix():
             assert [m.rank(s, k) for k in (0, n // 2, n)] == [sum(p < k for p in places) for k in (0, n // 2, n)]
 
 
+def test_ids_beyond_a_row_are_an_error(monkeypatch):
+    import pyarrow as pa
+    ids, counts = np.arange(5, dtype=np.int64), np.array([2, 0, 3])
+    got = bpe_table.id_rows(pa.array([7, 8, 9]), ids, counts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got.column(2).to_pylist()] == [[0, 1], [], [2, 3, 4]]
+    monkeypatch.setattr(bpe_table, "ROW_BYTES", 20)
+    with pytest.raises(ValueError, match="7, 8, 9"):
+        bpe_table.id_rows(pa.array([7, 8, 9]), ids, counts)

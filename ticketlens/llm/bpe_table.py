@@ -10,7 +10,8 @@
    joining a row per position instead would shuffle more than twice the input.
 4. ``decode``: an id-to-piece join with the vocabulary, whose size is fixed.
 
-Null texts are empty and have no ids.  Repeated rows give equal rows; an empty
+Null texts are empty and have no ids.  A text whose ids do not fit a row (2 GiB)
+is an error, never left out.  Repeated rows give equal rows; an empty
 table gives an empty result.
 """
 from __future__ import annotations
@@ -27,6 +28,8 @@ from . import words as W
 from .common import BLOCK, documents, runs, segments, text_runs
 
 HEAD_WORDS, WORD_CHARS, HELD_WORDS = 200_000, 64, 400_000
+#: A binary value of a Spark row is shorter than this.
+ROW_BYTES = 2 ** 31
 
 #: The word table that this worker process has taken over, by tokenizer.
 _loaded: dict[str, str] = {}
@@ -64,6 +67,15 @@ def word_table(docs: DataFrame, tokenizer: str, head: int = HEAD_WORDS) -> DataF
     return top.mapInArrow(work, "word string, ids array<int>")
 
 
+def id_rows(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """doc_id, n_tokens and ids of a block of texts; an error where a Spark row cannot hold them."""
+    stops = np.concatenate([[0], np.cumsum(counts)]) * 4
+    if stops[-1] >= ROW_BYTES:
+        raise ValueError(f"documents {doc_ids.to_pylist()[:10]}: {stops[-1]} bytes of ids, a row holds less than {ROW_BYTES}")
+    body = pa.Array.from_buffers(pa.binary(), len(doc_ids), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(counts), body], names=["doc_id", "n_tokens", "ids"])
+
+
 def encode(docs: DataFrame, tokenizer: str, head: int = HEAD_WORDS) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every document."""
     spark = docs.sparkSession
@@ -79,11 +91,7 @@ def encode(docs: DataFrame, tokenizer: str, head: int = HEAD_WORDS) -> DataFrame
         for batch in batches:
             ids_of = batch.column(0)
             for a, b, texts in text_runs(batch.column(1), BLOCK):
-                ids, counts = table.encode(texts)
-                stops = np.concatenate([[0], np.cumsum(counts)]) * 4
-                if stops[-1] < 2 ** 31:
-                    body = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
-                    yield pa.RecordBatch.from_arrays([ids_of.slice(a, b - a), pa.array(counts), body], names=["doc_id", "n_tokens", "ids"])
+                yield id_rows(ids_of.slice(a, b - a), *table.encode(texts))
     return documents(docs).mapInArrow(work, "doc_id long, n_tokens long, ids binary")
 
 
