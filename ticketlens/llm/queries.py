@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_table, exact_dedup, jaccard_join, packing, quality_lm, sharding, suffix_dedup, topk, toxicity, wavelet
+from . import (bpe_table, exact_dedup, jaccard_join, language_hd, packing, prefix_trie, quality_lm, sharding, suffix_dedup, topk, toxicity,
+               wavelet, whitening)
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,6 +131,44 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+@query("op11_chebyshev_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op12_hyperdimensional_language")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_hd.classify(table(spark, sf_dir, "documents"))
+
+
+@query("op13_radix_prefix_trie", r"""
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS m,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list(m ORDER BY pos) AS s FROM t GROUP BY c),
+h AS (
+  SELECT c, s, c - c % 20 AS base, xor(list_reduce(
+           list_concat([CAST(4294967295 AS BIGINT)], [CAST(ascii(x) AS BIGINT) for x in string_split(CAST(c AS VARCHAR), '')]),
+           lambda a, b: list_reduce(list_concat([xor(a, b)], [CAST(0 AS BIGINT) for i in range(8)]),
+                                    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h FROM l),
+r AS (SELECT h.c, list_concat(coalesce(b.s[1:h.h], []), h.s[h.h + 1:]) AS s FROM h LEFT JOIN l b ON h.base = b.c),
+p AS (SELECT c, s[1:d] AS k, d, len(s) = d AS stops, CASE WHEN d > 0 THEN len(regexp_extract_all(s[d].text, '[^ 	-]+')) ELSE 0 END AS words
+      FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM r)),
+n AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own,
+             coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE stops), '') AS ends FROM p GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM n LEFT JOIN kids ON n.k = kids.k),
+u AS (SELECT k[1:a] AS k, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+      FROM (SELECT *, unnest(range(d + 1)) AS a FROM f) GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+       CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN u ON f.k = u.k LEFT JOIN n up ON f.d > 0 AND up.k = f.k[1:f.d - 1]""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
