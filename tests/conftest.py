@@ -17,6 +17,7 @@ def spark():
     s = (SparkSession.builder.master("local[*]").appName("ticketlens-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "4g")
          .config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")

@@ -1,8 +1,15 @@
+import math
 import os
+import re
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from ticketlens.operators import features as X
 from ticketlens.operators import model as ML
+from ticketlens.operators import softmax
 
 
 def small_train(spark):
@@ -23,7 +30,7 @@ def test_class_weights_are_balanced(spark):
 
 
 def test_fit_score_save_load(spark, tmp_path):
-    m = ML.fit(small_train(spark), "intent", max_iter=20, num_features=1 << 10)
+    m = ML.fit(small_train(spark), "intent")
     assert ML.classes(m) == ["cancel_order", "get_refund", "track_order"]
     probe = spark.createDataFrame([(1, "my refund payment please"), (2, "cancel my order now")],
                                   "id int, text string")
@@ -55,8 +62,7 @@ def test_query_type_model_or_fallback(spark):
     rows = []
     for i in range(10):
         rows += [(f"where is my parcel {i}", "delivery"), (f"refund my card payment {i}", "payment")]
-    m = ML.fit(spark.createDataFrame(rows, "text string, query_type string"), "query_type", max_iter=20,
-               num_features=1 << 10)
+    m = ML.fit(spark.createDataFrame(rows, "text string, query_type string"), "query_type")
     probe = spark.createDataFrame([(1, "my parcel is late", "track_order")], "id int, text string, pred_intent string")
     r = ML.score_query_type(probe, m).first()
     assert (r.query_type, r.query_type_source) == ("delivery", "model") and 0.5 < r.query_type_confidence <= 1
@@ -67,7 +73,6 @@ def test_query_type_model_or_fallback(spark):
 
 
 def test_sigmoids_equal_a_plain_newton_fit(spark):
-    import numpy as np
     rng = np.random.default_rng(4)
     f = rng.normal(size=300)
     hit = rng.random(300) < 1 / (1 + np.exp(-2 * f + 0.5))
@@ -86,7 +91,7 @@ def test_sigmoids_equal_a_plain_newton_fit(spark):
 
 
 def test_calibrated_folds(spark):
-    m = ML.fit_calibrated(small_train(spark), "intent", max_iter=20, num_features=1 << 10)
+    m = ML.fit_calibrated(small_train(spark), "intent")
     assert len(m.folds) == 3
     probe = spark.createDataFrame([(1, "my refund payment please"), (2, "cancel my order now")], "id int, text string")
     s = ML.score_calibrated(m, probe).orderBy("id").collect()
@@ -95,8 +100,6 @@ def test_calibrated_folds(spark):
 
 
 def test_registered_evaluations_train_the_operators_own_model(spark, monkeypatch):
-    import pytest
-
     from ticketlens.plans import jobs
     from ticketlens.plans import prep_queries as Q
     seen = []
@@ -104,13 +107,129 @@ def test_registered_evaluations_train_the_operators_own_model(spark, monkeypatch
     class Stop(Exception):
         pass
 
-    def built(label="intent", num_features=1 << 16, max_iter=2000, **kw):
-        seen.append((num_features, max_iter))
+    def solved(cells, labels, columns, classes, *limits):
+        seen.append(limits)
         raise Stop
     train = small_train(spark).select("text", "intent", F.col("intent").alias("query_type"), F.lit("train").alias("split"))
     monkeypatch.setattr(jobs, "training_set", lambda spark, sf_dir: train)
-    monkeypatch.setattr(ML, "build_pipeline", built)
+    monkeypatch.setattr(softmax, "fit", solved)
     for query in (Q.intent_model_eval, Q.calibrated_model_eval):
         with pytest.raises(Stop):
             query(spark, "")
-    assert seen == [(1 << 16, 2000)] * 2
+    assert seen == [(softmax.TOLERANCE, softmax.MAX_ITER, softmax.DRIVER_BYTES)] * 2
+
+
+# M1-M3 against plain Python ------------------------------------------------------
+TEXTS = [("where is my parcel", "delivery"), ("Where is my parcel", "delivery"), ("my parcel 17 is late", "delivery"), ("refund my payment", "payment"),
+         ("refund my payment 23", "payment"), ("a refund a refund", "payment"), ("cancel the order", "order"), ("cancel the order now", "order"),
+         ("where is my parcel", "order"), ("", "order"), (None, "payment"), ("é x", "delivery"), ("no label here", None)]
+
+
+def py_grams(text):
+    low = (text or "").lower()
+    w = re.findall(r"\b\w\w+\b", low)
+    out = Counter(("word", t) for t in w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    for x in low.split():
+        x = f" {x} "
+        out.update(("char", x[i:i + n]) for n in (3, 4, 5) for i in range(len(x) - n + 1))
+    return out
+
+
+def py_features(texts):
+    rows = [py_grams(t) for t in texts]
+    df = Counter(t for r in rows for t in r)
+    idf = {t: math.log((1 + len(rows)) / (1 + d)) + 1 for t, d in df.items()}
+    names = sorted(df)
+    x = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        for b in ("word", "char"):
+            v = {t: (1 + math.log(c)) * idf[t] for t, c in r.items() if t[0] == b}
+            norm = math.sqrt(sum(a * a for a in v.values()))
+            for t, a in v.items():
+                x[i, names.index(t)] = a / norm
+    return names, df, idf, x
+
+
+def newton(x, y, weight, k):
+    """The optimum of the penalised problem, by dense Newton steps."""
+    n, d = x.shape
+    a = np.hstack([x, np.ones((n, 1))])
+    penalty = np.tile(np.append(np.ones(d), 0.0), k)
+    p = np.zeros((k, d + 1))
+    for _ in range(60):
+        z = a @ p.T
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        q = e / e.sum(axis=1, keepdims=True)
+        g = ((q - np.eye(k)[y]) * weight[:, None]).T @ a + penalty.reshape(k, -1) * p
+        h = np.zeros((k * (d + 1),) * 2)
+        for i in range(k):
+            for j in range(k):
+                s = weight * q[:, i] * ((i == j) - q[:, j])
+                h[i * (d + 1):(i + 1) * (d + 1), j * (d + 1):(j + 1) * (d + 1)] = (a * s[:, None]).T @ a
+        step = np.linalg.lstsq(h + np.diag(penalty), g.ravel(), rcond=None)[0]
+        p = p - step.reshape(k, -1)
+        if np.abs(g).max() < 1e-10:
+            break
+    return p
+
+
+def test_vocabulary_and_features(spark):
+    texts = [t for t, _ in TEXTS]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string")
+    terms = X.term_rows(df, "row", "text")
+    v = X.fit_vocabulary(terms, len(texts))
+    names, count, idf, x = py_features(texts)
+    got = v.collect()
+    assert {(r.block, r.term): r.df for r in got} == dict(count)
+    assert all(abs(r.idf - idf[r.block, r.term]) < 1e-12 for r in got)
+    assert [(r.block, r.term) for r in sorted(got, key=lambda r: r.idx)] == names and sorted(r.idx for r in got) == list(range(len(names)))
+    cells = {(r.row, r.idx): r.x for r in X.feature_rows(terms, v).collect()}
+    assert len(cells) == int((x != 0).sum()) and all(abs(x[i, j] - c) < 1e-12 for (i, j), c in cells.items())
+
+
+@pytest.mark.parametrize("driver_bytes", [1 << 28, 20_000])
+def test_fit_equals_the_dense_optimum(spark, driver_bytes):
+    df = spark.createDataFrame(TEXTS, "text string, query_type string")
+    m = ML.fit(df, "query_type", tolerance=1e-7, driver_bytes=driver_bytes)
+    used = [(t, g) for t, g in TEXTS if g is not None]
+    names, _, _, x = py_features([t for t, _ in used])
+    kinds = sorted({g for _, g in used})
+    y = np.array([kinds.index(g) for _, g in used])
+    want = newton(x, y, len(used) / (len(kinds) * np.bincount(y)[y]), len(kinds))
+    assert ML.classes(m) == kinds
+    got = {(r.block, r.term): r.w for r in m.terms.collect()}
+    assert set(got) == set(names)
+    assert max(abs(a - b) for j, t in enumerate(names) for a, b in zip(got[t], want[:, j])) < 1e-4
+    gap = np.array(m.bias) - want[:, -1]
+    assert np.abs(gap - gap.mean()).max() < 1e-4
+    z = x @ want[:, :-1].T + want[:, -1]
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(used)] + [(90, "unknown ζζζ")], "id int, text string")
+    for r in ML.score(m, rows).collect():
+        if r.id < 90:
+            assert abs(r.confidence - p[r.id].max()) < 1e-4 and len(r.top_intents) == 3
+
+
+def test_compact_merges_equal_rows_and_columns(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["ab cd", "ab cd", "cd ab", "", None, "ef"])], "row long, text string")
+    terms = X.term_rows(df, "row", "text")
+    labelled = spark.createDataFrame([(i, "xyxxyx"[i], 1.0) for i in range(6)], "row long, label string, weight double")
+    cells, labels, columns = X.compact(X.feature_rows(terms, X.fit_vocabulary(terms, 6)), labelled)
+    by = {}
+    for r in labels.collect():
+        by.setdefault(r.r, {})[r.label] = r.weight
+    assert sorted(map(str, by.values())) == sorted(map(str, [{"x": 1.0, "y": 1.0}, {"x": 1.0}, {"x": 1.0, "y": 1.0}, {"x": 1.0}])) or len(by) == 4
+    cols = columns.collect()
+    assert len({r.idx for r in cols}) == len(cols) and sum({r.c: r.m for r in cols}.values()) == len(cols)
+    assert len({r.c for r in cols}) < len(cols)
+    norms = {}
+    for r in cells.collect():
+        norms[r.r] = norms.get(r.r, 0) + r.x ** 2
+    assert all(abs(v - 2) < 1e-9 for v in norms.values())  # one from each block
+
+
+def test_plan_keeps_the_driver_bounded():
+    for cols in (1, 1000, 10 ** 6, 10 ** 9):
+        history, width, groups = softmax.plan(cols, 24, 1 << 24)
+        assert width * groups >= cols and history >= softmax.LEAST_HISTORY
+        assert width * 24 * 8 * (2 * history + 6) <= 1 << 24

@@ -1,8 +1,10 @@
 """Prefix-filtered similarity against brute force computed in plain Python."""
 import math
+import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from ticketlens import vocab as V
@@ -127,3 +129,56 @@ def test_handoff_and_suggestion(spark):
     assert sug[0].answer.startswith("Your ticket has been escalated") and not sug[0].grounded
     assert sug[1].answer.startswith("I could not find") and sug[1].source_id is None
     assert sug[2].answer == "Based on the knowledge base: Policy text" and sug[2].source_id == "P1"
+
+
+# V3 for messages that are tickets themselves, and classes of texts --------------
+def brute_all(tickets, messages, threshold=0.62, limit=3):
+    """A refit for every message, its own row left out."""
+    out = {}
+    for mid, m, own in messages:
+        others = [(i, t) for i, t in tickets if not (own and i == mid)]
+        vecs = py_tfidf([m or ""] + [t or "" for _, t in others])
+        scored = [(-round(s, 4), k, i, s) for k, (i, _) in enumerate(others) if (s := cos(vecs[0], vecs[k + 1])) >= threshold]
+        out[mid] = [(i, -r) for r, _, i, _ in sorted(scored)[:limit]]
+    return {k: v for k, v in out.items() if v}
+
+
+def all_candidates(spark, tickets, messages):
+    opn = spark.createDataFrame([(i, t, "open", "Q") for i, t in tickets], "ticket_id long, text string, status string, department string") \
+        .withColumn("created_at", F.col("ticket_id").cast("timestamp"))
+    msgs = spark.createDataFrame(messages, "message_id long, text string, mine boolean")
+    got = {}
+    for r in S.duplicate_candidates(msgs, opn, own="mine").orderBy("message_id", "rank").collect():
+        got.setdefault(r.message_id, []).append((r.ticket_id, r.similarity))
+    return got
+
+
+@pytest.mark.parametrize("rare_df", [0, 2, 32])
+def test_every_message_equals_naive_refit(spark, monkeypatch, rare_df):
+    monkeypatch.setattr(S, "RARE_DF", rare_df)
+    rnd = random.Random(5)
+    forms = ["parcel {} late courier not arrived since {}", "please cancel subscription {} before renewal", "refund {} pending transaction {} {}",
+             "website browser loading error", "gift voucher {} rejected checkout page {}"]
+    tickets = [(i, rnd.choice(forms).format(*(f"id{rnd.randrange(40)}" for _ in range(3)))) for i in range(1, 61)] + [(61, None), (62, "")]
+    messages = [(i, t, True) for i, t in tickets]
+    messages += [(1000 + i, rnd.choice(forms).format(*(f"id{rnd.randrange(60)}" for _ in range(3))), False) for i in range(25)]
+    messages += [(2000, "unrelated words entirely", False), (2001, None, False), (2002, tickets[0][1], False)]
+    assert all_candidates(spark, tickets, messages) == brute_all(tickets, messages)
+
+
+def test_no_open_tickets(spark):
+    assert all_candidates(spark, [], [(1, "a message here", False)]) == {}
+    assert all_candidates(spark, [(1, "lone ticket here")], [(1, "lone ticket here", True), (2, "lone ticket here", None)]) == {2: [(1, 1.0)]}
+
+
+def test_odd_vectors_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    idx = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [nan, 1.0]), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [0.5]), (6, []), (7, [inf, 0.0])],
+                                "index_id long, index_vector array<double>")
+    q = spark.createDataFrame([(7, [0.8, 0.6]), (8, None), (9, [0.0, 0.0]), (10, [inf, 0.0])], "query_id long, vector array<double>")
+    got = {}
+    for r in S.search_vectors(q, idx, k=9).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.index_id, r.score))
+    assert got == {7: [(0, 0.8), (5, 0.4), (3, 0.0), (6, 0.0)], 9: [(0, 0.0), (3, 0.0), (5, 0.0), (6, 0.0)]}
+    units = {r.index_id: r.u for r in idx.select("index_id", S.unit(F.col("index_vector")).alias("u")).collect()}
+    assert units[0] == [1.0, 0.0] and units[5] == [1.0] and all(units[i] is None for i in (1, 2, 3, 4, 6, 7))

@@ -1,62 +1,40 @@
-"""Intent and query-type classifiers with Spark ML (M1-M3, M5-M7; M6 with the intent fallback).
-
-Features are hashed (no vocabulary collected on the driver): word 1- and
-2-grams and character 3-5-grams inside space-padded words (a padded word
-shorter than n gives no n-gram, so a short word is counted once), each block TF-IDF
-weighted and L2-normalised, then concatenated.  The classifier is a weighted
-multinomial logistic regression with balanced class weights n / (k * n_c).
-``fit_calibrated`` (M4) trains one model per fold, fits a sigmoid per class to the
-scores of the rows left out, and averages the folds' normalised probabilities.
-
-``num_features`` (hash buckets of each block) and ``max_iter`` are parameters;
-their defaults keep collisions rare at tens of thousands of terms and let the
-solver run to its tolerance.
+"""Intent and query-type classifiers (M1-M7; M6 with the intent fallback).
+
+Features come from a fitted vocabulary (``features``): word 1- and 2-grams and
+character 3- to 5-grams inside padded words, sublinear tf, smoothed idf + 1, of
+length one in each block.  The classifier is a weighted multinomial logistic
+regression (``softmax``) with balanced class weights n / (k * n_c), solved to the
+tolerance on the compacted problem.  ``fit_calibrated`` (M4) trains one model per
+fold, fits a sigmoid per class to the scores of the rows left out, and averages
+the folds' normalised probabilities.
+
+A model is a table of terms with their idf and a weight by class, so scoring is a
+join on terms and an aggregate; nothing of the size of the vocabulary is broadcast
+unless Spark finds it small.  Rows with a null label are not learned from; null
+texts are empty, and a text without a known term gets the intercepts' scores.
 """
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (HashingTF, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer,
-                                VectorAssembler)
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import features as X
+from . import softmax
 from .similar import materialise
 
-CHAR_GRAMS_SQL = """
-SELECT *, flatten(transform(filter(split(lower(text), '\\\\s+'), w -> w != ''), w ->
-         flatten(transform(sequence(3, 5), n ->
-           CASE WHEN length(concat(' ', w, ' ')) < n THEN array()
-                ELSE transform(sequence(1, length(concat(' ', w, ' ')) - n + 1),
-                               i -> substring(concat(' ', w, ' '), i, n)) END)))) AS char_grams
-FROM __THIS__"""
-
-
-def build_pipeline(label: str = "intent", num_features: int = 1 << 16, max_iter: int = 2000,
-                   reg_param: float = 1e-4, tol: float = 1e-4) -> Pipeline:
-    """M1 + M2 + M3 as one Pipeline over (text, label, weight)."""
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern="[\\p{L}\\p{N}_]{2,}", gaps=False,
-                       toLowercase=True),
-        NGram(n=2, inputCol="words", outputCol="bigrams"),
-        SQLTransformer(statement="SELECT *, concat(words, bigrams) AS word_terms FROM __THIS__"),
-        HashingTF(inputCol="word_terms", outputCol="word_tf", numFeatures=num_features),
-        IDF(inputCol="word_tf", outputCol="word_idf"),
-        Normalizer(inputCol="word_idf", outputCol="word_vec"),
-        SQLTransformer(statement=CHAR_GRAMS_SQL),
-        HashingTF(inputCol="char_grams", outputCol="char_tf", numFeatures=num_features),
-        IDF(inputCol="char_tf", outputCol="char_idf"),
-        Normalizer(inputCol="char_idf", outputCol="char_vec"),
-        VectorAssembler(inputCols=["word_vec", "char_vec"], outputCol="features"),
-        StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iter, regParam=reg_param,
-                           tol=tol, standardization=False),
-    ]
-    return Pipeline(stages=stages)
+#: Character n-grams as a statement for SQLTransformer.
+CHAR_GRAMS_SQL = f"SELECT *, {X.CHAR_GRAMS.format(text='text')} AS char_grams FROM __THIS__"
+
+
+@dataclass
+class TextModel:
+    """terms: (block, term, idf, w) with a weight for each class; the classes and their intercepts."""
+    terms: DataFrame
+    names: list[str]
+    bias: list[float]
 
 
 def with_class_weights(df: DataFrame, label: str = "intent") -> tuple[DataFrame, int]:
@@ -69,37 +47,67 @@ def with_class_weights(df: DataFrame, label: str = "intent") -> tuple[DataFrame,
     return df.join(F.broadcast(counts), on=label).withColumn("weight", n / (k * F.col("n_c"))).drop("n_c"), n
 
 
-def fit(train: DataFrame, label: str = "intent", c: float = 1.0, **kw) -> PipelineModel:
-    """M3 penalty scale: the reference minimises C * sum(w * loss) + |b|^2 / 2,
-    MLlib minimises sum(w * loss) / sum(w) + regParam * |b|^2 / 2, so
-    regParam = 1 / (C * sum(w)) = 1 / (C * n) for balanced weights."""
-    weighted, n = with_class_weights(train.select("text", label), label)
-    kw.setdefault("reg_param", 1.0 / (c * max(n, 1)))
-    return build_pipeline(label, **kw).fit(weighted)
+def fit(train: DataFrame, label: str = "intent", c: float = 1.0, tolerance: float = softmax.TOLERANCE,
+        max_iter: int = softmax.MAX_ITER, driver_bytes: int = softmax.DRIVER_BYTES) -> TextModel:
+    """M3: minimises c * sum(weight * loss) + |w|^2 / 2."""
+    rows = train.where(F.col(label).isNotNull()).select("text", F.col(label).cast("string").alias("label"))
+    rows = materialise(rows).withColumn("row", F.monotonically_increasing_id())
+    weighted, n = with_class_weights(rows, "label")
+    labelled = weighted.select("row", "label", (F.col("weight") * c).alias("weight"))
+    terms = materialise(X.term_rows(rows, "row", "text"))
+    vocabulary = materialise(X.fit_vocabulary(terms, n or 0))
+    cells, labels, columns = X.compact(X.feature_rows(terms, vocabulary), labelled)
+    names = sorted(r["label"] for r in labels.select("label").distinct().collect())  # the labels
+    if not names:
+        raise ValueError("no labelled row")
+    number = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.lit(i))])
+    labels = labels.select("r", F.element_at(number, F.col("label")).alias("k"), "weight")
+    width = (columns.agg(F.max("c").alias("c")).first()["c"] or 0) + 1
+    w, bias = softmax.fit(materialise(cells), materialise(labels), width, len(names), tolerance, max_iter, driver_bytes)
+    own = vocabulary.join(columns, "idx").join(w, "c").select("block", "term", "idf", F.transform("w", lambda v: v / F.sqrt("m")).alias("w"))
+    return TextModel(materialise(own), names, [float(v) for v in bias])
+
+
+def classes(model: TextModel) -> list[str]:
+    """Class names in probability order (bounded by the number of labels)."""
+    return list(model.names)
 
 
-def classes(model: PipelineModel) -> list[str]:
-    """Class names in probability order (bounded by the number of labels)."""
-    return list(model.stages[-2].labelsArray[0])
+def with_margins(model: TextModel, df: DataFrame, column: str) -> DataFrame:
+    """``df`` (with a text) and the classes' raw scores as an array; equal texts are scored once."""
+    key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    texts = df.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct().withColumn("_key", key)
+    known = X.term_rows(texts, "_key", "text").join(model.terms, ["block", "term"]).withColumn("_x", (1 + F.log("tf")) * F.col("idf"))
+    k = range(len(model.names))
+    sums = known.groupBy("row", "block").agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_n"),
+                                             *[F.sum(F.col("_x") * F.col("w")[i]).alias(f"_s{i}") for i in k])
+    both = sums.groupBy("row").agg(F.array(*[F.sum(F.col(f"_s{i}") / F.col("_n")) for i in k]).alias("_s"))
+    bias = F.array(*[F.lit(v) for v in model.bias])
+    added = F.coalesce(F.zip_with("_s", bias, lambda s, b: s + b), bias)
+    return df.withColumn("_key", key).join(both.withColumnRenamed("row", "_key"), "_key", "left").withColumn(column, added).drop("_key", "_s")
+
+
+def _ranked(p: Column, names: list[str]) -> Column:
+    """(confidence, name) by falling confidence; ties keep class order."""
+    pairs = F.arrays_zip(p.alias("confidence"), F.array(*[F.lit(c) for c in names]).alias("name"))
+    return F.array_sort(pairs, lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(0))
 
 
-def score(model: PipelineModel, df: DataFrame, top_k: int = 3) -> DataFrame:
+def _decided(df: DataFrame, keep: list[str], p: Column, names: list[str], top_k: int) -> DataFrame:
+    out = df.withColumn("_r", _ranked(p, names))
+    return out.select(*keep, F.col("_r")[0]["name"].alias("predicted"), F.col("_r")[0]["confidence"].alias("confidence"),
+                      F.transform(F.slice("_r", 1, top_k), lambda x: F.struct(x["name"].alias("intent"), F.round(x["confidence"], 4).alias("confidence"))).alias("top_intents"))
+
+
+def score(model: TextModel, df: DataFrame, top_k: int = 3) -> DataFrame:
     """M5: predicted label, its confidence and the top-k ranking (4 dp); ties
     keep class order."""
-    names = F.array(*[F.lit(c) for c in classes(model)])
-    p = model.transform(df).withColumn("_p", vector_to_array("probability"))
-    ranked = F.array_sort(F.arrays_zip(F.slice(p["_p"], 1, F.size(names)).alias("confidence"), names.alias("name")),
-                          lambda a, b: F.when(a["confidence"] > b["confidence"], -1)
-                          .when(a["confidence"] < b["confidence"], 1).otherwise(0))
-    top = F.slice(ranked, 1, top_k)
-    keep = [c for c in df.columns]
-    return p.select(*keep, ranked[0]["name"].alias("predicted"), ranked[0]["confidence"].alias("confidence"),
-                    F.transform(top, lambda x: F.struct(x["name"].alias("intent"),
-                                                        F.round(x["confidence"], 4).alias("confidence")))
-                    .alias("top_intents"))
-
-
-def score_query_type(df: DataFrame, model: PipelineModel | None = None, intent: str = "pred_intent") -> DataFrame:
+    e = F.transform("_z", lambda z: F.exp(z - F.array_max("_z")))
+    scored = with_margins(model, df, "_z").withColumn("_e", e).withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda a, v: a + v))
+    return _decided(scored, df.columns, F.transform("_e", lambda v: v / F.col("_t")), model.names, top_k)
+
+
+def score_query_type(df: DataFrame, model: TextModel | None = None, intent: str = "pred_intent") -> DataFrame:
     """M6: query type from the six-class model when one is given (its label and
     confidence, source "model"); otherwise derived from the intent, with a null
     confidence and source "intent"."""
@@ -114,20 +122,24 @@ def score_query_type(df: DataFrame, model: PipelineModel | None = None, intent:
         .withColumn("query_type_source", F.lit("model"))
 
 
-def save(model: PipelineModel, path: str) -> None:
-    """M7."""
-    model.write().overwrite().save(path)
+def save(model: TextModel, path: str) -> None:
+    """M7: the terms and, beside them, the classes."""
+    spark = model.terms.sparkSession
+    model.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    spark.createDataFrame([(model.names, model.bias)], "names array<string>, bias array<double>").write.mode("overwrite").parquet(f"{path}/classes")
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(path: str, spark: SparkSession | None = None) -> TextModel:
+    spark = spark or SparkSession.active()
+    row = spark.read.parquet(f"{path}/classes").first()
+    return TextModel(spark.read.parquet(f"{path}/terms"), list(row["names"]), list(row["bias"]))
 
 
 # M4 ---------------------------------------------------------------------------
 @dataclass
 class CalibratedModel:
     """A model and a sigmoid (slope, offset) per class for every fold."""
-    folds: list[tuple[PipelineModel, dict[str, tuple[float, float]]]]
+    folds: list[tuple[TextModel, dict[str, tuple[float, float]]]]
 
 
 def fit_sigmoids(scored: DataFrame, iterations: int = 25) -> dict[str, tuple[float, float]]:
@@ -171,13 +183,13 @@ def fit_sigmoids(scored: DataFrame, iterations: int = 25) -> dict[str, tuple[flo
 
 def fit_calibrated(train: DataFrame, label: str = "intent", folds: int = 3, **kw) -> CalibratedModel:
     """M4: a text's fold depends on the text alone, so copies share a fold."""
-    rows = train.select("text", label).withColumn("_fold", F.pmod(F.xxhash64("text"), F.lit(folds)))
+    rows = materialise(train.select("text", label)).withColumn("_fold", F.pmod(F.xxhash64("text"), F.lit(folds)))
     out = []
     for k in range(folds):
         model = fit(rows.where(F.col("_fold") != k).drop("_fold"), label, **kw)
         names = F.array(*[F.lit(c) for c in classes(model)])
-        held = model.transform(rows.where(F.col("_fold") == k)).select(
-            F.col(label).alias("_truth"), F.explode(F.arrays_zip(names.alias("name"), F.slice(vector_to_array("rawPrediction"), 1, F.size(names)).alias("value"))).alias("s"))
+        held = with_margins(model, rows.where(F.col("_fold") == k), "_z").select(
+            F.col(label).alias("_truth"), F.explode(F.arrays_zip(names.alias("name"), F.col("_z").alias("value"))).alias("s"))
         held = materialise(held.select(F.col("s.name").alias("name"), F.col("s.value").alias("value"), (F.col("s.name") == F.col("_truth")).alias("hit")))
         out.append((model, fit_sigmoids(held)))
     return CalibratedModel(out)
@@ -189,16 +201,10 @@ def score_calibrated(model: CalibratedModel, df: DataFrame, top_k: int = 3) -> D
     cols, out = df.columns, df
     for k, (m, sig) in enumerate(model.folds):
         own = classes(m)
-        z = vector_to_array("rawPrediction")
-        p = {c: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(sig[c][0]) * F.get(F.col("_z"), F.lit(own.index(c))) + F.lit(sig[c][1])))
-             if c in own and c in sig else F.lit(0.0) for c in names}
-        part = m.transform(out).withColumn("_z", z).withColumn(f"_p{k}", F.array(*[p[c] for c in names]))
-        out = part.select(*cols, *[f"_p{i}" for i in range(k + 1)])
-        total = F.aggregate(f"_p{k}", F.lit(0.0), lambda acc, x: acc + x)
-        out = out.withColumn(f"_t{k}", total).withColumn(f"_p{k}", F.transform(f"_p{k}", lambda x: x / F.col(f"_t{k}"))).drop(f"_t{k}")
-    mean = F.array(*[sum(F.get(F.col(f"_p{k}"), F.lit(i)) for k in range(len(model.folds))) / len(model.folds) for i in range(len(names))])
-    ranked = F.array_sort(F.arrays_zip(mean.alias("confidence"), F.array(*[F.lit(c) for c in names]).alias("name")),
-                          lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(0))
-    out = out.withColumn("_r", ranked)
-    return out.select(*cols, F.col("_r")[0]["name"].alias("predicted"), F.col("_r")[0]["confidence"].alias("confidence"),
-                      F.transform(F.slice("_r", 1, top_k), lambda x: F.struct(x["name"].alias("intent"), F.round(x["confidence"], 4).alias("confidence"))).alias("top_intents"))
+        p = [F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(sig[c][0]) * F.col(f"_z{k}")[own.index(c)] + F.lit(sig[c][1])))
+             if c in own and c in sig else F.lit(0.0) for c in names]
+        out = with_margins(m, out, f"_z{k}").withColumn(f"_p{k}", F.array(*p)).drop(f"_z{k}")
+        out = out.withColumn(f"_t{k}", F.aggregate(f"_p{k}", F.lit(0.0), lambda a, v: a + v))
+    share = [[F.coalesce(F.try_divide(F.col(f"_p{k}")[i], F.col(f"_t{k}")), F.lit(0.0)) for k in range(len(model.folds))] for i in range(len(names))]
+    mean = F.array(*[sum(s) / len(model.folds) for s in share])
+    return _decided(out, cols, mean, names, top_k)

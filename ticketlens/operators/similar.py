@@ -14,6 +14,8 @@ for top-k output only the first k members of a copy group can ever be chosen.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,76 +187,137 @@ def exact_copies(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 # V3 ---------------------------------------------------------------------------
+#: Terms that so many open tickets hold, or fewer, are met ticket by ticket; the others class by class.
+RARE_DF = 32
+
+
+def _signature(terms: DataFrame, key: str) -> DataFrame:
+    """key, sig: a 128-bit name of a text's common terms with their counts and, of its rare terms, of the pairs
+    (df, tf) alone.  terms: (key, term, tf, df)."""
+    rare = F.col("df") <= RARE_DF
+    what = [F.when(rare, F.lit("")).otherwise(F.col("term")), F.when(rare, F.col("df").cast("long")).otherwise(F.lit(-1).cast("long")), F.col("tf")]
+    sums = [F.sum(F.xxhash64(F.lit(k), *what).cast("decimal(20,0)")).cast("string") for k in (0, 1)]
+    return terms.groupBy(key).agg(F.concat_ws(":", *sums).alias("sig"))
+
+
 def duplicate_candidates(messages: DataFrame, tickets: DataFrame, msg_id: str = "message_id",
                          threshold: float = V.DUPLICATE_THRESHOLD, limit: int = V.DUPLICATE_LIMIT,
-                         stop_words=None) -> DataFrame:
+                         stop_words=None, own: str | None = None) -> DataFrame:
     """For every message, up to ``limit`` open tickets with cosine >= threshold,
     exactly as if the vectoriser were refitted on (message + open tickets) per
-    message (n = N + 1, the message adds one to df of its own terms).
-
-    ``messages``: (msg_id, text); ``tickets``: (ticket_id, created_at, text,
-    status, department) -- the unresolved tickets.  Output: msg_id, rank,
-    ticket_id, similarity (4 dp), status, department.  Ranking: rounded
-    similarity descending, then store order (created_at, ticket_id).
-
-    Refit without refitting: with idf_b = ln((2+N)/(1+df)) + 1 and
-    idf_q = ln((2+N)/(2+df)) + 1, a ticket's norm under the message's refit is
-    ||t||_b^2 + sum over shared terms of tf^2 (idf_q^2 - idf_b^2), and the dot
-    product uses idf_q on shared terms.
+    message.
+
+    ``messages``: (msg_id, text and, if given, ``own``: whether the message is itself
+    the open ticket of that id, which it is then not compared with); ``tickets``:
+    (ticket_id, created_at, text, status, department) -- the unresolved tickets.
+    Output: msg_id, rank, ticket_id, similarity (4 dp), status, department.
+    Ranking: rounded similarity descending, then store order (created_at,
+    ticket_id).  Null texts are empty; a text without terms has no candidates.
+
+    Refit without refitting.  N tickets hold a term df times.  A message that is
+    no open ticket adds one to n and to the df of its own terms: with
+    idf_b = ln((2+N)/(1+df)) + 1 and idf_q = ln((2+N)/(2+df)) + 1, a ticket's norm
+    is ||t||_b^2 + sum over shared terms of tf^2 (idf_q^2 - idf_b^2).  A message
+    that is an open ticket takes its own row out and puts it back as the message:
+    all norms and dots use ln((1+N)/(1+df)) + 1.
+
+    Texts from one template differ in terms that few tickets hold.  Texts with
+    equal common terms and equal (df, tf) pairs of rare ones have equal norms, and
+    two such classes have one similarity as long as no rare term is shared, so
+    classes are compared instead of texts.  Pairs of texts that share a rare
+    term (a list of ``RARE_DF`` tickets at most) are found by that term and get
+    the rest on top.  A shared term only raises a similarity, so the first
+    limit + 1 tickets of a class, by the class's similarity, are all that can be
+    chosen beside those pairs.
     """
-    # Distinct open-ticket texts, each keeping only its first `limit` members.
-    wm = Window.partitionBy("text").orderBy("created_at", "ticket_id")
-    members = tickets.withColumn("_m", F.row_number().over(wm)).where(F.col("_m") <= limit).drop("_m")
-    otexts = tickets.groupBy("text").agg(F.count(F.lit(1)).alias("n_copies")).withColumn("okey", F.md5("text"))
-    n_open = tickets.agg(F.count(F.lit(1))).scalar()
-    a = n_open + F.lit(2.0)
-    otc = term_counts(otexts, "okey", "text", stop_words).join(otexts.select("okey", "n_copies"), on="okey")
+    flag = F.lit(False) if own is None else F.coalesce(F.col(own), F.lit(False))
+    msgs = materialise(messages.select(msg_id, F.coalesce(F.col("text"), F.lit("")).alias("text"), flag.alias("own"))
+                       .withColumn("mkey", F.concat(F.md5("text"), F.col("own").cast("int").cast("string"))))
+    tk = tickets.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("okey", F.md5("text"))
+    tk = materialise(tk.select("ticket_id", "created_at", "text", "status", "department", "okey"))
+    n_open = tk.agg(F.count(F.lit(1))).first()[0]  # one number
+    otexts = tk.groupBy("okey").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n_copies"))
+    otc = materialise(term_counts(otexts, "okey", "text", stop_words).join(otexts.select("okey", "n_copies"), "okey"))
     dfo = otc.groupBy("term").agg(F.sum("n_copies").alias("df"))
-    idf_b = F.log(a / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    idf_q = F.log(a / (F.lit(2.0) + F.col("df"))) + F.lit(1.0)
-    ov = otc.join(dfo, on="term").select("okey", "term", "tf", "df", idf_b.alias("idf_b"), idf_q.alias("idf_q"))
-    onorm2 = F.sum(F.pow(F.col("tf") * F.col("idf_b"), 2)).over(Window.partitionBy("okey"))
-    ov = materialise(ov.withColumn("onorm2", onorm2).withColumn("wb", F.col("tf") * F.col("idf_b") / F.sqrt("onorm2")))
-
-    # Distinct message texts; df of a term the open tickets lack is 0.
-    mtexts = messages.select("text").distinct().withColumn("mkey", F.md5("text"))
-    mtc = term_counts(mtexts, "mkey", "text", stop_words).join(dfo, on="term", how="left") \
-        .withColumn("df", F.coalesce(F.col("df"), F.lit(0)))
-    mv = mtc.withColumn("wq", F.col("tf") * (F.log(a / (F.lit(2.0) + F.col("df"))) + F.lit(1.0)))
-    mv = mv.withColumn("mnorm", F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(Window.partitionBy("mkey"))))
-    mv = materialise(mv.withColumn("wm", F.col("wq") / F.col("mnorm")))
-
-    # Prefix filter: message side exact; ticket side loosened by r_min, the
-    # smallest idf_q / idf_b ratio (df = 1), so the refit can only shrink it.
-    r_min = (F.log(a / F.lit(3.0)) + F.lit(1.0)) / (F.log(a / F.lit(2.0)) + F.lit(1.0))
-    mpre = prefix_terms(mv.where(F.col("df") > 0), "mkey", "wm", "df", threshold).select("mkey", "term")
-    wo = Window.partitionBy("okey").orderBy(F.col("df").desc(), F.col("term").desc()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opre = (ov.withColumn("_suffix", F.sqrt(F.sum(F.col("wb") * F.col("wb")).over(wo)))
-            .where(F.col("_suffix") >= F.lit(threshold) * r_min - F.lit(EPS)).select("okey", "term"))
-    cand = mpre.join(opre, on="term").select("mkey", "okey").distinct()
-
-    # Exact similarity over all shared terms of each candidate pair.
-    shared = (cand.join(mv.select("mkey", "term", F.col("tf").alias("tf_m")), on="mkey")
-              .join(ov.select("okey", "term", F.col("tf").alias("tf_o"), "idf_b", "idf_q", "onorm2"),
-                    on=["okey", "term"]))
-    pair = shared.groupBy("mkey", "okey").agg(
-        F.sum(F.col("tf_m") * F.col("tf_o") * F.col("idf_q") * F.col("idf_q")).alias("dot"),
-        F.sum(F.col("tf_o") * F.col("tf_o") * (F.col("idf_q") * F.col("idf_q") - F.col("idf_b") * F.col("idf_b")))
-        .alias("corr"),
-        F.first("onorm2").alias("onorm2"))
-    mn = mv.select("mkey", "mnorm").distinct()
-    sim = pair.join(mn, on="mkey").select(
-        "mkey", "okey", (F.col("dot") / (F.col("mnorm") * F.sqrt(F.col("onorm2") + F.col("corr")))).alias("sim"))
-    sim = sim.where(F.col("sim") >= F.lit(threshold))
-
-    # Expand to (at most `limit`) members per text, rank per message text.
-    mem = members.withColumn("okey", F.md5("text")).drop("text")
-    ranked = sim.join(mem, on="okey").withColumn("similarity", F.round("sim", 4))
-    wr = Window.partitionBy("mkey").orderBy(F.col("similarity").desc(), F.col("created_at"), F.col("ticket_id"))
-    top = ranked.withColumn("rank", F.row_number().over(wr)).where(F.col("rank") <= limit)
-    msgs = messages.withColumn("mkey", F.md5("text")).select(msg_id, "mkey")
-    return msgs.join(top, on="mkey").select(msg_id, "rank", "ticket_id", "similarity", "status", "department")
+    oterms = materialise(otc.join(dfo, "term").select("okey", "term", "tf", "df"))
+    mtexts = msgs.groupBy("mkey").agg(F.first("text").alias("text"), F.first("own").alias("own"))
+    mtc = term_counts(mtexts, "mkey", "text", stop_words).join(dfo, "term", "left")
+    mterms = materialise(mtc.select("mkey", "term", "tf", F.coalesce("df", F.lit(0)).alias("df")))
+
+    own_of = F.substring("mkey", 33, 1) == "1"
+
+    def idfs(own_flag: Column) -> tuple[Column, Column]:
+        """idf of terms the message lacks, and of those it has."""
+        base = F.when(own_flag, F.log(F.lit(1.0 + n_open) / (1.0 + F.col("df")))).otherwise(F.log(F.lit(2.0 + n_open) / (1.0 + F.col("df")))) + 1.0
+        shared = F.when(own_flag, F.log(F.lit(1.0 + n_open) / (1.0 + F.col("df")))).otherwise(F.log(F.lit(2.0 + n_open) / (2.0 + F.col("df")))) + 1.0
+        return base, shared
+
+    # classes: those of messages also tell whether they are open tickets
+    mclass = materialise(_signature(mterms, "mkey").select("mkey", F.concat("sig", F.lit("/"), F.substring("mkey", 33, 1)).alias("mc")))
+    oclass = materialise(_signature(oterms, "okey").withColumnRenamed("sig", "oc"))
+    mrows = mterms.join(mclass.groupBy("mc").agg(F.min("mkey").alias("mkey")), "mkey").select("mc", "term", "tf", "df", own_of.alias("own"))
+    orows = oterms.join(oclass.groupBy("oc").agg(F.min("okey").alias("okey")), "okey").select("oc", "term", "tf", "df")
+    mv = mrows.withColumn("idf_b", idfs(F.col("own"))[0]).withColumn("idf_q", idfs(F.col("own"))[1])
+    wm2 = F.sum(F.pow(F.col("tf") * F.col("idf_q"), 2)).over(Window.partitionBy("mc"))
+    mv = materialise(mv.withColumn("m2", wm2))
+    ov = orows.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("idf_b", idfs(F.col("own"))[0]).withColumn("idf_q", idfs(F.col("own"))[1])
+    ov = materialise(ov.withColumn("o2", F.sum(F.pow(F.col("tf") * F.col("idf_b"), 2)).over(Window.partitionBy("oc", "own"))))
+
+    # Prefix filter over common terms, rarest first: message side exact; ticket side
+    # loosened by the smallest idf_q / idf_b ratio, so the refit can only shrink it.
+    common = F.col("df") > RARE_DF
+
+    def prefix(rows: DataFrame, weight: Column, norm2: str, by: list[str], loose: float) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        reach = F.sqrt(F.sum(weight * weight).over(w) / F.col(norm2))
+        return rows.where(common).withColumn("_reach", reach).where(F.col("_reach") >= F.lit(threshold * loose - EPS)).select(*by, "own", "term")
+    loose = (math.log((2.0 + n_open) / 3.0) + 1.0) / (math.log((2.0 + n_open) / 2.0) + 1.0)
+    mpre = prefix(mv, F.col("tf") * F.col("idf_q"), "m2", ["mc"], 1.0)
+    opre = prefix(ov, F.col("tf") * F.col("idf_b"), "o2", ["oc", "own"], loose).select("oc", "own", "term")
+    near = mpre.join(opre, ["own", "term"]).select("mc", "oc").distinct()
+
+    # pairs of texts that share a rare term; own is the message's
+    rare = (mterms.where(~common).withColumn("own", own_of).join(oterms.where(~common).select("okey", "term", F.col("tf").alias("tf_o")), "term")
+            .withColumn("idf_b", idfs(F.col("own"))[0]).withColumn("idf_q", idfs(F.col("own"))[1]))
+    q2, b2 = F.col("idf_q") * F.col("idf_q"), F.col("idf_b") * F.col("idf_b")
+    rare = rare.groupBy("mkey", "okey").agg(F.sum(F.col("tf") * F.col("tf_o") * q2).alias("rare_dot"),
+                                            F.sum(F.col("tf_o") * F.col("tf_o") * (q2 - b2)).alias("rare_corr"))
+    rare = materialise(rare.join(mclass, "mkey").join(oclass, "okey"))
+
+    # common part of every pair of classes that is needed
+    pairs = near.unionByName(rare.select("mc", "oc")).distinct()
+    met = (pairs.join(mv.where(common).select("mc", "own", "term", F.col("tf").alias("tf_m"), "idf_b", "idf_q"), "mc")
+           .join(ov.where(common).select("oc", "own", "term", F.col("tf").alias("tf_o")), ["oc", "own", "term"]))
+    dots = met.groupBy("mc", "oc").agg(F.sum(F.col("tf_m") * F.col("tf_o") * q2).alias("dot"), F.sum(F.col("tf_o") * F.col("tf_o") * (q2 - b2)).alias("corr"))
+    m2 = mv.select("mc", "own", "m2").distinct()
+    o2 = ov.select("oc", "own", "o2").distinct()
+    base = pairs.join(dots, ["mc", "oc"], "left").na.fill(0.0, ["dot", "corr"]).join(m2, "mc").join(o2, ["oc", "own"])
+    base = materialise(base.select("mc", "oc", "dot", "corr", "m2", "o2"))
+
+    def kept(rows: DataFrame, dot: Column, corr: Column) -> DataFrame:
+        sim = dot / F.sqrt(F.col("m2") * (F.col("o2") + corr))
+        return rows.withColumn("sim", sim).where(F.col("sim") >= F.lit(threshold)).withColumn("similarity", F.round("sim", 4))
+    order = [F.col("similarity").desc(), F.col("created_at"), F.col("ticket_id")]
+    store = tk.select("okey", "created_at", "ticket_id")
+
+    def first_of(rows: DataFrame, by: str) -> DataFrame:
+        w = Window.partitionBy(by).orderBy("created_at", "ticket_id")
+        return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit + 1).drop("_n")
+    of_class = first_of(store.join(oclass, "okey"), "oc").select("oc", "created_at", "ticket_id")
+    of_text = first_of(store, "okey")
+    by_class = kept(base, F.col("dot"), F.col("corr")).join(of_class, "oc")
+    top = by_class.withColumn("_n", F.row_number().over(Window.partitionBy("mc").orderBy(*order))).where(F.col("_n") <= limit + 1)
+    from_class = mclass.join(top.select("mc", "similarity", "created_at", "ticket_id"), "mc").drop("mc")
+    special = kept(rare.join(base, ["mc", "oc"]), F.col("dot") + F.col("rare_dot"), F.col("corr") + F.col("rare_corr"))
+    from_text = special.select("mkey", "okey", "similarity").join(of_text, "okey").drop("okey")
+    both = from_class.unionByName(from_text).groupBy("mkey", "ticket_id", "created_at").agg(F.max("similarity").alias("similarity"))
+    best = both.withColumn("_n", F.row_number().over(Window.partitionBy("mkey").orderBy(*order))).where(F.col("_n") <= limit + 1).drop("_n")
+    lists = best.groupBy("mkey").agg(F.array_sort(F.collect_list(F.struct(
+        (-F.col("similarity")).alias("s"), "created_at", "ticket_id"))).alias("hits"))  # limit + 1 of them
+    mine = F.filter("hits", lambda h: ~(F.col("own") & (h["ticket_id"] == F.col(msg_id))))
+    chosen = msgs.join(lists, "mkey").select(msg_id, F.posexplode(F.slice(mine, 1, limit)).alias("_at", "h"))
+    return chosen.select(msg_id, (F.col("_at") + 1).alias("rank"), F.col("h.ticket_id").alias("ticket_id"), (-F.col("h.s")).alias("similarity")).join(
+        tk.select("ticket_id", "status", "department"), "ticket_id").select(msg_id, "rank", "ticket_id", "similarity", "status", "department")
 
 
 # V5, V7 -----------------------------------------------------------------------
@@ -296,8 +359,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
+    """The vector at length one; null for a null or zero vector and one that holds a null or non-finite entry."""
     nrm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / nrm)
+    return F.when(sound(v) & (nrm > 0), F.transform(v, lambda x: F.try_divide(x.cast("double"), nrm)))
+
+
+def sound(v: Column) -> Column:
+    """Whether a vector is there and all its entries are finite numbers."""
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
+    return F.coalesce(v.isNotNull() & ~bad, F.lit(False))
 
 
 def search_vectors(queries: DataFrame, index: DataFrame, k: int = V.RETRIEVAL_K, query_id: str = "query_id",
@@ -308,17 +378,28 @@ def search_vectors(queries: DataFrame, index: DataFrame, k: int = V.RETRIEVAL_K,
     The index is dealt into blocks of bounded size and every query meets every
     block (a stated query set in blocks); a block's scores are one matrix product
     in its task and only its k best leave it, to be merged by rank.  Equal scores:
-    the smaller index_id first."""
+    the smaller index_id first.
+
+    Vectors that are null or hold a null or non-finite entry take no part, on either
+    side.  A zero vector scores 0.  Shorter vectors count as filled up with zeros."""
     import numpy as np
     import pyarrow as pa
 
-    blocks = max(1, -(-index.count() // block_rows))
+    index, queries = index.where(sound(F.col("index_vector"))), queries.where(sound(F.col(vector)))
+    size = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("index_vector")).alias("d")).first()
+    blocks, d = max(1, -(-size["n"] // block_rows)), max(size["d"] or 0, queries.agg(F.max(F.size(vector))).first()[0] or 0)
     rows = index.select(F.pmod(F.xxhash64("index_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"),
                         F.col("index_id").cast("long").alias("id"), F.transform("index_vector", lambda x: x.cast("double")).alias("v"))
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"),
                            F.col(query_id).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     met = rows.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks", "id")
 
+    def matrix(lists):
+        n = np.diff(lists.offsets.to_numpy())
+        out = np.zeros((len(lists), d))
+        out[np.repeat(np.arange(len(lists)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy()
+        return out
+
     def best(ids, v, qids, q):
         score = q @ v.T
         if exclude_self:
@@ -339,7 +420,7 @@ def search_vectors(queries: DataFrame, index: DataFrame, k: int = V.RETRIEVAL_K,
                     continue
                 if blk[a] != block:
                     block, ids, vecs = blk[a], [], []
-                part = np.stack(batch.column(3).slice(a, b - a).to_numpy(zero_copy_only=False))
+                part = matrix(batch.column(3).slice(a, b - a))
                 if not asks[a]:
                     ids.append(vid[a:b])
                     vecs.append(part)

@@ -335,6 +335,27 @@ def decoded_labels(spark, sf_dir):
     return d.groupBy("label_name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# M1, M2: the fitted vocabulary of the train split ---------------------------------
+@register("model_vocabulary", J2_CTES + """,
+r AS (SELECT row_number() OVER () AS id, lower(text) AS text FROM training_set WHERE split = 'train'),
+wt AS (SELECT id, regexp_extract_all(text, '[\\p{L}\\p{N}_]{2,}') AS tk FROM r),
+wg AS (SELECT id, unnest(list_concat(tk, [tk[i] || ' ' || tk[i + 1] for i in range(1, len(tk))])) AS term FROM wt),
+cw AS (SELECT id, ' ' || unnest(string_split_regex(text, '\\s+')) || ' ' AS w FROM r),
+cg AS (SELECT id, unnest([substr(w, i, 3) for i in range(1, length(w) - 1)] || [substr(w, i, 4) for i in range(1, length(w) - 2)]
+                         || [substr(w, i, 5) for i in range(1, length(w) - 3)]) AS term FROM cw WHERE length(w) > 2),
+terms AS (SELECT 'word' AS block, id, term FROM wg UNION ALL SELECT 'char', id, term FROM cg),
+dfs AS (SELECT block, term, count(DISTINCT id) AS df FROM terms GROUP BY block, term)
+SELECT block, term, df, round(ln((1.0 + (SELECT count(*) FROM r)) / (1.0 + df)) + 1, 6) AS idf,
+       row_number() OVER (ORDER BY block, term) - 1 AS idx FROM dfs""")
+def model_vocabulary(spark, sf_dir):
+    from ..operators import features as X
+    from ..operators.similar import materialise
+    train = materialise(jobs.training_set(spark, sf_dir).where(F.col("split") == "train").select("text"))
+    rows = train.withColumn("row", F.monotonically_increasing_id())
+    v = X.fit_vocabulary(X.term_rows(rows, "row", "text"), train.agg(F.count(F.lit(1))).scalar())
+    return v.select("block", "term", "df", F.round("idf", 6).alias("idf"), "idx")
+
+
 # Train on the train split, evaluate on the held-out split -------
 @register("intent_model_eval")
 def intent_model_eval(spark, sf_dir):
