@@ -99,6 +99,26 @@ def test_feedback_store_predictions(spark, tmp_path):
     assert sorted((r.id, r.pred) for r in spark.read.parquet(f"{tmp_path}/p").collect()) == [(1, "x"), (2, None)]
 
 
+def test_append_shows_whole_batches_only(spark, tmp_path, monkeypatch):
+    out = f"{tmp_path}/store"
+    assert io.read_appended(spark, out, "tickets") is None
+    make = lambda ids: spark.createDataFrame([(i, "m") for i in ids], "ticket_id long, text string")
+    ids = lambda t: sorted(r.ticket_id for r in io.read_appended(spark, out, t).collect())
+    io.append_tickets(make([1, 2]), make([1, 2]), out, "first")
+
+    broken = make([3]).select("ticket_id", F.raise_error(F.lit("lost")).cast("string").alias("text"))
+    with pytest.raises(Exception, match="lost"):
+        io.append_tickets(make([3]), broken, out, "7")       # the tickets are written, the events are not
+    assert ids("tickets") == ids("events") == [1, 2]
+    io.append_tickets(make([3]), make([3]), out, "7")        # the retry
+    io.append_tickets(make([3, 4]), make([3, 4]), out, "7")  # delivered once more: it is listed already
+    assert ids("tickets") == ids("events") == [1, 2, 3]
+    assert io.append_tickets(make([9]), make([9]), out) not in ("first", "7")
+    assert ids("tickets") == ids("events") == [1, 2, 3, 9]
+    with pytest.raises(ValueError):
+        io.append_tickets(make([5]), make([5]), out, "../x")
+
+
 def test_older_table_gains_columns(spark):
     d = io.evolve_schema(spark.createDataFrame([(1,)], "id int"), {"n": ("bigint", 0), "note": ("string", None), "id": ("int", 9)})
     assert d.dtypes == [("id", "int"), ("n", "bigint"), ("note", "string")] and tuple(d.first()) == (1, 0, None)

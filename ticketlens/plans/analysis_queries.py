@@ -9,6 +9,7 @@ from ..session import read_table
 from ..sources import io
 from . import fixtures as fx
 from . import oracle as O
+from . import similar_queries
 from .registry import register
 
 # Toy valences for the check; a caller brings a real lexicon table.
@@ -53,10 +54,12 @@ def valence_sentiment(spark, sf_dir):
 
 
 @register("lexical_sentiment_source", O.with_ctes(O.tickets_cte()) + f"""
-SELECT {O.q(V.LEXICON_SOURCE)} AS sentiment_source, CAST(count(*) AS BIGINT) AS n_rows FROM tickets""")
+SELECT ticket_id, round({O.lexicon_score('message')}, 6) AS sentiment_score, {O.polarity(O.lexicon_score('message'))} AS sentiment,
+       {O.q(V.LEXICON_SOURCE)} AS sentiment_source FROM tickets""")
 def lexical_sentiment_source(spark, sf_dir):
     t = fx.tickets(spark, sf_dir).select("ticket_id", "message")
-    return sentiment.analyse(t, "ticket_id", "message").groupBy("sentiment_source").agg(F.count(F.lit(1)).alias("n_rows"))
+    s = sentiment.analyse(t, "ticket_id", "message")
+    return s.select("ticket_id", F.round("sentiment_score", 6).alias("sentiment_score"), "sentiment", "sentiment_source")
 
 
 # S5 ---------------------------------------------------------------------------
@@ -79,14 +82,21 @@ def public_corpus(spark, sf_dir):
 
 
 # R11 --------------------------------------------------------------------------
-@register("public_view", O.with_ctes(O.tickets_cte()) + """
-SELECT ticket_id, CAST(0 AS BIGINT) AS shown, CAST(0 AS BIGINT) AS shown_in_ticket FROM tickets""")
+@register("public_view", f"""
+SELECT t.event_id AS ticket_id, coalesce(d.n, 0) AS found, d.best, CAST(0 AS BIGINT) AS shown, CAST(0 AS BIGINT) AS shown_in_ticket
+FROM events t LEFT JOIN (SELECT message_id, CAST(count(*) AS BIGINT) AS n, arg_min(ticket_id, rank) AS best
+                         FROM ({similar_queries.V3_SQL}) c GROUP BY message_id) d ON t.event_id = d.message_id""")
 def public_view(spark, sf_dir):
-    match = F.struct(F.col("ticket_id").alias("ticket_id"), F.lit(0.9).alias("similarity"))
-    t = fx.tickets(spark, sf_dir).select("ticket_id", F.array(match).alias("duplicate_candidates"),
-                                         F.struct("status", F.array(match).alias("duplicate_candidates")).alias("ticket"))
-    v = ops.public_view(t)
-    return v.select("ticket_id", F.size("duplicate_candidates").cast("bigint").alias("shown"),
+    """What agents have found (V3) and what is left of it for a customer."""
+    hits = similar_queries.duplicate_candidates(spark, sf_dir).groupBy("message_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "ticket_id", "similarity", "status", "department"))).alias("hits"))  # three of them
+    t = fx.tickets(spark, sf_dir).select("ticket_id", "status").join(hits, F.col("ticket_id") == F.col("message_id"), "left")
+    found = F.coalesce("hits", F.array().cast(dict(hits.dtypes)["hits"]))
+    analysed = t.select("ticket_id", found.alias("agent_view"), found.alias("duplicate_candidates"),
+                        F.struct("status", found.alias("duplicate_candidates")).alias("ticket"))
+    v = ops.public_view(analysed)
+    return v.select("ticket_id", F.size("agent_view").cast("bigint").alias("found"), F.get("agent_view", F.lit(0))["ticket_id"].alias("best"),
+                    F.size("duplicate_candidates").cast("bigint").alias("shown"),
                     F.size("ticket.duplicate_candidates").cast("bigint").alias("shown_in_ticket"))
 
 

@@ -9,7 +9,7 @@ from ..operators import lookup, ops, triage
 from . import fixtures as fx
 from . import jobs
 from . import oracle as O
-from .registry import register
+from .registry import SQL, register
 
 FULL = O.full_ctes()
 
@@ -135,6 +135,18 @@ def current_status(spark, sf_dir):
     return ops.current_status(jobs.events(spark, sf_dir))
 
 
+@register("stream_current_status", SQL["current_status"])
+def stream_current_status(spark, sf_dir):
+    """The events as files, fed to the stream in three batches: as the batch fold."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming import status
+    folder = f"{ensure_checkpoint_dir(spark)}/status-{uuid.uuid4().hex}"
+    jobs.events(spark, sf_dir).repartition(6, "event_id").write.parquet(f"{folder}/events")
+    return status.run_status(spark, f"{folder}/events", f"{folder}/states", checkpoint=f"{folder}/stream", max_files_per_trigger=2)
+
+
 # L5 ---------------------------------------------------------------------------
 @register("status_durations", FULL + """
 SELECT status, CAST(count(*) AS BIGINT) AS n_events, CAST(count(seconds_in_status) AS BIGINT) AS n_closed,

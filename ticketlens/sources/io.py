@@ -1,7 +1,10 @@
 """Sources and sinks (S family)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -155,10 +158,31 @@ def ingest_attachments(spark, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 # S9 ---------------------------------------------------------------------------
-def append_tickets(store_rows: DataFrame, events: DataFrame, out_dir: str) -> None:
-    """Append masked tickets and their 'received' events (batch writes)."""
-    store_rows.write.mode("append").parquet(f"{out_dir}/tickets")
-    events.write.mode("append").parquet(f"{out_dir}/events")
+def append_tickets(store_rows: DataFrame, events: DataFrame, out_dir: str, batch_id: str | None = None) -> str:
+    """Append masked tickets and their 'received' events as one batch; returns its id.
+
+    Both tables are written under the batch's id, and the batch is listed after
+    both are complete.  Readers (``read_appended``) see listed batches only, so a
+    failure in between shows nothing, and a retry with the same id overwrites what
+    was left.  A listed batch is not written again."""
+    spark = store_rows.sparkSession
+    batch = batch_id or uuid.uuid4().hex
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+        raise ValueError(f"not a batch id: {batch!r}")
+    if not path_exists(spark, f"{out_dir}/batches/{batch}/_SUCCESS"):
+        store_rows.write.mode("overwrite").parquet(f"{out_dir}/tickets/batch_id={batch}")
+        events.write.mode("overwrite").parquet(f"{out_dir}/events/batch_id={batch}")
+        spark.createDataFrame([(batch,)], "batch_id string").coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/batches/{batch}")
+    return batch
+
+
+def read_appended(spark: SparkSession, out_dir: str, table: str) -> DataFrame | None:
+    """``tickets`` or ``events`` of all listed batches, with ``batch_id``; None before the first one."""
+    if not path_exists(spark, f"{out_dir}/batches/*/_SUCCESS"):
+        return None
+    listed = spark.read.schema("batch_id string").parquet(f"{out_dir}/batches/*")
+    rows = spark.read.option("basePath", f"{out_dir}/{table}").parquet(f"{out_dir}/{table}")
+    return rows.withColumn("batch_id", F.col("batch_id").cast("string")).join(listed, "batch_id", "left_semi")
 
 
 # S11 ----------------------------------------------------------------------------
