@@ -23,9 +23,9 @@ def brute(data):
     return sorted((str(i), str(best[t or ""]), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in data), best
 
 
-def check(spark, data, primes):
+def check(spark, data, primes, part=X.ROW_PART):
     df = spark.createDataFrame([(i, t, "s") for i, t in data], "doc_id long, text string, keep_id string")
-    got = X.exact_groups(df, primes).collect()
+    got = X.exact_groups(df, primes, part).collect()
     want, best = brute(data)
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == want
     assert sum(r.kept for r in got) == len(best)  # one of each group, repeated rows too
@@ -69,3 +69,31 @@ def test_drop_copies_keeps_columns(spark):
     assert got.columns == df.columns
     _, best = brute(data)
     assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted((str(i), t) for t, i in best.items())
+
+
+def test_ids_with_several_grouped_texts(spark):
+    check(spark, [(5, "aaa"), (5, "bbb"), (6, "aaa"), (7, "bbb")], X.PRIMES)
+    check(spark, [(5, "aaa"), (5, "bb"), (6, "aaa"), (7, "bb"), (5, "aaa")], X.PRIMES)
+
+
+def test_null_ids_beside_a_clash(spark):
+    for primes in (X.PRIMES, (3,)):
+        check(spark, [(None, "aaa"), (None, "aaa"), (5, "aaa"), (5, "bb"), (7, "bb")], primes)
+        check(spark, [(None, c) for c in "abcdefgh" * 2], primes)
+
+
+def test_long_texts_are_hashed_in_parts(spark):
+    data = [(i, c * n) for i, (c, n) in enumerate([("a", 9), ("a", 10), ("é", 55), ("é", 55), ("ab", 50), ("ab", 50), ("ba", 50), ("x", 100)])]
+    data += [(3, "é" * 55), (None, "ab" * 50), (3, "ab" * 50)]
+    for part in (1, 7, 10, 64):
+        check(spark, data, X.PRIMES, part)
+    prints = {p: sorted(map(str, X.fingerprint_table(spark.createDataFrame(data, "doc_id long, text string"), part=p).collect())) for p in (10, X.ROW_PART)}
+    assert prints[10] == prints[X.ROW_PART]
+
+
+def test_drop_copies_with_clashing_columns(spark):
+    names = ["_nth", "_sha", "row", "nth", "keep_id", "text_sha256", "kept", "n_bytes"]
+    df = spark.createDataFrame([(i, t, *range(i, i + 8)) for i, t in [(1, "a"), (2, "a"), (3, "b"), (3, "b")]],
+                               "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    got = sorted(X.drop_copies(df).collect())
+    assert got == [(2, "a", *range(2, 10)), (3, "b", *range(3, 11))]
