@@ -52,6 +52,15 @@ def test_word_table_holds_each_word_once(spark):
     assert all(r.ids == table.plain(r.word) for r in got)
 
 
+def test_word_table_keeps_to_its_bound(spark):
+    data = [(i, " ".join(f"w{k}" for k in range(40) for _ in range(1 + k % 9))) for i in range(3)]
+    counts = {r.word: r.n for r in bpe_table.distinct_words(frame(spark, data), BYTE).collect()}
+    for head in (0, 1, 7, 20, len(counts)):
+        got = [r.word for r in bpe_table.word_table(frame(spark, data), BYTE, head).collect()]
+        assert len(got) <= head and (not got or min(counts[w] for w in got) > max((n for w, n in counts.items() if w not in got), default=0))
+    assert len(got) == len(counts)
+
+
 def test_packing(spark):
     data = rows()
     got = packing.pack(packing.pieces(frame(spark, data).repartition(3), BYTE, 256), 256, group_items=40, fan_in=3).collect()

@@ -3,8 +3,9 @@
 1. ``distinct_words``: Spark splits every text into pre-token words, counts
    them per task and adds the counts up.
 2. ``word_table``: the most frequent words, at most ``head`` of at most
-   ``WORD_CHARS`` characters, are encoded once each.  That table has a proven
-   size bound and is broadcast.
+   ``WORD_CHARS`` characters, are encoded once each.  How frequent they must be
+   comes from a histogram of the counts.  That table has a proven size bound and
+   is broadcast as flat arrays, which tasks use as they are.
 3. ``encode``: every position takes its word's ids.  Words outside the table
    are encoded by the task that meets them, once in its own bounded table:
    joining a row per position instead would shuffle more than twice the input.
@@ -16,18 +17,22 @@ table gives an empty result.
 """
 from __future__ import annotations
 
+import json
 import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import BLOCK, documents, runs, segments, text_runs
+from .common import BLOCK, documents, materialise, runs, segments, text_runs
 
-HEAD_WORDS, WORD_CHARS, HELD_WORDS = 200_000, 64, 400_000
+HEAD_WORDS, WORD_CHARS, HELD_WORDS = 200_000, 64, 200_000
+#: Bytes of text that a task encodes at once, and steps of the histogram for each doubling of a count.
+TEXT_BLOCK, STEPS = 1 << 18, 8
 #: A binary value of a Spark row is shorter than this.
 ROW_BYTES = 2 ** 31
 
@@ -44,7 +49,7 @@ def distinct_words(docs: DataFrame, tokenizer: str) -> DataFrame:
     def work(batches):
         table, seen = W.table_for(tokenizer), Counter()
         for batch in batches:
-            for _, _, texts in text_runs(batch.column(0), BLOCK):
+            for _, _, texts in text_runs(batch.column(0), TEXT_BLOCK):
                 seen.update(table.count_words(texts, WORD_CHARS))
                 if len(seen) > HELD_WORDS:
                     yield batch_of(seen)
@@ -55,7 +60,7 @@ def distinct_words(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def word_table(docs: DataFrame, tokenizer: str, head: int = HEAD_WORDS) -> DataFrame:
-    """word, ids of the ``head`` most frequent words, each encoded once."""
+    """word, ids of the most frequent words, each encoded once: whole steps of the histogram, ``head`` words at most."""
     def work(batches):
         table = W.table_for(tokenizer)
         for batch in batches:
@@ -63,7 +68,13 @@ def word_table(docs: DataFrame, tokenizer: str, head: int = HEAD_WORDS) -> DataF
             if found:
                 ids = table.word_ids([np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in found])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-    top = distinct_words(docs, tokenizer).orderBy(F.desc("n"), "word").limit(head).select("word")
+    counted = materialise(distinct_words(docs, tokenizer).withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")))
+    least, room = None, head
+    for r in sorted(counted.groupBy("step").count().collect(), reverse=True):  # 64 * STEPS rows at most
+        if r["count"] > room:
+            break
+        least, room = r["step"], room - r["count"]
+    top = counted.where(F.col("step") >= least if least is not None else F.lit(False)).select("word")
     return top.mapInArrow(work, "word string, ids array<int>")
 
 
@@ -79,18 +90,20 @@ def id_rows(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.Record
 def encode(docs: DataFrame, tokenizer: str, head: int = HEAD_WORDS) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every document."""
     spark = docs.sparkSession
-    pairs = word_table(docs, tokenizer, head).toArrow()
+    pairs = word_table(docs, tokenizer, head).toArrow().combine_chunks()
     mark = uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast((pairs.column(0).to_pylist(), pairs.column(1).to_pylist()))
+    lists = pairs.column(1)
+    shared = spark.sparkContext.broadcast(W.packed_words(
+        pairs.column(0).to_pylist(), pc.list_flatten(lists).to_numpy(), pc.list_value_length(lists).to_numpy()))
 
     def work(batches):
         table = W.table_for(tokenizer)
         if _loaded.get(tokenizer) != mark:
-            table.load(*shared.value)
+            table.take(shared.value)
             _loaded[tokenizer] = mark
         for batch in batches:
             ids_of = batch.column(0)
-            for a, b, texts in text_runs(batch.column(1), BLOCK):
+            for a, b, texts in text_runs(batch.column(1), TEXT_BLOCK):
                 yield id_rows(ids_of.slice(a, b - a), *table.encode(texts))
     return documents(docs).mapInArrow(work, "doc_id long, n_tokens long, ids binary")
 
@@ -98,9 +111,10 @@ def encode(docs: DataFrame, tokenizer: str, head: int = HEAD_WORDS) -> DataFrame
 def _pieces_of(tokenizer: str):
     """Bytes of all vocabulary entries, with each id's place and length."""
     if tokenizer not in _vocabularies:
-        model = W.table_for(tokenizer).tokenizer
+        with open(tokenizer, encoding="utf-8") as f:
+            spec = json.load(f)
         back = {ord(c): b for b, c in W._byte_letters().items()}
-        vocab = model.get_vocab(with_added_tokens=True)
+        vocab = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         parts = [b""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
             parts[i] = bytes(back[ord(c)] for c in piece)

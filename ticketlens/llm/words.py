@@ -99,16 +99,12 @@ class WordTable:
 
     def load(self, words: list[str], ids: list[list[int]]) -> None:
         """Take over words whose ids are known already (those of a word table made by Spark)."""
-        self.given = None
+        self.take(packed_words(words, np.fromiter((x for i in ids for x in i), np.uint32), np.array([len(i) for i in ids])))
+
+    def take(self, packed: dict[str, np.ndarray]) -> None:
+        """The same for words that are packed already; the arrays are used as they are."""
+        self.given = packed
         self.clear()
-        if words:
-            chars = [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words]
-            flat, lens = np.concatenate(chars), np.array([len(c) for c in chars], np.int64)
-            keys = _hashes(flat, np.cumsum(lens) - lens, np.cumsum(lens))
-            _, first = np.unique(keys, return_index=True)
-            self._grow(keys[first], [chars[k] for k in first], [ids[k] for k in first])
-        fields = ("keys", "rows", "c_start", "c_len", "i_start", "i_len", "chars", "ids")
-        self.given = {f: getattr(self, f) for f in fields}
 
     def word_ids(self, words: list[np.ndarray]) -> list[list[int]]:
         """Ids of each word (its characters), as the tokenizer's model gives them."""
@@ -229,6 +225,17 @@ class WordTable:
         return row
 
 
+def packed_words(words: list[str], ids: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+    """Distinct words and their ids (side by side, with the number of each word) as the arrays of a ``WordTable``."""
+    c_len = np.array([len(w) for w in words], np.int32)
+    i_len = np.asarray(lengths, np.int32)
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    start = np.cumsum(c_len, dtype=np.int64) - c_len
+    keys, rows = np.unique(_hashes(flat, start, start + c_len), return_index=True)  # of words that share a hash, one
+    return {"keys": keys, "rows": rows.astype(np.int32), "c_start": start.astype(np.int32), "c_len": c_len, "chars": flat.astype(np.uint16),
+            "i_start": (np.cumsum(i_len, dtype=np.int64) - i_len).astype(np.int32), "i_len": i_len, "ids": np.asarray(ids, np.uint32)}
+
+
 def _byte_letters() -> dict[int, str]:
     """The visible letter that a byte-level model has for each byte: printable Latin-1 as it is, the rest from 256 on."""
     out, n = {}, 256
