@@ -86,3 +86,13 @@ def test_cut_keeps_characters_and_columns(spark):
 
 def test_empty(spark):
     assert run(spark, [], 50) == []
+
+
+def test_cut_repeats_with_clashing_columns(spark):
+    passage = "the same passage stands here in both of these documents, word by word, and is cut once "
+    names = ["_d", "_spans", "_doc", "_r", "_rid", "doc", "spans", "rid", "d"]
+    df = spark.createDataFrame([(i, t, *range(i, i + 9)) for i, t in [(1, passage), (2, "own " + passage)]],
+                               "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    got = sorted(X.cut_repeats(df, 50).collect())
+    assert [tuple(r)[2:] for r in got] == [tuple(range(1, 10)), tuple(range(2, 11))]
+    assert got[0].text == passage and got[1].text == "own "

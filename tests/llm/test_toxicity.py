@@ -101,3 +101,9 @@ def test_bags_by_hand():
     assert b.text.tolist() == [0, 0, 2]
     by_word = [sorted(b.buckets[b.word == k].tolist()) for k in range(3)]
     assert by_word[0] == by_word[2] and len(by_word[0]) == 3 and len(by_word[1]) == 1  # " ab", "ab ", " ab "; " c "
+
+
+def test_drop_toxic_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a text", 7, 8), (2, None, 9, 10)], "doc_id long, text string, _toxicity int, toxicity int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert sorted(X.drop_toxic(df, labels).collect()) == [(1, "a text", 7, 8), (2, None, 9, 10)]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialise, runs, seeds, segments, utf8
+from .common import documents, free_names, materialise, runs, seeds, segments, utf8
 
 #: Bytes that a task works on at once.
 PIECE = 1 << 18
@@ -386,12 +386,13 @@ def _cut(text: bytes, spans, threshold: int, whole: bool = False) -> tuple[bytes
 
 
 def _with_spans(docs: DataFrame, threshold: int, hot_runs: int = HOT_RUNS) -> DataFrame:
-    keyed = _keyed(docs)
-    spans = repeats(keyed, threshold, hot_runs).select(F.col("doc").alias("_doc"), F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
+    """The columns of ``docs`` and, as the last one, the runs of windows to remove."""
+    doc, rid, found, d, r = free_names(docs.columns, "doc", "rid", "spans", "d", "r")
+    spans = repeats(_keyed(docs), threshold, hot_runs).select(F.col("doc").alias(doc), F.col("rid").alias(rid), F.col("spans").alias(found))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    marked = docs.withColumn("_d", doc).withColumn("_r", F.hash(text))
-    return marked.join(spans, (F.col("_d") == F.col("_doc")) & (F.col("_r") == F.col("_rid")), "left").select(*docs.columns, "_spans")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    marked = docs.withColumns({d: own, r: F.hash(text)})
+    return marked.join(spans, (F.col(d) == F.col(doc)) & (F.col(r) == F.col(rid)), "left").select(*docs.columns, found)
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 50, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -413,7 +414,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, hot_runs: int = HOT_RUN
 
 
 def cut_repeats(docs: DataFrame, threshold: int) -> DataFrame:
-    """The documents with repeats cut out of their texts, in whole characters; all columns stay.
+    """The documents with repeats cut out of their texts, in whole characters; all columns stay, whatever their names.
 
     ``n_chars``, where there is one, follows the text; a null text stays null.
     """

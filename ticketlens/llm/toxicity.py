@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialise, runs, seeds, text_runs
+from .common import documents, free_names, materialise, runs, seeds, text_runs
 
 #: The bound of the training sample, for each class.
 TRAIN_DOCS, TRAIN_CHARS = 1500, 2_000_000
@@ -263,6 +263,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents below the threshold; all columns stay."""
+    """The documents below the threshold; all columns stay, whatever their names."""
     named = docs.withColumn("text", F.col("text").cast("string"))
-    return with_scores(named, fit(docs, labels), "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    score, = free_names(docs.columns, "toxicity")
+    return with_scores(named, fit(docs, labels), score).where(F.col(score) < threshold).drop(score)
