@@ -133,3 +133,51 @@ def test_drop_near_copies(spark):
     assert sorted((r.doc_id, r.text) for r in got.collect() if r.text) == [(3, rows[6][1]), (4, rows[1][1]), (7, "other")]
     assert got.where("doc_id in (2, 8)").count() == 2
     assert X.drop_near_copies(df.limit(0)).collect() == []
+
+
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w
+
+
+def test_words_that_polynomials_confuse(spark):
+    w = thue_morse(1024)
+    rows = [(1, w), (2, w.translate(str.maketrans("ab", "ba"))), (3, w + " x"), (4, "y " + w), (5, w), (6, "z" * 300_000), (7, "z" * 300_001)]
+    assert run(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
+
+
+def test_word_names():
+    rnd = random.Random(3)
+    words = [bytes(rnd.choice(b"ab") for _ in range(k)) for k in list(range(1, 40)) * 3 + [255, 256, 257, 300]] + [b"a", b"a\0", b"a\0\0", b"\0"]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    names = X.word_names(data, end - [len(w) for w in words], end)
+    alone = [int(X.word_names(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words]
+    assert names.tolist() == alone
+    assert len(set(alone)) == len(set(words))
+
+
+def test_tasks_link_what_shares_a_key_there(spark, monkeypatch):
+    rows = data(6, 120)
+    for held in (1, 50, 1 << 20):
+        monkeypatch.setattr(X, "HELD_KEYS", held)
+        keys = X.signatures(X._keyed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)), 3, 80, 100)
+        got = [tuple(r) for r in keys.collect()]
+        keep = [(k, f) for k, f, linked in got if not linked]
+        if held == 1 << 20:
+            assert len({k for k, _ in keep}) == len(keep)
+        roots = {r.node: r.root for r in C.components(X.candidate_links(keys)).collect()}
+        if held == 1:
+            want = roots
+        assert roots == want
+
+
+def test_drop_near_copies_with_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    names = ["_nth", "_key", "_h", "nth", "of", "rid", "f0", "root", "component"]
+    df = spark.createDataFrame([(i, t, *range(i, i + 9)) for i, t in [(1, long), (2, long + " more"), (3, "other"), (3, "other")]],
+                               "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    got = sorted(X.drop_near_copies(df).collect())
+    assert [tuple(r)[2:] for r in got] == [tuple(range(1, 10)), tuple(range(3, 12))]

@@ -6,9 +6,12 @@
    class a partner may have.  A set with too many empty segments adds the keys of
    the classic prefix filter, so that no pair is missed.
 2. Keys held by different sets link them to candidates; components of candidates
-   are small and real, and a set is sent once, to its component's task.
-3. ``tree_links``: in a task the sets are ordered by one global order (frequent
-   first) and stored in a path-compressed prefix tree.  A set walks the tree: shared
+   are small and real, and a set is sent once, to its component's task.  A key
+   moves once: a task first links the sets that share it there and sends one of
+   them, so a key that many sets share moves as one row a task.
+3. ``tree_links``: all sets that can be linked are in one task (or in the blocks
+   of a split component).  There they are ordered by one order (the task's
+   frequent n-grams first) and stored in a path-compressed prefix tree.  A set walks the tree: shared
    paths share the partial overlap, and a subtree is left when the lengths that
    remain cannot reach the overlap needed, or when all its sets are already linked
    to the one that walks.  Exact counts decide; a spanning set of links goes out.
@@ -18,49 +21,45 @@ Equal sets are one set.  A component too large for a task is split: sets linked
 to its pivot are told apart first, and only pairs of blocks that hold another set
 are joined, each in a task of its own.
 
+Words are named by two 64-bit chains of their bytes, n-grams by 64 bits of both;
+a set is named by 128 bits of its n-grams.
+
 Texts are lower-cased in A-Z; words are runs without white space.  With fewer
 words than n the whole sequence is the one n-gram; empty and null texts have no
 set and are linked with nothing.  Rows that repeat a doc_id are rows of their
 own; null doc_ids count for no component's id unless nothing else is there.  An
-empty table gives an empty result.
+empty table gives an empty result.  Other columns may have any name.
 """
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK, materialise, runs, seeds, segments, utf8
+from .common import free_names, materialise, runs, seeds, segments, utf8
 from .components import components
 
 _M = seeds(6, 51)
-_P = int(seeds(1, 52)[0])
-_BYTE = seeds(256, 53)
+_LANE = seeds(4, 52)
+#: The first 0 to 8 bytes of a lane.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are named one by one.
+LONG_WORD = 256
+#: Keys that a task looks through for equal ones before it sends them.
+HELD_KEYS = 1 << 20
 #: n-grams that a task joins at once.
 TASK_TOKENS = 4_000_000
 
-_powers: list[np.ndarray] = []
-
-
 def _mix(x: np.ndarray, k: int) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _M[k]
     return x ^ (x >> np.uint64(29))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, BLOCK + 65536)
-        _powers.clear()
-        for base in (_P, pow(_P, -1, 1 << 64)):
-            a = np.full(n, base, np.uint64)
-            a[0] = 1
-            _powers.append(np.cumprod(a, dtype=np.uint64))
-    return _powers[0], _powers[1]
-
-
 def _lower_table() -> tuple[np.ndarray, np.ndarray]:
-    low = np.arange(256)
+    low = np.arange(256, dtype=np.uint8)
     low[65:91] += 32
     blank = np.zeros(256, bool)
     blank[[32, 9, 10, 11, 12, 13]] = True
@@ -70,6 +69,24 @@ def _lower_table() -> tuple[np.ndarray, np.ndarray]:
 _LOW, _BLANK = _lower_table()
 
 
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit name of every word data[start:end], from two chains over its bytes, eight at a time."""
+    size = end - start
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    chains = [_mix(size.astype(np.uint64) * _LANE[k] + _LANE[k + 2], k) for k in (0, 1)]
+    left, k = np.flatnonzero(size <= LONG_WORD), 0
+    while len(left):
+        lane = lanes[start[left] + k] & _FIRST[np.minimum(size[left] - k, 8)]
+        for c, chain in enumerate(chains):
+            chain[left] = _mix((chain[left] ^ lane) * _LANE[c] + _LANE[3 - c], 2 + c)
+        k += 8
+        left = left[size[left] > k]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        two = np.frombuffer(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=16).digest(), "<u8")
+        chains[0][i], chains[1][i] = two
+    return _mix(chains[0] * _M[5] + chains[1], 0)
+
+
 def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, n-gram name) of the distinct n-grams of texts side by side, by text and name."""
     none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -86,10 +103,7 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarra
     follow = np.ones(len(data), bool)
     follow[:-1] = blank[1:]
     end = np.flatnonzero(~blank & (follow | edge[1:])) + 1
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOW[data]] * up[:len(data)], out=total[1:])
-    word = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _M[5], 0)
+    word = word_names(_LOW[data], start, end)
     text = np.searchsorted(offsets[1:], start, side="right")
     count = np.bincount(text, minlength=len(offsets) - 1)
     gram = word[:max(len(word) - n + 1, 0)].copy()
@@ -188,17 +202,66 @@ def set_names(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, rid long, f0 long, f1 long, n_shingles long")
 
 
+def _first_of_key(key: np.ndarray, f0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by key: where each key begins, and the first set of every row's key."""
+    head = np.ones(len(key), bool)
+    head[1:] = key[1:] != key[:-1]
+    return head, f0[head][np.cumsum(head) - 1]
+
+
 def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """key, f0: the keys of every set."""
+    """key, f0, linked: a row for each key a task has seen, with one of its sets; linked rows are links of
+    two sets (in key and f0) that share a key in the task."""
+    def merged(keys: list[np.ndarray], sets: list[np.ndarray]):
+        key, f0 = np.concatenate(keys), np.concatenate(sets)
+        order = np.argsort(key)
+        key, f0 = key[order], f0[order]
+        head, first = _first_of_key(key, f0)
+        apart = f0 != first
+        links = np.unique(np.stack([f0[apart], first[apart]]), axis=1) if apart.any() else np.zeros((2, 0), np.int64)
+        columns = np.concatenate([key[head], links[0]]), np.concatenate([f0[head], links[1]])
+        linked = np.arange(len(columns[0])) >= int(head.sum())
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(linked)], names=["key", "f0", "linked"])
+
     def work(batches):
+        keys, sets, held = [], [], 0
         for batch in batches:
             data, off = utf8(batch.column(0))
             for a, b in runs(np.diff(off), 1 << 18):
                 text, gram = ngram_sets(data[off[a]:off[b]], off[a:b + 1] - off[a], n)
                 f0, _, _ = _fingerprints(text, gram, b - a)
                 row, key = signature_keys(text, gram, num, den)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(f0[row])], names=["key", "f0"])
-    return docs.select("text").mapInArrow(work, "key long, f0 long")
+                keys.append(key.view(np.int64))
+                sets.append(f0[row])
+                held += len(key)
+                if held >= HELD_KEYS:
+                    yield merged(keys, sets)
+                    keys, sets, held = [], [], 0
+        if held:
+            yield merged(keys, sets)
+    return docs.select("text").mapInArrow(work, "key long, f0 long, linked boolean")
+
+
+def candidate_links(keys: DataFrame) -> DataFrame:
+    """a, b: links (as f0) that connect all sets with a common key.  keys: see ``signatures``; each row moves once."""
+    def work(batches):
+        last, mate = None, 0
+        for batch in batches:
+            key, f0 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            linked = batch.column(2).to_numpy(zero_copy_only=False)
+            a, b = [key[linked]], [f0[linked]]
+            key, f0 = key[~linked], f0[~linked]
+            if len(key):
+                _, first = _first_of_key(key, f0)
+                if last is not None:
+                    first = np.where(key == last, mate, first)
+                last, mate = key[-1], first[-1]
+                apart = f0 != first
+                a.append(f0[apart])
+                b.append(first[apart])
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs], names=["a", "b"])
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(work, "a long, b long")
 
 
 class _Node:
@@ -285,7 +348,7 @@ class PrefixTree:
             node, at = child, at + common
 
 
-def tree_links(names: np.ndarray, sets: list[np.ndarray], num: int, den: int, linked: list[int] | None = None) -> list[tuple[int, int]]:
+def tree_links(names, sets: list[np.ndarray], num: int, den: int, linked: list[int] | None = None) -> list[tuple]:
     """A spanning set of links (as names) among sets of n-gram names."""
     if len(sets) < 2:
         return []
@@ -296,10 +359,10 @@ def tree_links(names: np.ndarray, sets: list[np.ndarray], num: int, den: int, li
     cuts = np.cumsum([len(s) for s in sets])[:-1]
     ordered = [np.sort(r) for r in np.split(rank[where], cuts)]
     tree = PrefixTree(ordered, num, den, linked)
-    for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(names[i]))):
+    for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), names[i])):
         tree.walk(i)
         tree.insert(i)
-    return [(int(names[i]), int(names[j])) for i, j in tree.links]
+    return [(names[i], names[j]) for i, j in tree.links]
 
 
 def _sets_of(texts: DataFrame, n: int) -> DataFrame:
@@ -324,11 +387,11 @@ def _tree_tasks(rows: DataFrame, num: int, den: int) -> DataFrame:
         task, names, sets, pivoted = None, [], [], []
 
         def links():
-            found = tree_links(np.array(names), sets, num, den, pivoted)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found = tree_links(names, sets, num, den, pivoted)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-            f0, flags = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            f, flags = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             grams = batch.column(5)
             at, flat = grams.offsets.to_numpy(), grams.flatten().to_numpy()
             for k, key in enumerate(keys):
@@ -336,60 +399,60 @@ def _tree_tasks(rows: DataFrame, num: int, den: int) -> DataFrame:
                     if len(names) > 1:
                         yield links()
                     task, names, sets, pivoted = key, [], [], []
-                if names and names[-1] == f0[k]:       # a set whose document row is repeated
+                if names and names[-1] == f[k]:       # a set whose document row is repeated
                     continue
                 if flags[k]:
                     pivoted.append(len(names))
-                names.append(f0[k])
+                names.append(f[k])
                 sets.append(flat[at[k] - at[0]:at[k + 1] - at[0]])
         if len(names) > 1:
             yield links()
-    dealt = rows.select("root", "left", "right", "f0", "pivoted", "grams").repartition("root", "left", "right")
-    return dealt.sortWithinPartitions("root", "left", "right", "f0").mapInArrow(work, "a long, b long")
+    dealt = rows.select("root", "left", "right", "f", "pivoted", "grams").repartition("root", "left", "right")
+    return dealt.sortWithinPartitions("root", "left", "right", "f").mapInArrow(work, "a binary, b binary")
 
 
-def _pivot_links(rows: DataFrame, pivots: DataFrame, num: int, den: int) -> DataFrame:
-    """f0, pivot: sets of large components that are similar to their component's pivot."""
-    both = rows.join(pivots, "root").select("f0", "pivot", F.size("grams").alias("a"), F.size("pivot_grams").alias("b"),
-                                            F.size(F.array_intersect("grams", "pivot_grams")).alias("o"))
-    return both.where((F.col("o") * den >= (F.col("a") + F.col("b") - F.col("o")) * num) | (F.col("f0") == F.col("pivot"))).select("f0", "pivot")
+def _set_name() -> Column:
+    """The 16 bytes of f0 and f1; null without a set."""
+    return F.unhex(F.concat(F.lpad(F.hex("f0"), 16, "0"), F.lpad(F.hex("f1"), 16, "0")))
 
 
 def similar_sets(docs: DataFrame, named: DataFrame, n: int, num: int, den: int, task_tokens: int = TASK_TOKENS) -> DataFrame:
-    """node, root over set names (f0): sets that links connect.  docs: see ``_keyed``; named: ``set_names`` of it."""
-    keys = signatures(docs, n, num, den)
-    shared = keys.groupBy("key").agg(F.min("f0").alias("low"), F.max("f0").alias("high")).where("low < high").select("key", "low")
-    shared = materialise(shared)               # frees the counting shuffle before the keys move again
-    near = keys.join(shared, "key").where("f0 <> low").select(F.col("f0").alias("a"), F.col("low").alias("b"))
+    """node, root over set names: sets that links connect.  docs: see ``_keyed``; named: ``set_names`` of it."""
+    near = candidate_links(signatures(docs, n, num, den))
     candidates = materialise(components(near).withColumnRenamed("node", "f0"))
 
-    reps = named.where("f0 is not null").groupBy("f0").agg(F.min(F.struct("doc_id", "rid")).alias("rep"), F.max("n_shingles").alias("size"))
-    reps = reps.join(candidates, "f0").select("f0", "root", "size", F.col("rep.doc_id").alias("doc_id"), F.col("rep.rid").alias("rid"))
-    total = reps.groupBy("root").agg(F.sum("size").alias("total"), F.min("f0").alias("pivot"))
-    large = materialise(total.where(F.col("total") > task_tokens))
+    reps = named.where("f0 is not null").groupBy("f0", "f1").agg(F.min(F.struct("doc_id", "rid")).alias("rep"), F.max("n_shingles").alias("size"))
+    reps = reps.join(candidates, "f0").select(_set_name().alias("f"), "root", "size", F.col("rep.doc_id").alias("doc_id"), F.col("rep.rid").alias("rid"))
+    total = reps.groupBy("root").agg(F.sum("size").alias("total"), F.min(F.struct("f", "size")).alias("first"))
+    reps = reps.join(total.select("root", "total", F.col("first.f").alias("pivot")), "root")   # rows without text or n-grams
     same_row = (F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("d.rid") == F.col("r.rid"))
-    texts = docs.alias("d").join(reps.alias("r"), same_row).select("r.f0", "r.root", "d.text")
+    texts = docs.alias("d").join(reps.alias("r"), same_row).select("r.f", "r.root", "r.total", "r.pivot", "d.text")
     sets = _sets_of(texts, n)
-    if large.isEmpty():
-        whole = sets.select("root", F.lit(0).alias("left"), F.lit(0).alias("right"), "f0", F.lit(False).alias("pivoted"), "grams")
-        return components(_tree_tasks(whole, num, den))
+    one_task = [F.lit(0).alias("left"), F.lit(0).alias("right"), "f", F.lit(False).alias("pivoted"), "grams"]
+    large = total.where(F.col("total") > task_tokens).agg(F.count("*").alias("n"), F.coalesce(F.sum("first.size"), F.lit(0)).alias("size")).first()
+    if not large["n"]:
+        return components(_tree_tasks(sets.select("root", *one_task), num, den))
 
     sets = materialise(sets)
-    small = sets.join(large, "root", "left_anti").select("root", F.lit(0).alias("left"), F.lit(0).alias("right"), "f0", F.lit(False).alias("pivoted"), "grams")
-    big = sets.join(large.select("root", "total"), "root")
-    pivots = big.join(large.select(F.col("pivot").alias("f0")), "f0", "left_semi").select("root", F.col("f0").alias("pivot"), F.col("grams").alias("pivot_grams"))
-    stars = materialise(_pivot_links(big, pivots.dropDuplicates(["root"]), num, den).distinct())
-    flagged = big.join(stars, "f0", "left").withColumn("pivoted", F.col("pivot").isNotNull())
+    big = sets.where(F.col("total") > task_tokens)
+    # a large component's pivot goes to all its sets: as a broadcast while all pivots are small enough for a task
+    fits = large["n"] + large["size"] <= min(task_tokens, TASK_TOKENS)
+    known = F.broadcast if fits else (lambda x: x)
+    pivots = big.where("f = pivot").groupBy("root").agg(F.first("grams").alias("pivot_grams"))
+    a, b, o = F.size("grams"), F.size("pivot_grams"), F.size(F.array_intersect("grams", "pivot_grams"))
+    near = (o * den >= (a + b - o) * num) | (F.col("f") == F.col("pivot"))
+    flagged = big.join(known(pivots), "root").withColumn("pivoted", near).drop("pivot_grams")
     rest = flagged.where("not pivoted").groupBy("root").agg(F.sum(F.size("grams")).alias("rest"))
     # blocks of half a task's n-grams; sets off the pivot meet every block, the others only the blocks of those
-    flagged = (flagged.join(rest, "root", "left").withColumn("off", F.coalesce(F.ceil(F.col("rest") * 2 / task_tokens), F.lit(0)).cast("int"))
-               .withColumn("on", F.ceil(F.col("total") * 2 / task_tokens).cast("int")).where("off > 0"))
-    mine = F.when(F.col("pivoted"), F.col("off") + F.pmod(F.xxhash64("f0"), F.col("on"))).otherwise(F.pmod(F.xxhash64("f0"), F.col("off"))).cast("int")
+    cut = (flagged.join(known(rest), "root").withColumn("off", F.ceil(F.col("rest") * 2 / task_tokens).cast("int"))
+           .withColumn("on", F.ceil(F.col("total") * 2 / task_tokens).cast("int")))
+    mine = F.when(F.col("pivoted"), F.col("off") + F.pmod(F.xxhash64("f"), F.col("on"))).otherwise(F.pmod(F.xxhash64("f"), F.col("off"))).cast("int")
     other = F.sequence(F.lit(0), F.when(F.col("pivoted"), F.col("off") - 1).otherwise(F.col("off") + F.col("on") - 1))
-    met = flagged.withColumn("mine", mine).withColumn("other", F.explode(other)).select(
-        "root", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "f0", "pivoted", "grams")
+    met = cut.withColumn("mine", mine).withColumn("other", F.explode(other)).select(
+        "root", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "f", "pivoted", "grams")
+    small = sets.where(F.col("total") <= task_tokens).select("root", *one_task)
     links = _tree_tasks(small.unionByName(met), num, den)
-    return components(links.unionByName(stars.select(F.col("f0").alias("a"), F.col("pivot").alias("b"))))
+    return components(links.unionByName(flagged.where("pivoted").select(F.col("f").alias("a"), F.col("pivot").alias("b"))))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, task_tokens: int = TASK_TOKENS) -> DataFrame:
@@ -397,8 +460,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     keyed = _keyed(docs)
     named = materialise(set_names(keyed, n))
     linked = similar_sets(keyed, named, n, num, den, task_tokens)
-    rows = named.join(linked, named["f0"] == linked["node"], "left").select(
-        "doc_id", "rid", "n_shingles", "f0", F.coalesce("root", "f0").alias("component"))
+    rows = named.withColumn("f", _set_name()).join(linked, F.col("f") == F.col("node"), "left").select(
+        "doc_id", "rid", "n_shingles", F.coalesce("root", "f").alias("component"))
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     met = rows.where("component is not null").join(least, "component").select("doc_id", "rid", "n_shingles", "component_id")
     alone = rows.where("component is null").select("doc_id", "rid", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -406,11 +469,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; all columns stay."""
+    """One document of each component, the one with the smallest doc_id; all columns stay, whatever their names."""
+    row, empty, nth = free_names(docs.columns, "row", "empty", "nth")
+
+    def name(rid):
+        return F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit(":"), rid.cast("string"))
     found = jaccard_components(docs, n, num, den).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("_h", F.xxhash64(text)).withColumn("_key", F.col("doc_id").cast("long"))
-    kept = marked.join(found, marked["_key"].eqNullSafe(found["_id"]) & (marked["_h"] == found["_rid"]))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.lit(0)))
-    return kept.withColumn("_nth", nth).where("_nth = 1 or _empty").select(*docs.columns)
+        name(F.col("rid")).alias(row), (F.col("n_shingles") == 0).alias(empty)).distinct()
+    marked = docs.withColumn(row, name(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    number = F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0)))
+    return marked.join(found, row).withColumn(nth, number).where((F.col(nth) == 1) | F.col(empty)).select(*docs.columns)
