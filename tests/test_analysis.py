@@ -1,17 +1,43 @@
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from ticketlens.functions import text as X
 from ticketlens.operators import language, ops, sentiment
 
 
-def test_language_profiles(spark):
-    docs = spark.createDataFrame([(1, "en", "the cat and the dog and the bird"), (2, "de", "der hund und die katze und der vogel"),
-                                  (3, None, "und der hund"), (4, "en", None), (5, None, "12 !?"), (6, None, "मेरा")], "id int, lang string, text string")
-    profiles = language.fit(docs, size=50)
-    assert profiles.groupBy("lang").count().where("count > 50").count() == 0
-    got = {r.id: (r.language_code, r.language_score > 0) for r in language.detect(docs, profiles, "id").collect()}
-    assert got[1] == ("en", True) and got[2] == ("de", True) and got[3] == ("de", True)
-    assert got[4] == ("en", False) and got[5] == ("en", False) and got[6] == ("hi", False)
+def py_trigrams(text):
+    return [f" {w} "[i:i + 3] for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for i in range(len(w))]
+
+
+def test_language_probabilities(spark):
+    rows = [(1, "en", "the cat and the dog and the bird"), (2, "de", "der hund und die katze und der vogel"), (3, None, "und der hund"),
+            (4, "en", None), (5, None, "12 !?"), (6, None, "मेरा"), (7, None, "xyz"), (8, "fr", "le chien et le chat et l'oiseau"), (9, None, "the der")]
+    docs = spark.createDataFrame(rows, "id int, lang string, text string")
+    profiles = language.fit(docs)
+    counts = {}
+    for _, lang, text in rows:
+        if lang and text:
+            counts.setdefault(lang, Counter()).update(py_trigrams(text))
+    distinct = len({g for c in counts.values() for g in c})
+    weight = lambda lang, n: round(math.log((n + 1) / (sum(counts[lang].values()) + distinct)) * language.UNIT)
+    assert {(r.lang, r.gram): r.gain + r.unseen for r in profiles.collect()} == {(la, g): weight(la, n) for la, c in counts.items() for g, n in c.items()}
+    for margin in (0, language.MARGIN, 10 ** 9):
+        got = {r.id: (r.language_code, r.language_lead) for r in language.detect(docs, profiles, "id", margin=margin).collect()}
+        for i, _, text in rows:
+            grams = py_trigrams(text)
+            scores = sorted((-sum(weight(la, counts[la][g]) for g in grams), la) for la in counts)
+            lead = (scores[1][0] - scores[0][0]) // len(grams) if grams else None
+            sure = grams and lead >= margin
+            assert got[i] == (scores[0][1] if sure else "hi" if i == 6 else "en", lead), (i, margin)
+
+
+def test_one_language_needs_no_lead(spark):
+    docs = spark.createDataFrame([(1, "de", "der hund"), (2, "de", "")], "id int, lang string, text string")
+    got = {r.id: (r.language_code, r.language_lead) for r in language.detect(docs, language.fit(docs), "id").collect()}
+    assert got == {1: ("de", None), 2: ("en", None)}
 
 
 def test_valence_negation_and_source(spark):

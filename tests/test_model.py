@@ -233,3 +233,16 @@ def test_plan_keeps_the_driver_bounded():
         history, width, groups = softmax.plan(cols, 24, 1 << 24)
         assert width * groups >= cols and history >= softmax.LEAST_HISTORY
         assert width * 24 * 8 * (2 * history + 6) <= 1 << 24
+
+
+def test_full_triage_with_models_and_duplicates(spark):
+    from ticketlens.plans import jobs
+    intents = ML.fit(small_train(spark), "intent")
+    types = ML.fit(small_train(spark).select("text", F.when(F.col("intent") == "get_refund", "payment").otherwise("order").alias("query_type")), "query_type")
+    rows = jobs.triage_full(spark, "/root/testdata/sf0.001", intent_model=intents, query_model=types).select(
+        "ticket_id", "pred_intent", "confidence", "top_intents", "query_type", "query_confidence", "query_type_source", "duplicate_candidates", "handoff").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert all(r.pred_intent in intents.names and r.top_intents[0].intent == r.pred_intent and len(r.top_intents) == 3 for r in rows)
+    assert all(r.query_type in types.names and 0 < r.query_confidence <= 1 and r.query_type_source == "model" for r in rows)
+    assert all(0 < r.confidence <= 1 and len(r.duplicate_candidates) <= 3 and r.handoff.startswith("Query type: ") for r in rows)
+    assert any(r.duplicate_candidates for r in rows) and all(d.ticket_id != r.ticket_id for r in rows for d in r.duplicate_candidates)

@@ -1,19 +1,24 @@
-"""Language identification by ranked trigram profiles.
+"""Language identification by smoothed trigram probabilities.
 
-``fit`` counts letter trigrams of all labelled text by language and keeps each
-language's most frequent ones with a weight by rank.  ``detect`` gives a text the
-language whose profile weighs its distinct trigrams most.  All weights are
-integers, so the result does not depend on the order of addition; a text
-without a known trigram falls back to its script (B13).
+``fit`` counts letter trigrams of all labelled text by language and gives every
+trigram the logarithm of its add-one probability ``(n + 1) / (total + distinct)``,
+with ``distinct`` over all languages; a trigram that a language has not seen gets
+that of n = 0.  ``detect`` adds them up over a text's trigrams and takes the best
+language.  A text whose best two languages differ by less than ``MARGIN`` for each
+trigram, and one without a trigram, falls back to its script (B13).
+
+Logarithms are kept as whole millionths, so sums do not depend on their order.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import script_language
+from .similar import materialise
 
-PROFILE_SIZE = 300
+#: One unit of a logarithm, and the least lead for each trigram.
+UNIT, MARGIN = 1_000_000, 50_000
 
 
 def trigrams(text: Column) -> Column:
@@ -26,19 +31,32 @@ def trigrams(text: Column) -> Column:
         F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(3)))))
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE_SIZE) -> DataFrame:
-    """lang, gram, weight: ``size`` rows per language at most."""
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, gram, gain and unseen: what a trigram adds over an unseen one, and what an unseen one weighs."""
     grams = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "gram", (F.lit(size + 1) - F.col("rank")).alias("weight"))
-
-
-def detect(df: DataFrame, profiles: DataFrame, id_col: str, text: str = "text") -> DataFrame:
-    """id, language_code, language_score; ties go to the first code in the alphabet."""
-    grams = df.select(id_col, F.explode(F.array_distinct(trigrams(F.col(text)))).alias("gram"))
-    scores = grams.join(profiles, on="gram").groupBy(id_col, "lang").agg(F.sum("weight").alias("score"))
-    best = scores.groupBy(id_col).agg(F.min(F.struct((-F.col("score")).alias("s"), "lang")).alias("b"))
-    return df.select(id_col, text).join(best, on=id_col, how="left").select(
-        id_col, F.coalesce(F.col("b.lang"), script_language(F.col(text))).alias("language_code"),
-        F.coalesce(-F.col("b.s"), F.lit(0)).cast("long").alias("language_score"))
+    counts = materialise(grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
+    distinct = counts.agg(F.count_distinct("gram").alias("distinct"))
+    size = counts.groupBy("lang").agg(F.sum("n").alias("total")).withColumn("_d", distinct.scalar())
+
+    def weight(n):
+        return F.round(F.log((n + 1.0) / (F.col("total") + F.col("_d"))) * UNIT).cast("long")
+    sized = counts.join(F.broadcast(size), "lang")  # a row a language
+    return sized.select("lang", "gram", (weight(F.col("n")) - weight(F.lit(0))).alias("gain"), weight(F.lit(0)).alias("unseen"))
+
+
+def detect(df: DataFrame, profiles: DataFrame, id_col: str, text: str = "text", margin: int = MARGIN) -> DataFrame:
+    """id, language_code, language_lead (millionths for each trigram, null without a second language);
+    ties go to the first code in the alphabet."""
+    grams = df.select(id_col, F.explode(trigrams(F.col(text))).alias("gram")).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("c"))
+    gains = grams.join(profiles.select("lang", "gram", "gain"), "gram").groupBy(id_col, "lang").agg(F.sum(F.col("c") * F.col("gain")).alias("gain"))
+    total = grams.groupBy(id_col).agg(F.sum("c").alias("_n"))
+    unseen = profiles.groupBy("lang").agg(F.first("unseen").alias("unseen")).agg(F.collect_list(F.struct("lang", "unseen")).alias("_u"))  # a row a language
+    every = total.withColumn("_u", unseen.scalar()).select(id_col, "_n", F.inline("_u"))
+    score = F.coalesce(F.col("gain"), F.lit(0)) + F.col("_n") * F.col("unseen")
+    ranked = every.join(gains, [id_col, "lang"], "left").groupBy(id_col, "_n").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct((-score).alias("s"), "lang"))), 1, 2).alias("_b"))  # a row a language
+    best, second = F.get("_b", F.lit(0)), F.get("_b", F.lit(1))
+    lead = ranked.select(id_col, best["lang"].alias("_lang"), F.floor((second["s"] - best["s"]) / F.col("_n")).alias("language_lead"))
+    sure = F.when(F.coalesce(F.col("language_lead") >= margin, F.lit(True)), F.col("_lang"))
+    return df.select(id_col, text).join(lead, id_col, "left").select(
+        id_col, F.coalesce(sure, script_language(F.col(text))).alias("language_code"), "language_lead")

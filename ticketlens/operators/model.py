@@ -116,8 +116,10 @@ def score_query_type(df: DataFrame, model: TextModel | None = None, intent: str
         return df.withColumn("query_type", query_type_for(F.col(intent))) \
             .withColumn("query_type_confidence", F.lit(None).cast("double")) \
             .withColumn("query_type_source", F.lit("intent"))
-    scored = score(model, df, top_k=1)
-    return scored.drop("top_intents").withColumnRenamed("predicted", "query_type") \
+    ranking = [c for c in df.columns if c == "top_intents"]  # of the intent model
+    held = df.withColumnsRenamed({c: "_ranking" for c in ranking})
+    scored = score(model, held, top_k=1).drop("top_intents").withColumnsRenamed({"_ranking": c for c in ranking})
+    return scored.withColumnRenamed("predicted", "query_type") \
         .withColumnRenamed("confidence", "query_type_confidence") \
         .withColumn("query_type_source", F.lit("model"))
 

@@ -14,19 +14,32 @@ from ..functions import text as X
 
 
 def score(tickets: DataFrame, text: str = "message", intent: str = "pred_intent") -> DataFrame:
-    """Adds query_type (derived from the intent when no second model is given),
+    """Adds query_type (derived from the intent unless a second model has given it),
     lexicon sentiment, entities (extracted once, Q18) and script language."""
     # Normalise once per row; entities and sentiment both read it.
     t = tickets.withColumn("_norm", X.normalize_text(F.col(text)))
     return t.select(
         *tickets.columns,
-        X.query_type_for(F.col(intent)).alias("query_type"),
+        *([] if "query_type" in tickets.columns else [X.query_type_for(F.col(intent)).alias("query_type")]),
         X.lexicon_score(F.col("_norm"), normalized=True).alias("sentiment_score"),
         X.extract_entities(F.col("_norm"), normalized=True).alias("entities"),
         X.script_language(F.col(text)).alias("language_code"),
     ).withColumn("sentiment", X.polarity(F.col("sentiment_score")))
 
 
+def model_scored(tickets: DataFrame, intent_model=None, query_model=None, text: str = "message") -> DataFrame:
+    """M5 and M6 on the messages: with an intent model its label, confidence and ranking replace ``pred_intent`` and
+    ``confidence``; with a second model its label and confidence are ``query_type`` and ``query_confidence`` (without
+    one the type follows the intent and the confidence is null)."""
+    from . import model as ML
+    if intent_model is None:
+        return tickets
+    own = tickets.drop("pred_intent", "confidence", "query_confidence").withColumn("text", X.normalize_text(F.col(text)))
+    out = ML.score(intent_model, own).withColumnRenamed("predicted", "pred_intent")
+    typed = ML.score_query_type(out.withColumnRenamed("confidence", "_c"), query_model).withColumnRenamed("_c", "confidence")
+    return typed.withColumnRenamed("query_type_confidence", "query_confidence").drop("text")
+
+
 def decide(scored: DataFrame, text: str = "message", intent: str = "pred_intent",
            confidence: str = "confidence", query_confidence: str = "query_confidence") -> DataFrame:
     """Adds the ``decision`` struct (R2-R6).  Rule flags are computed once per row

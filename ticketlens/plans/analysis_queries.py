@@ -18,20 +18,26 @@ TOY_LEXICON = {**{w: 1.9 for w in V.POSITIVE_WORDS}, **{w: -1.7 for w in V.NEGAT
 
 # B14 --------------------------------------------------------------------------
 @register("language_identification", f"""
-WITH t AS (SELECT doc_id, lang, text FROM documents),
-w AS (SELECT doc_id, lang, ' ' || unnest(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}]+')) || ' ' AS w FROM documents),
-g AS (SELECT doc_id, lang, unnest([substr(w, i, 3) for i in range(1, length(w) - 1)]) AS gram FROM w WHERE length(w) > 2),
-c AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY lang, gram),
-p AS (SELECT lang, gram, {language.PROFILE_SIZE + 1} - row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS weight FROM c),
-s AS (SELECT d.doc_id, p.lang, sum(p.weight) AS score FROM (SELECT DISTINCT doc_id, gram FROM g) d JOIN p ON d.gram = p.gram
-      WHERE p.weight > 0 GROUP BY d.doc_id, p.lang),
-b AS (SELECT doc_id, lang, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r FROM s) x WHERE r = 1)
-SELECT t.doc_id, t.lang, coalesce(b.lang, {O.script_language('t.text')}) AS language_code, CAST(coalesce(b.score, 0) AS BIGINT) AS language_score
-FROM t LEFT JOIN b ON t.doc_id = b.doc_id""")
+WITH t AS (SELECT doc_id, lang, text, doc_id % 5 = 0 AS held_out FROM documents),
+w AS (SELECT doc_id, lang, held_out, ' ' || unnest(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}]+')) || ' ' AS w FROM t),
+g AS (SELECT doc_id, lang, held_out, unnest([substr(w, i, 3) for i in range(1, length(w) - 1)]) AS gram FROM w WHERE length(w) > 2),
+c AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, gram),
+z AS (SELECT lang, sum(n) AS total, (SELECT count(DISTINCT gram) FROM c) AS d FROM c GROUP BY lang),
+p AS (SELECT lang, gram, CAST(round(ln((n + 1.0::DOUBLE) / (total + d)) * {language.UNIT}) AS BIGINT) AS w FROM c JOIN z USING (lang)),
+u AS (SELECT lang, CAST(round(ln(1.0::DOUBLE / (total + d)) * {language.UNIT}) AS BIGINT) AS u FROM z),
+q AS (SELECT doc_id, gram, count(*) AS k FROM g GROUP BY doc_id, gram),
+s AS (SELECT q.doc_id, u.lang, sum(q.k * coalesce(p.w, u.u)) AS score, sum(q.k) AS n
+      FROM q CROSS JOIN u LEFT JOIN p ON p.gram = q.gram AND p.lang = u.lang GROUP BY q.doc_id, u.lang),
+r AS (SELECT doc_id, lang, CAST(floor((score - lead(score) OVER o) / n) AS BIGINT) AS lead, row_number() OVER o AS r
+      FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, lang))
+SELECT t.doc_id, t.lang, t.held_out, CASE WHEN coalesce(lead >= {language.MARGIN}, r.lang IS NOT NULL) THEN r.lang ELSE {O.script_language('t.text')} END AS language_code,
+       lead AS language_lead
+FROM t LEFT JOIN r ON t.doc_id = r.doc_id AND r.r = 1""")
 def language_identification(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    found = language.detect(d, language.fit(d), "doc_id")
-    return d.select("doc_id", "lang").join(found, on="doc_id").select("doc_id", "lang", "language_code", "language_score")
+    """Learned from four fifths of the documents; the rest is held out."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text", (F.col("doc_id") % 5 == 0).alias("held_out"))
+    found = language.detect(d, language.fit(d.where("not held_out")), "doc_id")
+    return d.select("doc_id", "lang", "held_out").join(found, on="doc_id")
 
 
 # B20, B21 ---------------------------------------------------------------------

@@ -10,14 +10,14 @@ from ..operators import lookup, ops, triage
 from . import fixtures as fx
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triage.score(fx.tickets(spark, sf_dir))
+def scored(spark: SparkSession, sf_dir: str, intent_model=None, query_model=None) -> DataFrame:
+    return triage.score(triage.model_scored(fx.tickets(spark, sf_dir), intent_model, query_model))
 
 
-def triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1 without retrieval and duplicates: score -> decide -> verify (D1/D2) ->
-    post-rules (R7, R8) -> clarification (R9)."""
-    s = triage.decide(scored(spark, sf_dir))
+def triaged(spark: SparkSession, sf_dir: str, intent_model=None, query_model=None) -> DataFrame:
+    """J1 without retrieval and duplicates: score (M5, M6 where models are given) -> decide ->
+    verify (D1/D2) -> post-rules (R7, R8) -> clarification (R9)."""
+    s = triage.decide(scored(spark, sf_dir, intent_model, query_model))
     v = lookup.verify_tickets(s, fx.records(spark, sf_dir))
     out = triage.apply_post_rules(v)
     return out.withColumn("clarification_question",
@@ -124,13 +124,29 @@ def safety_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # J1 ---------------------------------------------------------------------------
-def triage_full(spark: SparkSession, sf_dir: str, policies: DataFrame | None = None, k: int = 3) -> DataFrame:
-    """Full triage of every ticket: decision, verification, post-rules,
-    clarification, top-k policies (V5), grounded suggestion (V8), draft reply
-    (V9) and agent handoff summary (V10).  Default knowledge base: ``benchmark``."""
+def with_duplicates(triaged_tickets: DataFrame) -> DataFrame:
+    """Adds ``duplicate_candidates`` (V3): for every ticket the open ones its masked message is close to, itself left out."""
+    from ..functions.text import mask_sensitive
+    from ..operators import similar as S
+    t = triaged_tickets.select("ticket_id", "created_at", mask_sensitive(F.col("message")).alias("text"), "status",
+                               F.col("decision.department").alias("department"))
+    unresolved = F.col("status") != "resolved"
+    hits = S.duplicate_candidates(t.select(F.col("ticket_id").alias("message_id"), "text", unresolved.alias("own")), t.where(unresolved), own="own")
+    lists = hits.groupBy("message_id").agg(F.array_sort(F.collect_list(
+        F.struct("rank", "ticket_id", "similarity", "status", "department"))).alias("duplicate_candidates"))  # three at most
+    none = F.array().cast(dict(lists.dtypes)["duplicate_candidates"])
+    return (triaged_tickets.join(lists.withColumnRenamed("message_id", "ticket_id"), "ticket_id", "left")
+            .withColumn("duplicate_candidates", F.coalesce("duplicate_candidates", none)))
+
+
+def triage_full(spark: SparkSession, sf_dir: str, policies: DataFrame | None = None, k: int = 3, intent_model=None, query_model=None) -> DataFrame:
+    """Full triage of every ticket: model scores where models are given (M5, M6),
+    decision, verification, post-rules, clarification, duplicate candidates (V3),
+    top-k policies (V5), grounded suggestion (V8), draft reply (V9) and agent
+    handoff summary (V10).  Default knowledge base: ``benchmark``."""
     from ..operators import similar as S
     from ..session import read_table
-    t = triaged(spark, sf_dir)
+    t = with_duplicates(S.materialise(triaged(spark, sf_dir, intent_model, query_model)))  # read by retrieval, V3 and the result
     if policies is None:
         b = read_table(spark, sf_dir, "benchmark")
         policies = b.select(F.col("item_id").alias("policy_idx"), F.format_string("B-%d", "item_id").alias("policy_id"),
