@@ -71,5 +71,5 @@ def test_empty_tables(spark, folder, tmp_path):
 
 def test_registered(spark, folder):
     names = set(entry.queries())
-    assert {"pipeline"} <= names and sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 11))
+    assert {"pipeline"} <= names and sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 14))
     assert set(entry.oracle_sql()) <= names and P.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()

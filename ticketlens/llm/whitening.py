@@ -9,7 +9,9 @@ block entries.  Between passes the driver
 2. stops when all wanted residuals are certified against the largest eigenvalue,
 3. otherwise filters the block by a Chebyshev polynomial of V (a three-term
    recurrence, one pass a degree) that damps the spectrum below the block's
-   smallest Ritz value, and makes it orthonormal by QR.
+   smallest Ritz value, and makes it orthonormal by QR.  Where that spectrum
+   begins is judged from the trace, which tells the mean of what the block lacks;
+   a wrong guess costs passes, not the certificate.
 
 Every pass reads the table anew, so a lost executor costs its tasks only, and
 nothing that grows with the rows is kept.  Rows are centred before they are
@@ -41,7 +43,7 @@ RANK = 1e-11
 TOLERANCE = 1e-13
 #: Beyond this share a residual that no longer falls is an error.
 WORST = 1e-10
-DEGREE, ROUNDS = 10, 60
+DEGREE, ROUNDS = 8, 60
 #: Most that a filter may raise the largest eigenvector over the damped ones: beyond it a block loses its other vectors to rounding.
 GAIN = 1e10
 
@@ -69,7 +71,8 @@ def matrix(n: np.ndarray, flat: np.ndarray, d: int) -> np.ndarray:
 
 
 def _vectors(df: DataFrame, vector: str, *others: str) -> DataFrame:
-    return df.select(*others, F.col(vector).cast("array<double>").alias("_v"))
+    plain = dict(df.dtypes)[vector] in ("array<float>", "array<double>")
+    return df.select(*others, (F.col(vector) if plain else F.col(vector).cast("array<double>")).alias("_v"))
 
 
 def totals(df: DataFrame, vector: str = "embedding") -> tuple[int, np.ndarray]:
@@ -122,25 +125,27 @@ def covariance_times(df: DataFrame, centre: Centre, q: np.ndarray, vector: str =
     return found[:, 1:], float(found[:, 0].sum())
 
 
-def chebyshev(times: Callable[[np.ndarray], np.ndarray], x: np.ndarray, vx: np.ndarray, cut: float, top: float, degree: int) -> np.ndarray:
-    """A scaled Chebyshev polynomial of V on x: at most one in magnitude on [0, cut] against what lies above it.
+def chebyshev(times: Callable[[np.ndarray], np.ndarray], x: np.ndarray, vx: np.ndarray, low: float, cut: float, top: float, degree: int) -> np.ndarray:
+    """A scaled Chebyshev polynomial of V on x: small on [low, cut] against what lies above it.
 
     vx is V x, so the first degree needs no pass.
     """
-    half = cut / 2
-    sigma = half / (top - half)
+    half, middle = (cut - low) / 2, (cut + low) / 2
+    sigma = half / (top - middle)
     tau = 2 / sigma
-    y = (vx - half * x) * (sigma / half)
+    y = (vx - middle * x) * (sigma / half)
     for _ in range(degree - 1):
         new = 1 / (tau - sigma)
-        x, y = y, (times(y) - half * y) * (2 * new / half) - sigma * new * x
+        x, y = y, (times(y) - middle * y) * (2 * new / half) - sigma * new * x
         sigma = new
     return y
 
 
-def leading(times: Callable[[np.ndarray], np.ndarray], d: int, k: int, seed: int = 7, tolerance: float = TOLERANCE,
+def leading(times: Callable[[np.ndarray], np.ndarray], trace: Callable[[], float], d: int, k: int, seed: int = 7, tolerance: float = TOLERANCE,
             degree: int = DEGREE) -> tuple[np.ndarray, np.ndarray, float]:
-    """The k largest eigenvalues of a symmetric, non-negative V, unit eigenvectors, and the largest residual's share."""
+    """The k largest eigenvalues of a symmetric, non-negative V, unit eigenvectors, and the largest residual's share.
+
+    ``times(q)`` is V q; ``trace()`` is asked after it."""
     b = min(d, max(4 * k, k + 8))
     q = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((d, b)))[0]
     before = np.inf
@@ -157,9 +162,11 @@ def leading(times: Callable[[np.ndarray], np.ndarray], d: int, k: int, seed: int
             return e[:k], q[:, :k], residual
         before = residual
         cut = max(e[-1], 1e-14 * e[0])
-        t = 2 * e[0] / cut - 1
+        mean = min((trace() - e.sum()) / (d - b), 0.95 * cut)
+        low = max(0.0, 3 * mean - 2 * cut) if cut > 1e-9 * e[0] else 0.0  # below that the trace is rounding
+        t = (2 * e[0] - cut - low) / (cut - low)
         steps = int(np.log(GAIN) / max(np.arccosh(max(t, 1.0)), 1e-3))
-        q = np.linalg.qr(chebyshev(times, q, y, cut, e[0], max(1, min(degree, steps))))[0]
+        q = np.linalg.qr(chebyshev(times, q, y, low, cut, e[0], max(1, min(degree, steps))))[0]
     raise RuntimeError(f"residual {residual} after {ROUNDS} rounds")
 
 
@@ -210,7 +217,7 @@ def whiten(df: DataFrame, k: int = 8, vector: str = "embedding", row_id: str = "
         product, trace[0] = covariance_times(df, centre, q, vector)
         return product
 
-    e, q, _ = leading(times, d, min(k, d), seed)
+    e, q, _ = leading(times, lambda: trace[0], d, min(k, d), seed)
     kept = int((e > RANK * e[0]).sum()) if len(e) else 0
     if not kept:
         return spark.createDataFrame([], schema).withColumnRenamed("vec_id", row_id)
