@@ -40,15 +40,36 @@ def test_one_language_needs_no_lead(spark):
     assert got == {1: ("de", None), 2: ("en", None)}
 
 
-def test_valence_negation_and_source(spark):
+def squash(s):
+    return round(s / (s * s + 15) ** 0.5, 4)
+
+
+#: Sentences with the sum worked by hand: good 1.9, great 3.1, bad -2.5, no -1.2, :) 2.0.
+VALENCE = [
+    ("a good day", 1.9), ("not a good day", 1.9 * -0.74), ("it isn't good", 1.9 * -0.74), ("not in any way good", 1.9),
+    ("very good", 1.9 + 0.293), ("a very bad day", -2.5 - 0.293), ("slightly good", 1.9 - 0.293), ("slightly bad", -2.5 + 0.293),
+    ("very, so good", 1.9 + 0.293 + 0.293 * 0.95), ("not so very much good", 1.9 + 0.293 * 0.95 + 0.293 * 0.9),
+    ("not very good", (1.9 + 0.293) * -0.74), ("never so good", (1.9 + 0.293) * 1.25), ("without a doubt good", 1.9), ("without doubt good", 1.9),
+    ("without any good", 1.9 * -0.74), ("a GOOD day", 1.9 + 0.733), ("GOOD", 1.9), ("a BAD day", -2.5 - 0.733), ("VERY good day", 1.9 + 0.293 + 0.733),
+    ("good but bad", 1.9 * 0.5 - 2.5 * 1.5), ("but good", 1.9 * 1.5), ("good!", 1.9 + 0.292), ("good!!!!!!", 1.9 + 4 * 0.292), ("bad!", -2.5 - 0.292),
+    ("good?", 1.9), ("good??", 1.9 + 0.36), ("good?????", 1.9 + 0.96), ("the least good", 1.9 * -0.74), ("at least good", 1.9), ("least bad", -2.5 * -0.74),
+    ("no good", 1.9 * -0.74 + 0.0), ("no", -1.2), ("no bad or good", -2.5 * -0.74 + 1.9 * -0.74), ("no day or good", 1.9 * -0.74 - 1.2),
+    ("good great", 5.0), ("utter", 0.0), ("utter good", 1.9), ("kind of good", 1.9), ("nothing here!!", 0.0), ("well :) then", 2.0), ("(good)", 1.9), ("", 0.0), (None, 0.0), ("...", 0.0),
+]
+
+
+def test_valence_of_hand_worked_sentences(spark):
+    lex = spark.createDataFrame([("good", 1.9), ("great", 3.1), ("bad", -2.5), ("no", -1.2), (":)", 2.0), ("utter", 9.0), ("kind", 7.0)], "term string, valence double")
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(VALENCE)], "id int, t string")
+    got = {r.id: r.sentiment_score for r in sentiment.analyse(df, "id", "t", lex).collect()}
+    assert {VALENCE[i]: s for i, s in got.items()} == {row: squash(row[1]) for row in VALENCE}
+
+
+def test_valence_source(spark):
     lex = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "term string, valence double")
-    df = spark.createDataFrame([(1, "a good day"), (2, "not a good day"), (3, "not so very much good"), (4, None), (5, "bad, bad")], "id int, t string")
+    df = spark.createDataFrame([(1, "a good day"), (5, "bad, bad")], "id int, t string")
     got = {r.id: (r.sentiment_score, r.sentiment, r.sentiment_source) for r in sentiment.analyse(df, "id", "t", lex).collect()}
-
-    def squash(s):
-        return round(s / (s * s + 15) ** 0.5, 4)
-    assert got[1] == (squash(1.9), "positive", "VADER") and got[2][0] == squash(1.9 * -0.74)
-    assert got[3][0] == squash(1.9) and got[4][:2] == (0.0, "neutral") and got[5] == (squash(-5.0), "negative", "VADER")
+    assert got == {1: (squash(1.9), "positive", "valence lexicon"), 5: (squash(-5.0), "negative", "valence lexicon")}
     plain = sentiment.analyse(df, "id", "t").first()
     assert plain.sentiment_source.startswith("lexical") and plain.sentiment_score == 0.2
 

@@ -45,15 +45,56 @@ def _lexicon(spark):
     return spark.createDataFrame(list(TOY_LEXICON.items()), "term string, valence double")
 
 
-@register("valence_sentiment", O.with_ctes(O.tickets_cte()) + f""",
-lex AS (SELECT * FROM (VALUES {', '.join(f"({O.q(t)}, CAST({v} AS DOUBLE))" for t, v in TOY_LEXICON.items())}) AS l(term, valence)),
-tok AS (SELECT ticket_id, list_filter(string_split_regex(lower({O.normalize('message')}), '[^\\p{{L}}\\p{{N}}'']+'), lambda x: x <> '') AS w FROM tickets),
-pos AS (SELECT ticket_id, w, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS term FROM tok),
-hit AS (SELECT pos.ticket_id, sum(valence * CASE WHEN list_has_any(list_slice(w, greatest(p - 3, 1), p - 1), {O.sql_list(sentiment.NEGATIONS)})
-                                          THEN CAST({sentiment.NEGATION_FACTOR} AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END) AS s FROM pos JOIN lex ON pos.term = lex.term GROUP BY pos.ticket_id),
-sc AS (SELECT t.ticket_id, round(coalesce(s, 0.0) / sqrt(coalesce(s, 0.0) * coalesce(s, 0.0) + 15.0), 4) AS sentiment_score FROM tickets t LEFT JOIN hit ON t.ticket_id = hit.ticket_id)
+def _valence_sql() -> str:
+    m = sentiment
+    dbl = lambda x: f"CAST({x} AS DOUBLE)"
+    toward = lambda by: f"(CASE WHEN v > 0 THEN {dbl(by)} ELSE {dbl(-by)} END)"
+    among = lambda w, words: f"coalesce({w} IN ({', '.join(map(O.q, words))}), false)"
+    lex = ", ".join(f"({O.q(t)}, {dbl(v)})" for t, v in TOY_LEXICON.items())
+    steps, last = [], "caps1"
+    for k in (1, 2, 3):
+        w = f"t{k}"
+        boost = (f"v + ((CASE WHEN v < 0 THEN -1 ELSE 1 END) * (CASE WHEN {among(w, m.RAISING)} THEN {dbl(m.BOOST)} ELSE {dbl(-m.BOOST)} END)"
+                 f" + CASE WHEN c{k} THEN {toward(m.CAPITALS)} ELSE 0 END) * {dbl(m.DISTANCE[k - 1])}")
+        negated = f"({among(w, m.NEGATIONS)} OR contains({w}, 'n''t'))"
+        two = f" OR {among('t2', ('so', 'this'))}" if k == 3 else ""
+        sure = f" OR {among('t2', ('doubt',))}" if k == 3 else ""
+        special = (f"WHEN {w} = 'never' AND ({among('t1', ('so', 'this'))}{two}) THEN v * {m.NEVER_SO} "
+                   f"WHEN {w} = 'without' AND ({among('t1', ('doubt',))}{sure}) THEN v " if k > 1 else "")
+        steps.append(f"b{k} AS (SELECT * REPLACE (CASE WHEN {w} IS NOT NULL AND NOT k{k} AND {among(w, m.RAISING + m.LOWERING)} THEN {boost} ELSE v END AS v) FROM {last})")
+        steps.append(f"n{k} AS (SELECT * REPLACE (CASE WHEN {w} IS NULL OR k{k} THEN v {special}WHEN {negated} THEN v * {m.NEGATION_FACTOR} ELSE v END AS v) FROM b{k})")
+        last = f"n{k}"
+    lag = lambda e, k: f"lag({e}, {k}) OVER o"
+    return O.with_ctes(O.tickets_cte()) + f""",
+lex AS (SELECT * FROM (VALUES {lex}) AS l(term, valence)),
+tx AS (SELECT ticket_id AS id, {O.normalize('message')} AS t FROM tickets),
+tk AS (SELECT id, t, [CASE WHEN length(regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')) <= 2 THEN x
+                           ELSE regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') END for x in string_split(t, ' ') if x <> ''] AS w FROM tx),
+cp AS (SELECT *, len([x for x in w if x = upper(x) AND x <> lower(x)]) < len(w) AS mixed FROM tk),
+ps AS (SELECT id, mixed, unnest(range(len(w))) AS pos, unnest(w) AS word FROM cp),
+kn AS (SELECT ps.*, lower(word) AS term, mixed AND word = upper(word) AND word <> lower(word) AS caps, valence
+       FROM ps LEFT JOIN lex ON lower(word) = lex.term),
+ct AS (SELECT *, {', '.join(f"{lag('term', k)} AS t{k}, coalesce({lag('valence IS NOT NULL', k)}, false) AS k{k}, coalesce({lag('caps', k)}, false) AS c{k}" for k in (1, 2, 3))},
+              lead(term) OVER o AS next, coalesce(lead(valence IS NOT NULL) OVER o, false) AS next_known,
+              min(CASE WHEN term = 'but' THEN pos END) OVER (PARTITION BY id) AS but
+       FROM kn WINDOW o AS (PARTITION BY id ORDER BY pos)),
+no1 AS (SELECT *, CASE WHEN {among('t1', ('no',))} OR {among('t2', ('no',))} OR ({among('t3', ('no',))} AND {among('t1', ('or', 'nor'))}) THEN valence * {m.NEGATION_FACTOR}
+                       WHEN term = 'no' AND next_known THEN 0 ELSE valence END AS v
+        FROM ct WHERE valence IS NOT NULL AND NOT ({among('term', m.RAISING + m.LOWERING)} OR coalesce(term = 'kind' AND next = 'of', false))),
+caps1 AS (SELECT * REPLACE (CASE WHEN caps THEN v + {toward(m.CAPITALS)} ELSE v END AS v) FROM no1),
+{', '.join(steps)},
+lst AS (SELECT * REPLACE (CASE WHEN {among('t1', ('least',))} AND NOT k1 AND NOT {among('t2', ('at', 'very'))} THEN v * {m.NEGATION_FACTOR} ELSE v END AS v) FROM {last}),
+tot AS (SELECT id, sum(v * CASE WHEN pos < but THEN {m.BEFORE_BUT} WHEN pos > but THEN {m.AFTER_BUT} ELSE 1 END) AS s FROM lst GROUP BY id),
+mk AS (SELECT id, length(t) - length(replace(t, '!', '')) AS e, length(t) - length(replace(t, '?', '')) AS q FROM tx),
+sm AS (SELECT mk.id, coalesce(s, 0.0) AS s, least(e, {m.EXCLAMATIONS}) * {dbl(m.EXCLAMATION)}
+              + CASE WHEN q > 3 THEN {dbl(m.QUESTIONS)} WHEN q > 1 THEN q * {dbl(m.QUESTION)} ELSE 0 END AS more FROM mk LEFT JOIN tot USING (id)),
+fin AS (SELECT id, CASE WHEN s > 0 THEN s + more WHEN s < 0 THEN s - more ELSE 0 END AS s FROM sm),
+sc AS (SELECT id AS ticket_id, round(s / sqrt(s * s + {dbl(m.SQUASH)}), 4) AS sentiment_score FROM fin)
 SELECT ticket_id, sentiment_score, CASE WHEN sentiment_score >= 0.2 THEN 'positive' WHEN sentiment_score <= -0.2 THEN 'negative' ELSE 'neutral' END AS sentiment,
-       {O.q(sentiment.VALENCE_SOURCE)} AS sentiment_source FROM sc""")
+       {O.q(m.VALENCE_SOURCE)} AS sentiment_source FROM sc"""
+
+
+@register("valence_sentiment", _valence_sql())
 def valence_sentiment(spark, sf_dir):
     t = fx.tickets(spark, sf_dir).select("ticket_id", "message")
     return sentiment.analyse(t, "ticket_id", "message", _lexicon(spark))
