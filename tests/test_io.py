@@ -124,6 +124,18 @@ def test_older_table_gains_columns(spark):
     assert d.dtypes == [("id", "int"), ("n", "bigint"), ("note", "string")] and tuple(d.first()) == (1, 0, None)
 
 
+def test_files_of_several_schemas_are_read_as_one(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.createDataFrame([(1,)], "id int").write.parquet(f"{path}/a=1")
+    spark.createDataFrame([(2, 5), (3, None)], "id int, n int").write.parquet(f"{path}/a=2")
+    spark.createDataFrame([("x", 4)], "note string, id int").write.parquet(f"{path}/a=3")
+    defaults = {"n": ("bigint", 0), "note": ("string", None), "status": ("string", "open")}
+    got = io.read_evolved(spark, path, defaults)
+    assert dict(got.dtypes) == {"id": "int", "n": "bigint", "note": "string", "status": "string", "a": "int"}
+    assert sorted((r.id, r.n, r.note, r.status) for r in got.collect()) == [(1, 0, None, "open"), (2, 5, None, "open"), (3, 0, None, "open"), (4, 0, "x", "open")]
+    assert io.read_evolved(spark, f"{path}/a=1", {}).columns == ["id"]
+
+
 def test_field_bounds(spark):
     rows = [("ok then", "open", None, "Support agent"), ("ok then", "closed", None, "ab"), ("ok then", "open", "x" * 2001, "ab"),
             ("ok then", "open", "r", "a"), ("no", "open", None, "ab"), ("ok then", None, None, "ab")]

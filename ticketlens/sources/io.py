@@ -216,6 +216,14 @@ def evolve_schema(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> Dat
     return df
 
 
+def read_evolved(spark: SparkSession, path: str, defaults: dict[str, tuple[str, object]]) -> DataFrame:
+    """A table whose files were written under older and newer schemas: the files' schemas are merged on read, a column
+    that no file has is added, and rows without a value get the default."""
+    df = evolve_schema(spark.read.option("mergeSchema", "true").parquet(path), defaults)
+    filled = {name: F.coalesce(F.col(name), F.lit(default).cast(dtype)).cast(dtype) for name, (dtype, default) in defaults.items()}
+    return df.withColumns(filled) if filled else df
+
+
 # S14 ----------------------------------------------------------------------------
 def split_valid(df: DataFrame, message: str = "message", status: str | None = None,
                 lengths: dict[str, tuple[int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
