@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ticketlens.llm import components as C
 from ticketlens.llm import jaccard_join as X
@@ -70,6 +71,24 @@ def test_large_components_in_blocks(spark):
     assert run(spark, rows, 2, 70, 100, task_tokens=300) == brute(rows, 2, 70, 100)
 
 
+def test_a_common_passage_does_not_join_everything(spark):
+    rnd = random.Random(7)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = []
+    for i in range(60):
+        body = [f"w{i}x{k}" for k in range(20)]
+        rows.append((2 * i, " ".join(body[:10]) + " " + passage + " " + " ".join(body[10:])))
+        near = list(body)
+        near[rnd.randrange(20)] = f"changed{i}"
+        rows.append((2 * i + 1, " ".join(near[:10]) + " " + passage + " " + " ".join(near[10:])))
+    want = brute(rows, 2, 80, 100)
+    assert len({c for *_, c in want}) == 60
+    assert run(spark, rows, 2, 80, 100, task_tokens=500) == want
+    sets = X._sets_of(spark.createDataFrame(rows, "id long, text string").select(F.col("id").cast("string").cast("binary").alias("f"), "text"), 2)
+    got = X._refined(sets, 80, 100).groupBy("root").count().collect()
+    assert max(r["count"] for r in got) == 2
+
+
 def test_any_similar_pair_shares_a_key():
     rnd = random.Random(8)
     for num in (50, 70, 80, 90, 95):

@@ -17,9 +17,13 @@
    to the one that walks.  Exact counts decide; a spanning set of links goes out.
 4. Components of these links name each document's component.
 
-Equal sets are one set.  A component too large for a task is split: sets linked
-to its pivot are told apart first, and only pairs of blocks that hold another set
-are joined, each in a task of its own.
+Equal sets are one set.  A passage that many documents hold can link them to one
+candidate component too large for a task.  Its n-grams are then counted over all
+its sets and ordered, the rarest first; two similar sets share an n-gram among
+each one's first ``size - least overlap + 1``, so these prefixes link them anew,
+and a common passage, which comes last, does not.  What is still too large is
+split: sets linked to the component's pivot are told apart first, and only pairs
+of blocks that hold another set are joined, each in a task of its own.
 
 Words are named by two 64-bit chains of their bytes, n-grams by 64 bits of both;
 a set is named by 128 bits of its n-grams.
@@ -411,6 +415,23 @@ def _tree_tasks(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.sortWithinPartitions("root", "left", "right", "f").mapInArrow(work, "a binary, b binary")
 
 
+def _refined(big: DataFrame, num: int, den: int) -> DataFrame:
+    """(f, root, total, pivot, grams) of large components' sets by the components that prefixes of rare n-grams give;
+    sets that these link to nothing are left out."""
+    held = materialise(big.select("f", "grams")).withColumn("sid", F.monotonically_increasing_id())
+    cells = held.select("sid", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    shared = cells.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("sid")
+    found = cells.join(shared, "gram").select("sid", "size", "gram", F.row_number().over(own.orderBy("df", "gram")).alias("at"), F.count("*").over(own).alias("n"))
+    # n-grams of one set alone come first; size - least overlap + 1 places are the prefix
+    prefix = F.col("size") - F.ceil(F.col("size") * num / den) + 1
+    keys = found.where(F.col("size") - F.col("n") + F.col("at") <= prefix).select(F.col("gram").alias("key"), F.col("sid").alias("f0"), F.lit(False).alias("linked"))
+    linked = materialise(components(candidate_links(keys)).select(F.col("node").alias("sid"), F.col("root")))
+    sized = linked.join(held.select("sid", "f", F.size("grams").alias("size")), "sid")
+    total = sized.groupBy("root").agg(F.sum("size").alias("total"), F.min("f").alias("pivot"))
+    return held.join(linked.join(total, "root"), "sid").select("f", "root", "total", "pivot", "grams")
+
+
 def _set_name() -> Column:
     """The 16 bytes of f0 and f1; null without a set."""
     return F.unhex(F.concat(F.lpad(F.hex("f0"), 16, "0"), F.lpad(F.hex("f1"), 16, "0")))
@@ -428,13 +449,18 @@ def similar_sets(docs: DataFrame, named: DataFrame, n: int, num: int, den: int,
     same_row = (F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("d.rid") == F.col("r.rid"))
     texts = docs.alias("d").join(reps.alias("r"), same_row).select("r.f", "r.root", "r.total", "r.pivot", "d.text")
     sets = _sets_of(texts, n)
-    one_task = [F.lit(0).alias("left"), F.lit(0).alias("right"), "f", F.lit(False).alias("pivoted"), "grams"]
-    large = total.where(F.col("total") > task_tokens).agg(F.count("*").alias("n"), F.coalesce(F.sum("first.size"), F.lit(0)).alias("size")).first()
-    if not large["n"]:
-        return components(_tree_tasks(sets.select("root", *one_task), num, den))
+    def of_task(rows: DataFrame, kind: int) -> DataFrame:  # kind keeps the two sorts of roots apart
+        return rows.select("root", F.lit(kind).alias("left"), F.lit(kind).alias("right"), "f", F.lit(False).alias("pivoted"), "grams")
+    if total.where(F.col("total") > task_tokens).isEmpty():
+        return components(_tree_tasks(of_task(sets, -1), num, den))
 
     sets = materialise(sets)
-    big = sets.where(F.col("total") > task_tokens)
+    refined = materialise(_refined(sets.where(F.col("total") > task_tokens), num, den))
+    whole = of_task(sets.where(F.col("total") <= task_tokens), -1).unionByName(of_task(refined.where(F.col("total") <= task_tokens), -2))
+    big = refined.where(F.col("total") > task_tokens)
+    large = big.where("f = pivot").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("size")).first()
+    if not large["n"]:
+        return components(_tree_tasks(whole, num, den))
     # a large component's pivot goes to all its sets: as a broadcast while all pivots are small enough for a task
     fits = large["n"] + large["size"] <= min(task_tokens, TASK_TOKENS)
     known = F.broadcast if fits else (lambda x: x)
@@ -450,8 +476,7 @@ def similar_sets(docs: DataFrame, named: DataFrame, n: int, num: int, den: int,
     other = F.sequence(F.lit(0), F.when(F.col("pivoted"), F.col("off") - 1).otherwise(F.col("off") + F.col("on") - 1))
     met = cut.withColumn("mine", mine).withColumn("other", F.explode(other)).select(
         "root", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "f", "pivoted", "grams")
-    small = sets.where(F.col("total") <= task_tokens).select("root", *one_task)
-    links = _tree_tasks(small.unionByName(met), num, den)
+    links = _tree_tasks(whole.unionByName(met), num, den)
     return components(links.unionByName(flagged.where("pivoted").select(F.col("f").alias("a"), F.col("pivot").alias("b"))))
 
 
