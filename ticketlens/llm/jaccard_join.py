@@ -53,9 +53,9 @@ _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Longer words are named one by one.
 LONG_WORD = 256
 #: Keys that a task looks through for equal ones before it sends them.
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 18
 #: n-grams that a task joins at once.
-TASK_TOKENS = 4_000_000
+TASK_TOKENS = 2_000_000
 
 def _mix(x: np.ndarray, k: int) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _M[k]
@@ -213,20 +213,22 @@ def _first_of_key(key: np.ndarray, f0: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return head, f0[head][np.cumsum(head) - 1]
 
 
+def _merged(keys: list[np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatch:
+    """One row for each key, with one of its sets, and links between the sets that share a key here."""
+    key, f0 = np.concatenate(keys), np.concatenate(sets)
+    order = np.argsort(key)
+    key, f0 = key[order], f0[order]
+    head, first = _first_of_key(key, f0)
+    apart = f0 != first
+    links = np.unique(np.stack([f0[apart], first[apart]]), axis=1) if apart.any() else np.zeros((2, 0), np.int64)
+    columns = np.concatenate([key[head], links[0]]), np.concatenate([f0[head], links[1]])
+    linked = np.arange(len(columns[0])) >= int(head.sum())
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(linked)], names=["key", "f0", "linked"])
+
+
 def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """key, f0, linked: a row for each key a task has seen, with one of its sets; linked rows are links of
     two sets (in key and f0) that share a key in the task."""
-    def merged(keys: list[np.ndarray], sets: list[np.ndarray]):
-        key, f0 = np.concatenate(keys), np.concatenate(sets)
-        order = np.argsort(key)
-        key, f0 = key[order], f0[order]
-        head, first = _first_of_key(key, f0)
-        apart = f0 != first
-        links = np.unique(np.stack([f0[apart], first[apart]]), axis=1) if apart.any() else np.zeros((2, 0), np.int64)
-        columns = np.concatenate([key[head], links[0]]), np.concatenate([f0[head], links[1]])
-        linked = np.arange(len(columns[0])) >= int(head.sum())
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(linked)], names=["key", "f0", "linked"])
-
     def work(batches):
         keys, sets, held = [], [], 0
         for batch in batches:
@@ -239,13 +241,29 @@ def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 sets.append(f0[row])
                 held += len(key)
                 if held >= HELD_KEYS:
-                    yield merged(keys, sets)
+                    yield _merged(keys, sets)
                     keys, sets, held = [], [], 0
         if held:
-            yield merged(keys, sets)
+            yield _merged(keys, sets)
     return docs.select("text").mapInArrow(work, "key long, f0 long, linked boolean")
 
 
+def thinned(keys: DataFrame) -> DataFrame:
+    """Rows (key, f0) as ``signatures`` gives them: a key that many sets share leaves a task as one row."""
+    def work(batches):
+        some, sets, held = [], [], 0
+        for batch in batches:
+            some.append(batch.column(0).to_numpy())
+            sets.append(batch.column(1).to_numpy())
+            held += batch.num_rows
+            if held >= HELD_KEYS:
+                yield _merged(some, sets)
+                some, sets, held = [], [], 0
+        if held:
+            yield _merged(some, sets)
+    return keys.mapInArrow(work, "key long, f0 long, linked boolean")
+
+
 def candidate_links(keys: DataFrame) -> DataFrame:
     """a, b: links (as f0) that connect all sets with a common key.  keys: see ``signatures``; each row moves once."""
     def work(batches):
@@ -420,13 +438,13 @@ def _refined(big: DataFrame, num: int, den: int) -> DataFrame:
     sets that these link to nothing are left out."""
     held = materialise(big.select("f", "grams")).withColumn("sid", F.monotonically_increasing_id())
     cells = held.select("sid", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    shared = cells.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    shared = cells.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1")  # n-grams move once
     own = Window.partitionBy("sid")
-    found = cells.join(shared, "gram").select("sid", "size", "gram", F.row_number().over(own.orderBy("df", "gram")).alias("at"), F.count("*").over(own).alias("n"))
+    found = shared.select("sid", "size", "gram", F.row_number().over(own.orderBy("df", "gram")).alias("at"), F.count("*").over(own).alias("n"))
     # n-grams of one set alone come first; size - least overlap + 1 places are the prefix
     prefix = F.col("size") - F.ceil(F.col("size") * num / den) + 1
-    keys = found.where(F.col("size") - F.col("n") + F.col("at") <= prefix).select(F.col("gram").alias("key"), F.col("sid").alias("f0"), F.lit(False).alias("linked"))
-    linked = materialise(components(candidate_links(keys)).select(F.col("node").alias("sid"), F.col("root")))
+    keys = found.where(F.col("size") - F.col("n") + F.col("at") <= prefix).select(F.col("gram").alias("key"), F.col("sid").alias("f0"))
+    linked = materialise(components(candidate_links(thinned(keys))).select(F.col("node").alias("sid"), F.col("root")))
     sized = linked.join(held.select("sid", "f", F.size("grams").alias("size")), "sid")
     total = sized.groupBy("root").agg(F.sum("size").alias("total"), F.min("f").alias("pivot"))
     return held.join(linked.join(total, "root"), "sid").select("f", "root", "total", "pivot", "grams")
