@@ -40,6 +40,13 @@ def test_one_language_needs_no_lead(spark):
     assert got == {1: ("de", None), 2: ("en", None)}
 
 
+def test_equal_words_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, "en", "the the cat"), (1, "en", "cat"), (2, "de", "der der hund"), (None, "de", "hund")], "id int, lang string, text string")
+    found = language.detect(docs.select("id", "text"), language.fit(docs), "id")
+    cut = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [word" in line]
+    assert cut and sorted((r.id or 0, r.language_code) for r in found.collect()) == [(0, "en"), (1, "en"), (1, "en"), (2, "de")]
+
+
 def squash(s):
     return round(s / (s * s + 15) ** 0.5, 4)
 

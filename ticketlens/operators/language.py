@@ -21,20 +21,26 @@ from .similar import materialise
 UNIT, MARGIN = 1_000_000, 50_000
 
 
-def trigrams(text: Column) -> Column:
-    """Trigrams of every lower-cased run of letters with a space at either end.
+def words(text: Column) -> Column:
+    """Every lower-cased run of letters."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+"), "")
+
+
+def trigrams(word: Column) -> Column:
+    """Trigrams of a word with a space at either end.
 
     Words are short, so cutting them is linear in the text (cutting the text
     itself by position would count characters from its start each time)."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+"), "")
-    return F.flatten(F.transform(words, lambda w: F.transform(
-        F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(3)))))
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(F.concat(F.lit(" "), word, F.lit(" ")), i, F.lit(3)))
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, gram, gain and unseen: what a trigram adds over an unseen one, and what an unseen one weighs."""
-    grams = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
-    counts = materialise(grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
+    """lang, gram, gain and unseen: what a trigram adds over an unseen one, and what an unseen one weighs.
+    Equal words of a language are cut once."""
+    held = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(words(F.col(text))).alias("word"))
+    held = held.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("k"))
+    grams = held.select("lang", "k", F.explode(trigrams(F.col("word"))).alias("gram"))
+    counts = materialise(grams.groupBy("lang", "gram").agg(F.sum("k").alias("n")))
     distinct = counts.agg(F.count_distinct("gram").alias("distinct"))
     size = counts.groupBy("lang").agg(F.sum("n").alias("total")).withColumn("_d", distinct.scalar())
 
@@ -47,9 +53,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
 def detect(df: DataFrame, profiles: DataFrame, id_col: str, text: str = "text", margin: int = MARGIN) -> DataFrame:
     """id, language_code, language_lead (millionths for each trigram, null without a second language);
     ties go to the first code in the alphabet."""
-    grams = df.select(id_col, F.explode(trigrams(F.col(text))).alias("gram")).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("c"))
-    gains = grams.join(profiles.select("lang", "gram", "gain"), "gram").groupBy(id_col, "lang").agg(F.sum(F.col("c") * F.col("gain")).alias("gain"))
-    total = grams.groupBy(id_col).agg(F.sum("c").alias("_n"))
+    # A word's gains are added up once, in the order of the languages (a row a language).
+    names = sorted(r["lang"] for r in profiles.select("lang").distinct().collect())
+    held = df.select(id_col, F.explode(words(F.col(text))).alias("word"))
+    known = held.select("word").distinct().select("word", F.explode(trigrams(F.col("word"))).alias("gram"))
+    gained = known.join(profiles.select("lang", "gram", "gain"), "gram").groupBy("word").agg(
+        *[F.coalesce(F.sum(F.when(F.col("lang") == n, F.col("gain"))), F.lit(0)).alias(f"_g{i}") for i, n in enumerate(names)])
+    sums = held.join(gained, "word").groupBy(id_col).agg(*[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(len(names))])
+    each = F.array(*[F.struct(F.lit(n).alias("lang"), F.col(f"_g{i}").alias("gain")) for i, n in enumerate(names)]).cast("array<struct<lang:string,gain:bigint>>")
+    gains = sums.select(id_col, F.inline(each))
+    letters = F.aggregate(words(F.col(text)), F.lit(0).cast("long"), lambda n, w: n + F.length(w))  # a trigram each
+    total = df.groupBy(id_col).agg(F.sum(letters).alias("_n")).where("_n > 0")
     unseen = profiles.groupBy("lang").agg(F.first("unseen").alias("unseen")).agg(F.collect_list(F.struct("lang", "unseen")).alias("_u"))  # a row a language
     every = total.withColumn("_u", unseen.scalar()).select(id_col, "_n", F.inline("_u"))
     score = F.coalesce(F.col("gain"), F.lit(0)) + F.col("_n") * F.col("unseen")
