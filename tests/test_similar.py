@@ -182,3 +182,25 @@ def test_odd_vectors_take_no_part(spark):
     assert got == {7: [(0, 0.8), (5, 0.4), (3, 0.0), (6, 0.0)], 9: [(0, 0.0), (3, 0.0), (5, 0.0), (6, 0.0)]}
     units = {r.index_id: r.u for r in idx.select("index_id", S.unit(F.col("index_vector")).alias("u")).collect()}
     assert units[0] == [1.0, 0.0] and units[5] == [1.0] and all(units[i] is None for i in (1, 2, 3, 4, 6, 7))
+
+
+def test_terms_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha beta{i} gamma") for i in range(20)] + [(3, "alpha"), (None, "alpha")], "id long, text string")
+    monkeypatch.setattr(S, "PART_BYTES", 64)
+    counted = S.term_counts(docs, "id", "text")
+    assert counted.rdd.getNumPartitions() == -(-sum(len(r.text) for r in docs.collect()) // 64)
+    assert {(r.id, r.tf) for r in counted.where("term = 'alpha' and (id = 3 or id is null)").collect()} == {(3, 2), (None, 1)}
+
+
+def test_policy_search_in_parts(spark, monkeypatch):
+    pol = spark.createDataFrame([(i, f"P{i}", None, f"word{i % 3} refund") for i in range(6)] + [(5, "P5", None, "zzz")],
+                                "policy_idx long, policy_id string, title string, content string").where("policy_idx < 5 or content = 'zzz'")
+    q = spark.createDataFrame([(i, f"word{i % 4} money") for i in range(12)] + [(12, None)], "query_id long, text string")
+
+    def found():
+        r = S.search_policies(q, pol, k=3).collect()
+        return sorted((x.query_id, x.rank, x.policy_idx, x.score) for x in r)
+    whole = found()
+    monkeypatch.setattr(S, "PART_PAIRS", 5)
+    assert found() == whole and len(whole) == 13 * 3
+    assert [x[2] for x in whole if x[0] == 1] == [4, 1, 5] and [x[2] for x in whole if x[0] == 12] == [5, 4, 3]
