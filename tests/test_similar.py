@@ -204,3 +204,15 @@ def test_policy_search_in_parts(spark, monkeypatch):
     monkeypatch.setattr(S, "PART_PAIRS", 5)
     assert found() == whole and len(whole) == 13 * 3
     assert [x[2] for x in whole if x[0] == 1] == [4, 1, 5] and [x[2] for x in whole if x[0] == 12] == [5, 4, 3]
+
+
+def test_vectors_carry_the_idf(spark):
+    texts = ["alpha beta", "alpha gamma gamma", "delta", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    vec, _ = S.tfidf_fit(docs, "id", "text")
+    want = py_tfidf(texts)
+    rows = vec.collect()
+    assert len(rows) == sum(len(v) for v in want)
+    for r in rows:
+        df = sum(r.term in v for v in want)
+        assert abs(r.idf - math.log(5 / (1 + df)) - 1) < 1e-12 and abs(r.weight - want[r.id][r.term]) < 1e-12
