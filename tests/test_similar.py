@@ -186,9 +186,9 @@ def test_odd_vectors_take_no_part(spark):
 
 def test_terms_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"alpha beta{i} gamma") for i in range(20)] + [(3, "alpha"), (None, "alpha")], "id long, text string")
-    monkeypatch.setattr(S, "PART_BYTES", 64)
+    monkeypatch.setattr(S, "PART_BYTES", 8)
     counted = S.term_counts(docs, "id", "text")
-    assert counted.rdd.getNumPartitions() == -(-sum(len(r.text) for r in docs.collect()) // 64)
+    assert counted.rdd.getNumPartitions() == -(-sum(len(r.text) for r in docs.collect()) // 8)
     assert {(r.id, r.tf) for r in counted.where("term = 'alpha' and (id = 3 or id is null)").collect()} == {(3, 2), (None, 1)}
 
 
