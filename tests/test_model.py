@@ -187,6 +187,19 @@ def test_vocabulary_and_features(spark):
     assert len(cells) == int((x != 0).sum()) and all(abs(x[i, j] - c) < 1e-12 for (i, j), c in cells.items())
 
 
+def test_vocabulary_of_texts_without_a_count_by_row(spark):
+    texts = [t for t, _ in TEXTS]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string")
+    terms = X.document_terms(df, "text")
+    assert terms.columns == ["block", "term"]
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning" not in plan  # nothing is counted by row
+    names, count, _, _ = py_features(texts)
+    got = X.fit_vocabulary(terms, len(texts)).orderBy("idx").collect()
+    assert [(r.block, r.term) for r in got] == names and {(r.block, r.term): r.df for r in got} == dict(count)
+    assert got == X.fit_vocabulary(X.term_rows(df, "row", "text"), len(texts)).orderBy("idx").collect()
+
+
 @pytest.mark.parametrize("driver_bytes", [1 << 28, 20_000])
 def test_fit_equals_the_dense_optimum(spark, driver_bytes):
     df = spark.createDataFrame(TEXTS, "text string, query_type string")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .similar import TOKEN_RX, idf, materialise
+from .similar import TOKEN_RX, idf, materialise, text_parts
 
 WORD, CHAR = "word", "char"
 
@@ -51,19 +51,30 @@ def numbered(df: DataFrame, *keys: str, name: str) -> DataFrame:
     return ranged.withColumn(name, (base + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_at")
 
 
+def _grams(text: str, distinct: bool = False) -> Column:
+    """(block, term) of every gram of a text, or of its different ones alone."""
+    def of(block: str, grams: Column) -> Column:
+        return F.transform(F.array_distinct(grams) if distinct else grams, lambda t: F.struct(F.lit(block).alias("block"), t.alias("term")))
+    return F.concat(of(WORD, word_grams(text)), of(CHAR, F.expr(CHAR_GRAMS.format(text=text))))
+
+
 def term_rows(df: DataFrame, row: str, text: str) -> DataFrame:
     """row, block, term, tf of every text; null texts have none.  Only texts are shuffled, not their terms."""
     source = df.select(F.col(row).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("_text")).repartition("row")
-
-    def of(block: str, grams: Column) -> Column:
-        return F.transform(grams, lambda t: F.struct(F.lit(block).alias("block"), t.alias("term")))
-    both = F.concat(of(WORD, word_grams("_text")), of(CHAR, F.expr(CHAR_GRAMS.format(text="_text"))))
-    terms = source.select("row", F.explode(both).alias("t"))
+    terms = source.select("row", F.explode(_grams("_text")).alias("t"))
     return terms.groupBy("row", F.col("t.block").alias("block"), F.col("t.term").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
 
 
+def document_terms(df: DataFrame, text: str) -> DataFrame:
+    """block, term: a row for each text and different term, all that ``fit_vocabulary`` reads.
+
+    Texts are dealt evenly to tasks of bounded size; nothing is counted by row."""
+    source = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).repartition(text_parts(df, text))
+    return source.select(F.explode(_grams("_text", distinct=True)).alias("t")).select("t.block", "t.term")
+
+
 def fit_vocabulary(terms: DataFrame, n_texts) -> DataFrame:
-    """block, term, df, idf, idx from ``term_rows``; n_texts (a number or scalar) counts all texts, empty ones too."""
+    """block, term, df, idf, idx from ``term_rows`` or ``document_terms``; n_texts (a number or scalar) counts all texts, empty ones too."""
     n = n_texts if isinstance(n_texts, Column) else F.lit(n_texts)
     df = terms.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df"))
     return numbered(df.withColumn("idf", idf(n, F.col("df"))), "block", "term", name="idx")

@@ -351,8 +351,7 @@ def model_vocabulary(spark, sf_dir):
     from ..operators import features as X
     from ..operators.similar import materialise
     train = materialise(jobs.training_set(spark, sf_dir).where(F.col("split") == "train").select("text"))
-    rows = train.withColumn("row", F.monotonically_increasing_id())
-    v = X.fit_vocabulary(X.term_rows(rows, "row", "text"), train.agg(F.count(F.lit(1))).scalar())
+    v = X.fit_vocabulary(X.document_terms(train, "text"), train.agg(F.count(F.lit(1))).first()[0])  # one number
     return v.select("block", "term", "df", F.round("idf", 6).alias("idf"), "idx")
 
 
