@@ -216,3 +216,13 @@ def test_vectors_carry_the_idf(spark):
     for r in rows:
         df = sum(r.term in v for v in want)
         assert abs(r.idf - math.log(5 / (1 + df)) - 1) < 1e-12 and abs(r.weight - want[r.id][r.term]) < 1e-12
+
+
+def test_classes_and_their_terms_are_numbers(spark, monkeypatch):
+    opn = spark.createDataFrame([(i, i, f"my card {i % 3} was charged twice for order {i}", "open", "payments") for i in range(60)],
+                                "ticket_id long, created_at long, text string, status string, department string")
+    kept, plain = [], S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df: kept.append(dict(df.dtypes)) or plain(df))
+    S.duplicate_candidates(opn.select(F.col("ticket_id").alias("message_id"), "text"), opn)
+    pairs = [k for k in kept if "mc" in k or "oc" in k]
+    assert pairs and all(k[c] == "bigint" for k in pairs for c in ("mc", "oc", "term") if c in k)
