@@ -226,3 +226,31 @@ def test_classes_and_their_terms_are_numbers(spark, monkeypatch):
     S.duplicate_candidates(opn.select(F.col("ticket_id").alias("message_id"), "text"), opn)
     pairs = [k for k in kept if "mc" in k or "oc" in k]
     assert pairs and all(k[c] == "bigint" for k in pairs for c in ("mc", "oc", "term") if c in k)
+
+
+def test_only_indexed_rows_of_near_duplicates_carry_bounds(spark, monkeypatch):
+    words = [f"word{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 3:i % 3 + 30] + [f"own{i}"])) for i in range(12)], "id long, text string")
+    kept, plain = [], S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df: kept.append(plain(df)) or kept[-1])
+    pairs = S.duplicate_pairs(docs, "id", "text").count()
+    assert pairs > 0 and len(kept) == 1 and kept[0].columns == ["rep_id", "term", "weight", "index"]
+    n = kept[0].count()
+    assert 0 < kept[0].where("index is null").count() < n
+
+
+def test_shuffle_files_behind_a_checkpoint_are_removed(spark):
+    before = spark.conf.get(S.CLEAN, None)
+    seen = []
+    df = spark.range(100).repartition(4, "id")
+    select = type(df).select
+
+    class Watched:
+        """The setting under which the checkpoint's plan is made."""
+        sparkSession = spark
+
+        def select(self, *cols):
+            seen.append(spark.conf.get(S.CLEAN))
+            return select(df, *cols)
+    assert S.materialise(Watched()).count() == 100
+    assert seen == ["true"] and spark.conf.get(S.CLEAN, None) == before
