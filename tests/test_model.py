@@ -259,3 +259,22 @@ def test_full_triage_with_models_and_duplicates(spark):
     assert all(r.query_type in types.names and 0 < r.query_confidence <= 1 and r.query_type_source == "model" for r in rows)
     assert all(0 < r.confidence <= 1 and len(r.duplicate_candidates) <= 3 and r.handoff.startswith("Query type: ") for r in rows)
     assert any(r.duplicate_candidates for r in rows) and all(d.ticket_id != r.ticket_id for r in rows for d in r.duplicate_candidates)
+
+
+@pytest.mark.parametrize("kind, most", [((), 14), ((np.float32,), 10)])
+def test_solver_holds_few_arrays_beside_its_history(kind, most):
+    import tracemalloc
+    n, scale = 400_000, np.linspace(1, 50, 400_000).reshape(-1, 4)
+
+    def value(p):
+        g = scale * p
+        g -= 1
+        return float(np.vdot(p, g) - p.sum()) / 2, g
+    tracemalloc.start()
+    try:
+        p, first = softmax.minimise(value, np.zeros((n // 4, 4)), 1e-6, 200, softmax.LEAST_HISTORY, *kind)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert first == 1 and np.abs(p - 1 / scale).max() < 1e-5
+    assert peak < most * n * 8  # 16 arrays before
