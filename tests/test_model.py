@@ -278,3 +278,9 @@ def test_solver_holds_few_arrays_beside_its_history(kind, most):
         tracemalloc.stop()
     assert first == 1 and np.abs(p - 1 / scale).max() < 1e-5
     assert peak < most * n * 8  # 16 arrays before
+
+
+def test_columns_are_cut_into_groups_late():
+    history, width, groups = softmax.plan(103_883, 24, softmax.DRIVER_BYTES)  # sf0.1's intents: two groups before
+    assert groups == 1 and softmax.LEAST_HISTORY <= history < softmax.HISTORY and width == 103_883
+    assert softmax.plan(1000, 24, softmax.DRIVER_BYTES) == (softmax.HISTORY, 1000, 1)
