@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
-from ticketlens.llm import words
+from ticketlens.llm import common, components, toxicity, words
 
 
 def prose(rnd, n, parts=("ta", "ri", "no", "mel", "ko", "su", "lan", "ung")):
@@ -69,6 +69,51 @@ def test_empty_tables(spark, folder, tmp_path):
         assert stage(spark, empty, path).collect() == []
 
 
+@pytest.fixture
+def fine(spark):
+    """A session that deals rows out to far more partitions than they need."""
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_few_partitions_for_little_text(fine, folder, tmp_path):
+    path, docs, _ = folder
+    table = fine.read.parquet(f"{path}/documents.parquet")
+    text = sum(len((t or "").encode()) for _, t, *_ in docs)
+    assert common.parts_for(table) == -(-text // common.PART_BYTES) == 1 and common.parts_for(table.limit(0)) == 1
+    for k, (_, stage) in enumerate(P.STAGES):
+        out = stage(fine, table, path)
+        assert out.rdd.getNumPartitions() == 1
+        out.write.parquet(str(tmp_path / str(k)))
+        table = fine.read.parquet(str(tmp_path / str(k)))
+
+
+def test_components_of_few_edges(fine):
+    found = components.components(fine.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long"))
+    assert found.rdd.getNumPartitions() == 2
+    assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(41)]
+
+
+def test_no_second_kind_of_worker(spark, folder, monkeypatch):
+    """Rows of the driver reach the executors without an RDD of Python rows, whose workers would stay beside the others."""
+    def refuse(*a, **b):
+        raise AssertionError("an RDD of Python rows")
+    path, *_ = folder
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(spark.sparkContext, "parallelize", refuse)
+    texts, y = toxicity.training_sample(docs, labels)
+    assert len(texts) == len(y) > 100 and set(y.tolist()) == {0, 1}
+
+
+def test_released():
+    assert list(common.released(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3]
+
+
 def test_registered(spark, folder):
     names = set(entry.queries())
     assert {"pipeline"} <= names and sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 14))

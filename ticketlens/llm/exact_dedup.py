@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, free_names, materialise, runs, segments, utf8
+from .common import documents, free_names, materialise, parts_for, released, runs, segments, utf8
 
 #: Primes below 2**31 and a base for each.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -83,7 +83,7 @@ def _printed(rows: DataFrame, primes) -> DataFrame:
                     [ids.slice(a, b - a), pa.array(np.diff(off[a:b + 1])), pa.array((hi0 << np.uint64(31) | lo0).astype(np.int64)),
                      pa.array((hi1 << np.uint64(31) | lo1).astype(np.int64)), pa.array(sha, pa.string())],
                     names=["doc_id", "n_bytes", "fp_hi", "fp_lo", "text_sha256"])
-    return rows.mapInArrow(work, PRINTS)
+    return rows.mapInArrow(released(work), PRINTS)
 
 
 def fingerprint_table(docs: DataFrame, primes=PRIMES, part: int = ROW_PART) -> DataFrame:
@@ -125,7 +125,7 @@ def combine_chunks(chunks: DataFrame, primes=PRIMES, key: str = "doc_id") -> Dat
                                              names=[key, "chunk_no", "n", *[f"r{k}" for k in range(len(primes))]])
     residues = [f"r{k}" for k in range(len(primes))]
     rows = sized.select(key, "chunk_no", "bytes", F.col("behind").cast("long")).mapInArrow(
-        work, f"{key} {kind}, chunk_no int, n long, " + ", ".join(f"{r} long" for r in residues))
+        released(work), f"{key} {kind}, chunk_no int, n long, " + ", ".join(f"{r} long" for r in residues))
     once = rows.groupBy(key, "chunk_no").agg(F.max("n").alias("n"), *[F.max(r).alias(r) for r in residues])
     return once.groupBy(key).agg(F.sum("n").alias("n_bytes"), *[(F.sum(r) % p).alias(r) for r, p in zip(residues, primes)])
 
@@ -143,7 +143,8 @@ def exact_groups(docs: DataFrame, primes=PRIMES, part: int = ROW_PART) -> DataFr
     Groups are aggregated before the shuffle, so a group that holds a third of all
     rows sends one row per task; the join back is a plain one that Spark can split.
     """
-    prints = materialise(fingerprint_table(docs, primes, part))
+    parts = parts_for(docs)
+    prints = materialise(fingerprint_table(docs, primes, part), parts)
     groups = prints.groupBy(*KEY).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     suspects = prints.join(groups.where("group_size > 1 and n_bytes > 0").select(*KEY), KEY, "left_semi")
     texts = documents(docs).withColumn("text_sha256", F.sha2("text", 256))
@@ -154,7 +155,7 @@ def exact_groups(docs: DataFrame, primes=PRIMES, part: int = ROW_PART) -> DataFr
         same = texts["doc_id"].eqNullSafe(w["doc_id"]) & (texts["text_sha256"] == w["text_sha256"])
         return texts.join(w, same).select(*KEY, "text", texts["doc_id"])
     compared = _chunks(of_rows(suspects)).groupBy(*KEY, "chunk_no").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    clashes = materialise(compared.where("low <> high").select(*KEY).distinct())
+    clashes = materialise(compared.where("low <> high").select(*KEY).distinct(), parts)
     once = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("n_bytes"))
     rows = prints.withColumn("nth", once)
     if clashes.isEmpty():

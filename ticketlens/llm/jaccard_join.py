@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, materialise, runs, seeds, segments, utf8
+from .common import free_names, materialise, parts_for, released, runs, seeds, segments, utf8
 from .components import components
 
 _M = seeds(6, 51)
@@ -203,7 +203,7 @@ def set_names(docs: DataFrame, n: int) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(f0, mask=size == 0), pa.array(f1, mask=size == 0), pa.array(size)],
                                                  names=["doc_id", "rid", "f0", "f1", "n_shingles"])
-    return docs.mapInArrow(work, "doc_id long, rid long, f0 long, f1 long, n_shingles long")
+    return docs.mapInArrow(released(work), "doc_id long, rid long, f0 long, f1 long, n_shingles long")
 
 
 def _first_of_key(key: np.ndarray, f0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +245,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     keys, sets, held = [], [], 0
         if held:
             yield _merged(keys, sets)
-    return docs.select("text").mapInArrow(work, "key long, f0 long, linked boolean")
+    return docs.select("text").mapInArrow(released(work), "key long, f0 long, linked boolean")
 
 
 def thinned(keys: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def thinned(keys: DataFrame) -> DataFrame:
                 some, sets, held = [], [], 0
         if held:
             yield _merged(some, sets)
-    return keys.mapInArrow(work, "key long, f0 long, linked boolean")
+    return keys.mapInArrow(released(work), "key long, f0 long, linked boolean")
 
 
 def candidate_links(keys: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def candidate_links(keys: DataFrame) -> DataFrame:
                 b.append(first[apart])
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs], names=["a", "b"])
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(work, "a long, b long")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(released(work), "a long, b long")
 
 
 class _Node:
@@ -400,7 +400,7 @@ def _sets_of(texts: DataFrame, n: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(gram.view(np.int64)))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], lists], names=[*keep, "grams"])
-    return texts.mapInArrow(work, ", ".join(f"{c} {t}" for c, t in texts.dtypes[:-1]) + ", grams array<long>")
+    return texts.mapInArrow(released(work), ", ".join(f"{c} {t}" for c, t in texts.dtypes[:-1]) + ", grams array<long>")
 
 
 def _tree_tasks(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -430,13 +430,13 @@ def _tree_tasks(rows: DataFrame, num: int, den: int) -> DataFrame:
         if len(names) > 1:
             yield links()
     dealt = rows.select("root", "left", "right", "f", "pivoted", "grams").repartition("root", "left", "right")
-    return dealt.sortWithinPartitions("root", "left", "right", "f").mapInArrow(work, "a binary, b binary")
+    return dealt.sortWithinPartitions("root", "left", "right", "f").mapInArrow(released(work), "a binary, b binary")
 
 
-def _refined(big: DataFrame, num: int, den: int) -> DataFrame:
+def _refined(big: DataFrame, num: int, den: int, parts: int | None = None) -> DataFrame:
     """(f, root, total, pivot, grams) of large components' sets by the components that prefixes of rare n-grams give;
-    sets that these link to nothing are left out."""
-    held = materialise(big.select("f", "grams")).withColumn("sid", F.monotonically_increasing_id())
+    sets that these link to nothing are left out.  parts: partitions of its tables at most."""
+    held = materialise(big.select("f", "grams"), parts).withColumn("sid", F.monotonically_increasing_id())
     cells = held.select("sid", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     shared = cells.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1")  # n-grams move once
     own = Window.partitionBy("sid")
@@ -444,7 +444,7 @@ def _refined(big: DataFrame, num: int, den: int) -> DataFrame:
     # n-grams of one set alone come first; size - least overlap + 1 places are the prefix
     prefix = F.col("size") - F.ceil(F.col("size") * num / den) + 1
     keys = found.where(F.col("size") - F.col("n") + F.col("at") <= prefix).select(F.col("gram").alias("key"), F.col("sid").alias("f0"))
-    linked = materialise(components(candidate_links(thinned(keys))).select(F.col("node").alias("sid"), F.col("root")))
+    linked = materialise(components(candidate_links(thinned(keys)), parts).select(F.col("node").alias("sid"), F.col("root")))
     sized = linked.join(held.select("sid", "f", F.size("grams").alias("size")), "sid")
     total = sized.groupBy("root").agg(F.sum("size").alias("total"), F.min("f").alias("pivot"))
     return held.join(linked.join(total, "root"), "sid").select("f", "root", "total", "pivot", "grams")
@@ -457,8 +457,9 @@ def _set_name() -> Column:
 
 def similar_sets(docs: DataFrame, named: DataFrame, n: int, num: int, den: int, task_tokens: int = TASK_TOKENS) -> DataFrame:
     """node, root over set names: sets that links connect.  docs: see ``_keyed``; named: ``set_names`` of it."""
+    parts = parts_for(docs)
     near = candidate_links(signatures(docs, n, num, den))
-    candidates = materialise(components(near).withColumnRenamed("node", "f0"))
+    candidates = materialise(components(near, parts).withColumnRenamed("node", "f0"))
 
     reps = named.where("f0 is not null").groupBy("f0", "f1").agg(F.min(F.struct("doc_id", "rid")).alias("rep"), F.max("n_shingles").alias("size"))
     reps = reps.join(candidates, "f0").select(_set_name().alias("f"), "root", "size", F.col("rep.doc_id").alias("doc_id"), F.col("rep.rid").alias("rid"))
@@ -470,15 +471,15 @@ def similar_sets(docs: DataFrame, named: DataFrame, n: int, num: int, den: int,
     def of_task(rows: DataFrame, kind: int) -> DataFrame:  # kind keeps the two sorts of roots apart
         return rows.select("root", F.lit(kind).alias("left"), F.lit(kind).alias("right"), "f", F.lit(False).alias("pivoted"), "grams")
     if total.where(F.col("total") > task_tokens).isEmpty():
-        return components(_tree_tasks(of_task(sets, -1), num, den))
+        return components(_tree_tasks(of_task(sets, -1), num, den), parts)
 
-    sets = materialise(sets)
-    refined = materialise(_refined(sets.where(F.col("total") > task_tokens), num, den))
+    sets = materialise(sets, parts)
+    refined = materialise(_refined(sets.where(F.col("total") > task_tokens), num, den, parts), parts)
     whole = of_task(sets.where(F.col("total") <= task_tokens), -1).unionByName(of_task(refined.where(F.col("total") <= task_tokens), -2))
     big = refined.where(F.col("total") > task_tokens)
     large = big.where("f = pivot").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("size")).first()
     if not large["n"]:
-        return components(_tree_tasks(whole, num, den))
+        return components(_tree_tasks(whole, num, den), parts)
     # a large component's pivot goes to all its sets: as a broadcast while all pivots are small enough for a task
     fits = large["n"] + large["size"] <= min(task_tokens, TASK_TOKENS)
     known = F.broadcast if fits else (lambda x: x)
@@ -495,13 +496,13 @@ def similar_sets(docs: DataFrame, named: DataFrame, n: int, num: int, den: int,
     met = cut.withColumn("mine", mine).withColumn("other", F.explode(other)).select(
         "root", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "f", "pivoted", "grams")
     links = _tree_tasks(whole.unionByName(met), num, den)
-    return components(links.unionByName(flagged.where("pivoted").select(F.col("f").alias("a"), F.col("pivot").alias("b"))))
+    return components(links.unionByName(flagged.where("pivoted").select(F.col("f").alias("a"), F.col("pivot").alias("b"))), parts)
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, task_tokens: int = TASK_TOKENS) -> DataFrame:
     """doc_id, rid, n_shingles and component_id of every row; links need Jaccard >= num / den."""
     keyed = _keyed(docs)
-    named = materialise(set_names(keyed, n))
+    named = materialise(set_names(keyed, n), parts_for(docs))
     linked = similar_sets(keyed, named, n, num, den, task_tokens)
     rows = named.withColumn("f", _set_name()).join(linked, F.col("f") == F.col("node"), "left").select(
         "doc_id", "rid", "n_shingles", F.coalesce("root", "f").alias("component"))

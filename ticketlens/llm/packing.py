@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, documents, materialise, text_runs
+from .common import BLOCK, documents, materialise, parts_for, released, text_runs
 from .words import table_for
 
 MEMBER = np.dtype([("doc_id", "<i8"), ("known", "i1"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                     [ids_of.slice(a, b - a).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int32()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
-    return documents(docs).mapInArrow(work, ITEMS)
+    return documents(docs).mapInArrow(released(work), ITEMS)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -109,7 +109,7 @@ def _round(rows: DataFrame, level: int, capacity: int, slack: int, last: bool) -
                 members.append(m)
         if fills:
             yield emit(group, fills, members)
-    return rows.mapInArrow(work, "done boolean, sequence_id long, fill int, members binary")
+    return rows.mapInArrow(released(work), "done boolean, sequence_id long, fill int, members binary")
 
 
 def _as_members(items: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def _as_members(items: DataFrame) -> DataFrame:
                 out[name] = col.fill_null(0).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(3), pa.array([x.tobytes() for x in out], pa.binary()), batch.column(5)],
                                              names=["fill", "members", "spread"])
-    return items.withColumn("spread", F.xxhash64("doc_id", "piece", "ids_crc32")).mapInArrow(work, "fill int, members binary, spread long")
+    return items.withColumn("spread", F.xxhash64("doc_id", "piece", "ids_crc32")).mapInArrow(released(work), "fill int, members binary, spread long")
 
 
 def _unpack(bins: DataFrame) -> DataFrame:
@@ -139,19 +139,20 @@ def _unpack(bins: DataFrame) -> DataFrame:
                  pa.array(m["length"].astype(np.int64)), pa.array(m["crc"].astype(np.int64)),
                  pa.array(np.repeat(batch.column(0).to_numpy(), each)), pa.array(upto - np.repeat(upto[first], each))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-    return bins.select("sequence_id", "members").mapInArrow(work, PACKED)
+    return bins.select("sequence_id", "members").mapInArrow(released(work), PACKED)
 
 
-def pack(items: DataFrame, capacity: int = 2048, group_items: int = GROUP_ITEMS, fan_in: int = FAN_IN, slack: int = SLACK) -> DataFrame:
-    """Pieces (see ``pieces``) with their sequence and their offset in it."""
-    level, open_bins, finished = 0, materialise(_as_members(items)), []
+def pack(items: DataFrame, capacity: int = 2048, group_items: int = GROUP_ITEMS, fan_in: int = FAN_IN, slack: int = SLACK,
+         parts: int | None = None) -> DataFrame:
+    """Pieces (see ``pieces``) with their sequence and their offset in it; parts: partitions of their table at most."""
+    level, open_bins, finished = 0, materialise(_as_members(items), parts), []
     count = open_bins.count()
     groups = max(1, -(-count // group_items))
     while True:
         last = groups == 1
         dealt = (open_bins.select(F.pmod(F.xxhash64("spread", F.lit(level)), F.lit(groups)).cast("int").alias("grp"), "fill", "members")
                  .repartition("grp").sortWithinPartitions("grp", F.desc("fill")))
-        packed = materialise(_round(dealt, level, capacity, slack, last))
+        packed = materialise(_round(dealt, level, capacity, slack, last), groups)  # no more have rows
         finished.append(packed.where("done"))
         if last:
             break
@@ -170,4 +171,4 @@ def pack(items: DataFrame, capacity: int = 2048, group_items: int = GROUP_ITEMS,
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
-    return pack(pieces(docs, tokenizer, capacity), capacity)
+    return pack(pieces(docs, tokenizer, capacity), capacity, parts=parts_for(docs))

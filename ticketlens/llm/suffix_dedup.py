@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, free_names, materialise, runs, seeds, segments, utf8
+from .common import documents, free_names, materialise, parts_for, released, runs, seeds, segments, utf8
 
 #: Bytes that a task works on at once.
 PIECE = 1 << 18
@@ -141,7 +141,7 @@ def anchors(docs: DataFrame, threshold: int) -> DataFrame:
                 if len(rank):
                     yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(ids[row + text])], names=["rank", "doc"])
     long_enough = F.octet_length("text") >= threshold
-    return docs.where(long_enough).select("doc", "text").mapInArrow(work, "rank long, doc long")
+    return docs.where(long_enough).select("doc", "text").mapInArrow(released(work), "rank long, doc long")
 
 
 def _runs_of(texts: DataFrame, threshold: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _runs_of(texts: DataFrame, threshold: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c) for c in (rank, *two, size.astype(np.int32), ids[row + text], _place(base + begin - off[text], rids[row + text]),
                                            np.isin(rank, hot))], names=names)
-    return texts.mapInArrow(work, "rank long, s0 long, s1 long, n int, doc long, at long, hot boolean")
+    return texts.mapInArrow(released(work), "rank long, s0 long, s1 long, n int, doc long, at long, hot boolean")
 
 
 def _by_rank(batches):
@@ -208,7 +208,7 @@ def _rerank_runs(rows: DataFrame) -> DataFrame:
             keep = whole | several
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (rank, doc, at, n, whole)], names=["rank", "doc", "at", "n", "whole"])
     dealt = rows.select("rank", "s0", "s1", "n", "doc", "at").repartition("rank").sortWithinPartitions("rank", "s0", "s1", "n", "doc")
-    return dealt.mapInArrow(work, "rank long, doc long, at long, n int, whole boolean")
+    return dealt.mapInArrow(released(work), "rank long, doc long, at long, n int, whole boolean")
 
 
 def _contexts_of(texts: DataFrame, threshold: int) -> DataFrame:
@@ -228,7 +228,7 @@ def _contexts_of(texts: DataFrame, threshold: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rank[a:b]), pa.array(ids[t]), pa.array(_place(start[a:b], rids[t])), pa.array(n[a:b].astype(np.int32)), bodies],
                     names=["rank", "doc", "at", "n", "body"])
-    return texts.mapInArrow(work, "rank long, doc long, at long, n int, body binary")
+    return texts.mapInArrow(released(work), "rank long, doc long, at long, n int, body binary")
 
 
 def _rerank_windows(rows: DataFrame, threshold: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _rerank_windows(rows: DataFrame, threshold: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc[a:b][o]), pa.array(at[a:b][o] + (step[head] << 32)), pa.array(count.astype(np.int32))],
                                                  names=["doc", "at", "n"])
     dealt = rows.repartition("rank").sortWithinPartitions("rank", "doc")
-    return dealt.mapInArrow(work, "doc long, at long, n int")
+    return dealt.mapInArrow(released(work), "doc long, at long, n int")
 
 
 def _place(start: np.ndarray, rid: np.ndarray) -> np.ndarray:
@@ -294,7 +294,7 @@ def _windows_of(texts: DataFrame, threshold: int) -> DataFrame:
                 a, b = (ranks(data, [threshold], lane)[0].view(np.int64) for lane in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[place], b[place], ids[row + text], _place(s + base, rids[row + text]))],
                                                  names=["w0", "w1", "doc", "at"])
-    return texts.mapInArrow(work, "w0 long, w1 long, doc long, at long")
+    return texts.mapInArrow(released(work), "w0 long, w1 long, doc long, at long")
 
 
 def _rerank_hot_runs(rows: DataFrame) -> DataFrame:
@@ -315,18 +315,19 @@ def _rerank_hot_windows(texts: DataFrame, threshold: int) -> DataFrame:
 
 def repeats(docs: DataFrame, threshold: int, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc, rid, spans: (start, n) of the windows that also start in a smaller document.  ``docs``: see ``_keyed``."""
+    parts = parts_for(docs)
     texts_of = docs.select("doc", "rid", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha"))
     same = texts_of.groupBy("sha").agg(F.min("doc").alias("least"))
     copies = materialise(texts_of.where(F.col("size") >= threshold).join(same, "sha")
-                         .select("doc", "rid", "size", (F.col("doc") > F.col("least")).alias("copy")).distinct())
+                         .select("doc", "rid", "size", (F.col("doc") > F.col("least")).alias("copy")).distinct(), parts)
     first_of = copies.where("not copy").select("doc", "rid")     # equal texts: only the smallest document's goes on
 
     found = anchors(docs, threshold)
     shared = found.groupBy("rank").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("runs")).where("lo < hi")
-    shared = materialise(shared.select("rank", (F.col("runs") > hot_runs).alias("hot")))
+    shared = materialise(shared.select("rank", (F.col("runs") > hot_runs).alias("hot")), parts)
     any_hot = not shared.where("hot").isEmpty()
     alive = found.join(shared, "rank").groupBy("doc").agg(F.collect_list("rank").alias("ranks"), F.collect_list(F.when(F.col("hot"), F.col("rank"))).alias("hot"))
-    alive = materialise(alive.join(first_of, "doc").select("doc", "rid", "ranks", "hot"))
+    alive = materialise(alive.join(first_of, "doc").select("doc", "rid", "ranks", "hot"), parts)
 
     keyed = docs.select("doc", "rid", "text")
     rows = _runs_of(keyed.join(alive, ["doc", "rid"]).select("doc", "rid", "text", "ranks", "hot"), threshold)
@@ -335,7 +336,7 @@ def repeats(docs: DataFrame, threshold: int, hot_runs: int = HOT_RUNS) -> DataFr
         judged = judged.withColumn("hot", F.lit(False)).unionByName(_rerank_hot_runs(rows.where("hot")).withColumn("hot", F.lit(True)))
     else:
         judged = judged.withColumn("hot", F.lit(False))
-    judged = materialise(judged)
+    judged = materialise(judged, parts)
 
     def placed(rows, *more):
         return rows.select("doc", F.shiftright(F.shiftleft("at", 32), 32).cast("int").alias("rid"),
@@ -349,7 +350,7 @@ def repeats(docs: DataFrame, threshold: int, hot_runs: int = HOT_RUNS) -> DataFr
         single = single.unionByName(_rerank_hot_windows(asked(True), threshold))
     copied = copies.where("copy").select("doc", "rid", F.struct(F.lit(0).alias("start"), (F.col("size") - threshold + 1).alias("n")).alias("span"))
     spans = placed(single.unionByName(judged.where("whole").select("doc", "at", "n"))).unionByName(copied)
-    return materialise(spans.groupBy("doc", "rid").agg(F.collect_list("span").alias("spans")))
+    return materialise(spans.groupBy("doc", "rid").agg(F.collect_list("span").alias("spans")), parts)
 
 
 def removed_runs(spans: np.ndarray | None, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -410,7 +411,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, hot_runs: int = HOT_RUN
                      pa.array([c[2] for c in cut], pa.int64()), pa.array([c[0] for c in cut], pa.binary()),
                      pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut], pa.string())],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-    return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.mapInArrow(released(work), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, threshold: int) -> DataFrame:
@@ -428,5 +429,5 @@ def cut_repeats(docs: DataFrame, threshold: int) -> DataFrame:
             columns = list(batch.columns[:len(names)])
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
-    out = joined.mapInArrow(work, T.StructType(joined.schema.fields[:-1]))
+    out = joined.mapInArrow(released(work), T.StructType(joined.schema.fields[:-1]))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, free_names, materialise, runs, seeds, text_runs
+from .common import documents, free_names, materialise, released, runs, seeds, text_runs
 
 #: The bound of the training sample, for each class.
 TRAIN_DOCS, TRAIN_CHARS = 1500, 2_000_000
@@ -226,7 +226,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.n
     chosen = [i for k in (0, 1) for i in drawn(votes.where(F.col("toxic") == k), TRAIN_DOCS, TRAIN_CHARS)]
     if not chosen:
         return [], np.zeros(0, np.int64)
-    picked = votes.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")), "doc_id")  # at most 2 * TRAIN_DOCS rows
+    picked = votes.join(F.broadcast(docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(chosen, pa.int64())}))), "doc_id")  # at most 2 * TRAIN_DOCS rows
     rows = documents(docs).withColumn("n", F.length("text")).join(F.broadcast(picked), ["doc_id", "n"]).dropDuplicates(["doc_id"])
     got = rows.select("text", "toxic").orderBy("draw", "doc_id").collect()
     return [r["text"] for r in got], np.array([r["toxic"] for r in got], np.int64)
@@ -253,7 +253,7 @@ def with_scores(docs: DataFrame, model: Model | None, column: str) -> DataFrame:
                 out[a:b] = score_texts(texts, s, bias)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, column])
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(released(work), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
