@@ -254,3 +254,24 @@ def test_shuffle_files_behind_a_checkpoint_are_removed(spark):
             return select(df, *cols)
     assert S.materialise(Watched()).count() == 100
     assert seen == ["true"] and spark.conf.get(S.CLEAN, None) == before
+
+
+def test_vectors_stay_in_the_partitions_of_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART_BYTES", 16)
+    texts = ["alpha beta", "alpha gamma gamma", "delta", "", None, "beta beta alpha", "alpha"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "alpha beta")], "id long, text string")
+    vec, _ = S.tfidf_fit(docs, "id", "text")
+    plan = vec._jdf.queryExecution().executedPlan().toString()
+    # texts by block, terms of a block by term, answers by block: no (id, term) row is shuffled to its term or back
+    assert "Join" not in plan and plan.count("hashpartitioning(term") == 1 and "hashpartitioning(id" not in plan
+    want = py_tfidf([t or "" for t in texts] + ["alpha beta"])
+    rows = vec.collect()
+    assert len(rows) == sum(len(v) for v in want)
+    for r in rows:
+        assert abs(r.weight - want[len(texts) if r.id is None else r.id][r.term]) < 1e-12
+
+
+def test_a_block_is_a_partition(spark):
+    ids = spark.range(4000).unionByName(spark.createDataFrame([(None,)], "id long"))
+    blocks = S.in_blocks(ids, "id", 13).select(S.BLOCK, F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(blocks) == len({b.p for b in blocks}) == len({b[S.BLOCK] for b in blocks}) == 13
