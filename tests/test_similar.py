@@ -275,3 +275,12 @@ def test_a_block_is_a_partition(spark):
     ids = spark.range(4000).unionByName(spark.createDataFrame([(None,)], "id long"))
     blocks = S.in_blocks(ids, "id", 13).select(S.BLOCK, F.spark_partition_id().alias("p")).distinct().collect()
     assert len(blocks) == len({b.p for b in blocks}) == len({b[S.BLOCK] for b in blocks}) == 13
+
+
+def test_candidate_pairs_are_added_up_in_hash_tables(spark):
+    pre = spark.createDataFrame([(i, f"t{k}", k + 2, 0.5, 0.8 - k / 10, 0.9) for i in range(4) for k in range(2)],
+                                "rep_id long, term string, df long, weight double, norm_after double, reach_after double")
+    pairs = S.candidate_pairs(pre, 0.62)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate(key=[a_rep_id" not in plan and "HashAggregate(keys=[a_rep_id" in plan
+    assert sorted((r.id_a, r.id_b, r.partial) for r in pairs.collect()) == [(a, b, 0.5) for a in range(4) for b in range(a + 1, 4)]
