@@ -87,3 +87,17 @@ def test_no_trusted_text_and_empty(spark):
     got = {r.doc_id: r for r in Q.classify(docs, labels).collect()}
     assert abs(got[1].perplexity - Q.A) < 0.01 and got[1].kept and got[1].threshold is None and not got[2].kept
     assert Q.classify(docs.limit(0), labels).collect() == []
+
+
+def test_every_character_is_a_symbol_of_its_own(spark):
+    rnd = random.Random(7)
+    words = ["как", "они", "юла", "für", "über", "\U0001d400\U0001d401\U0001d402"]
+    good = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(6)]
+    swaps = [str.maketrans("ак", "ка"), str.maketrans("ü", "è"), str.maketrans("\U0001d400\U0001d402", "\U0001d402\U0001d400")]
+    docs = [(i, "x", t) for i, t in enumerate(good)] + [(100 + k, "x", good[0].translate(swap)) for k, swap in enumerate(swaps)]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    got = {r.doc_id: r.perplexity for r in Q.score(df, Q.tables(Q.counts(df.where("doc_id < 100")))).collect()}
+    assert all(got[100 + k] > 1.2 * got[0] for k in range(len(swaps)))
+    ctx, s, lens = Q.ngram_codes(["a\U0001d400", "", "\n"])
+    assert lens.tolist() == [2, 0, 1] and s.tolist() == [99, 0x1d402, 12]
+    assert ctx.tolist() == [(Q.PAD << 42) + (Q.PAD << 21) + Q.PAD, (Q.PAD << 42) + (Q.PAD << 21) + 99, (Q.PAD << 42) + (Q.PAD << 21) + Q.PAD]
